@@ -57,12 +57,16 @@ def tags_from_string(s: str | Column) -> Column:
 
 
 def round_doubles(df, digits: int = 6):
-    """Round every double / float column (for engine-independent comparison)."""
+    """Round every double / float column and widen every integral column to
+    bigint (for engine-independent comparison of query results)."""
     out = []
     for f in df.schema.fields:
         t = f.dataType.typeName()
         if t in ("double", "float"):
-            out.append(F.round(F.col(f.name).cast("double"), digits).alias(f.name))
+            # pre-round at 9 places so summation-order noise cannot flip a tie
+            out.append(F.round(F.round(F.col(f.name).cast("double"), 9), digits).alias(f.name))
+        elif t in ("byte", "short", "integer"):
+            out.append(F.col(f.name).cast("long").alias(f.name))
         else:
             out.append(F.col(f.name))
     return df.select(*out)

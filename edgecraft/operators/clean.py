@@ -153,7 +153,8 @@ def difficulty_proxy(finish: F.Column, penalty: F.Column, med_t: F.Column, med_p
 
 
 def clean_interactions(exploded: DataFrame, catalog: DataFrame,
-                       cfg: Config = DEFAULT, keep: str = "none") -> DataFrame:
+                       cfg: Config = DEFAULT, keep: str = "none",
+                       extra: tuple[str, ...] = ()) -> DataFrame:
     """B2-B13 on exploded rows -> the 12-column interactions table."""
     rows = derive_contest_columns(exploded)
     rows = join_catalog(rows, catalog)
@@ -171,7 +172,7 @@ def clean_interactions(exploded: DataFrame, catalog: DataFrame,
         .withColumn("difficulty_proxy", difficulty_proxy(F.col("finish_time_min"),
                                                          F.col("penalty_count"), med_t, med_p, cfg))
     j = j.dropna(subset=["user_id", "contest_id", "problem_id", "solved"])
-    return j.select(*INTERACTION_COLUMNS)
+    return j.select(*INTERACTION_COLUMNS, *extra)
 
 
 def normalise_tags(df: DataFrame, col: str = "tags") -> DataFrame:

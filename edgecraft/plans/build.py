@@ -24,9 +24,9 @@ def exploded_rows(spark: SparkSession, sf_dir: str, source: str = "tables") -> D
 
 
 def interactions(spark: SparkSession, sf_dir: str, cfg: Config = DEFAULT,
-                 source: str = "tables") -> DataFrame:
+                 source: str = "tables", extra: tuple[str, ...] = ()) -> DataFrame:
     rows = exploded_rows(spark, sf_dir, source)
-    return clean.clean_interactions(rows, fixtures.catalog(spark, sf_dir), cfg)
+    return clean.clean_interactions(rows, fixtures.catalog(spark, sf_dir), cfg, extra=extra)
 
 
 def problems(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,29 @@ _QUERIES: dict[str, QueryFn] = {}
 _ORACLES: dict[str, str] = {}
 
 
+def _double_round(sql: str, digits: int = 6) -> str:
+    """Rewrite every ``round(x, 6)`` into ``round(round(x, 9), 6)`` (the same
+    two-step rounding the Spark side applies)."""
+    out, i, key = [], 0, "round("
+    while True:
+        j = sql.find(key, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 1, j + len(key)
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            k += 1
+        inner = sql[j + len(key):k - 1]
+        cut = inner.rfind(",")
+        if cut > 0 and inner[cut + 1:].strip() == str(digits):
+            arg = _double_round(inner[:cut], digits)
+            out.append(sql[i:j] + f"round(round({arg}, 9), {digits})")
+        else:
+            out.append(sql[i:j] + key + _double_round(inner, digits) + ")")
+        i = k
+
+
 def query(name: str, sql: str | None = None, digits: int = 6):
     def deco(fn: QueryFn) -> QueryFn:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +51,7 @@ def query(name: str, sql: str | None = None, digits: int = 6):
         run.__doc__ = fn.__doc__
         _QUERIES[name] = run
         if sql is not None:
-            _ORACLES[name] = sql
+            _ORACLES[name] = _double_round(sql, digits)
         return fn
     return deco
 

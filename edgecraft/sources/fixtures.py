@@ -167,7 +167,7 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tag_slug(tag: Column) -> Column:
-    return F.lower(F.regexp_replace(tag, "[^A-Za-z0-9]+", "-"))
+    return F.regexp_replace(tag, "[^A-Za-z0-9]+", "-")
 
 
 def tag_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -234,3 +234,13 @@ def roadmap_json(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                           "difficulty"))).alias("problems"))
     return doc.select(F.to_json(F.struct(F.lit("driver part table").alias("source"),
                                          "problems")).alias("value"))
+
+
+def synthetic_score(user_id: Column, problem_id: Column) -> Column:
+    """Model-free raw score from the keys, for checking the score-dependent
+    operators against SQL: ((u * 31 + k * 17) % 1000) / 1000 with u the first
+    six hex digits of the user id and k the part key; users with u % 10 = 0
+    get a flat 0.5 (exercises the variance gate)."""
+    u = F.conv(F.substring(user_id, 1, 6), 16, 10).cast("long")
+    k = F.substring(problem_id, len(PROBLEM_PREFIX) + 1, 20).cast("long")
+    return F.when(u % 10 == 0, F.lit(0.5)).otherwise(((u * 31 + k * 17) % 1000).cast("double") / 1000.0)
