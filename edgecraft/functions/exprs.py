@@ -56,6 +56,16 @@ def tags_from_string(s: str | Column) -> Column:
     return F.from_json(F.regexp_replace(col_or(s), "'", '"'), "array<string>")
 
 
+def stable_round(c: str | Column, digits: int = 6) -> Column:
+    """Round in plain IEEE steps (first to 9 places, then to ``digits``) so
+    every engine that multiplies, adds 0.5 and floors gets identical bits;
+    values beyond 1e9 in magnitude pass through."""
+    x = col_or(c).cast("double")
+    s9, sd = 10.0 ** 9, 10.0 ** digits
+    r9 = F.floor(x * s9 + 0.5) / s9
+    return F.when(F.abs(x) < 1e9, F.floor(r9 * sd + 0.5) / sd).otherwise(x)
+
+
 def round_doubles(df, digits: int = 6):
     """Round every double / float column and widen every integral column to
     bigint (for engine-independent comparison of query results)."""
@@ -63,8 +73,7 @@ def round_doubles(df, digits: int = 6):
     for f in df.schema.fields:
         t = f.dataType.typeName()
         if t in ("double", "float"):
-            # pre-round at 9 places so summation-order noise cannot flip a tie
-            out.append(F.round(F.round(F.col(f.name).cast("double"), 9), digits).alias(f.name))
+            out.append(stable_round(f.name, digits).alias(f.name))
         elif t in ("byte", "short", "integer"):
             out.append(F.col(f.name).cast("long").alias(f.name))
         else:

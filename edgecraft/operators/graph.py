@@ -61,6 +61,18 @@ def similar_problem_graph(questions: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
+def similar_slug_relation(questions: DataFrame, symmetric_: bool = True) -> DataFrame:
+    """C4 straight from the question list: (src_slug, dst_slug) for every
+    listed similar question; ``symmetric_`` adds the reverse direction."""
+    rel = questions.select(F.col("titleSlug").alias("src_slug"),
+                           F.explode(F.from_json("similarQuestions", SIMILAR_SCHEMA)).alias("s")) \
+        .select("src_slug", F.col("s.titleSlug").alias("dst_slug"))
+    if symmetric_:
+        rel = rel.unionByName(rel.select(F.col("dst_slug").alias("src_slug"),
+                                         F.col("src_slug").alias("dst_slug")))
+    return rel.distinct()
+
+
 def bipartite_tag_graph(problems: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Problem nodes, ``tag_<slug>`` nodes and problem->tag edges."""
     pt = problems.select(F.col("frontend_id").alias("pid"), "title", "problem_id",

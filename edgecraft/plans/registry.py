@@ -21,8 +21,8 @@ _ORACLES: dict[str, str] = {}
 
 
 def _double_round(sql: str, digits: int = 6) -> str:
-    """Rewrite every ``round(x, 6)`` into ``round(round(x, 9), 6)`` (the same
-    two-step rounding the Spark side applies)."""
+    """Rewrite every ``round(x, 6)`` into the same two-step IEEE rounding
+    the Spark side applies (``edgecraft.functions.exprs.stable_round``)."""
     out, i, key = [], 0, "round("
     while True:
         j = sql.find(key, i)
@@ -37,7 +37,9 @@ def _double_round(sql: str, digits: int = 6) -> str:
         cut = inner.rfind(",")
         if cut > 0 and inner[cut + 1:].strip() == str(digits):
             arg = _double_round(inner[:cut], digits)
-            out.append(sql[i:j] + f"round(round({arg}, 9), {digits})")
+            sd = f"1e{digits}"
+            out.append(sql[i:j] + f"(CASE WHEN abs({arg}) < 1e9 THEN floor(floor(({arg}) * 1e9 + 0.5)"
+                       f" / 1e9 * {sd} + 0.5) / {sd} ELSE ({arg}) END)")
         else:
             out.append(sql[i:j] + key + _double_round(inner, digits) + ")")
         i = k
@@ -68,4 +70,4 @@ def all_oracles() -> dict[str, str]:
 
 def _load() -> None:
     # importing the modules registers their queries
-    from edgecraft.plans import queries_core  # noqa: F401
+    from edgecraft.plans import queries_core, queries_graph  # noqa: F401

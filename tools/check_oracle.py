@@ -26,7 +26,7 @@ def _norm(df: pd.DataFrame) -> list[tuple]:
             if v is None or (isinstance(v, float) and v != v):
                 out.append("<null>")
             elif isinstance(v, float):
-                out.append(f"{round(v, 6):.6f}")
+                out.append(f"{v:.6f}")
             elif hasattr(v, "item"):
                 out.append(str(v.item()))
             else:
