@@ -154,13 +154,23 @@ def difficulty_proxy(finish: F.Column, penalty: F.Column, med_t: F.Column, med_p
 
 def clean_interactions(exploded: DataFrame, catalog: DataFrame,
                        cfg: Config = DEFAULT, keep: str = "none",
-                       extra: tuple[str, ...] = ()) -> DataFrame:
-    """B2-B13 on exploded rows -> the 12-column interactions table."""
+                       extra: tuple[str, ...] = (), materialize=None) -> DataFrame:
+    """B2-B13 on exploded rows -> the 12-column interactions table.
+
+    ``materialize`` (e.g. a reliable checkpoint) is applied to the exploded
+    rows (read by the contest statistics and the main path) and to the
+    de-duplicated rows (read by three quantile histograms and the final
+    projection), so the source is parsed once.
+    """
+    if materialize is not None:
+        exploded = materialize(exploded)
     rows = derive_contest_columns(exploded)
     rows = join_catalog(rows, catalog)
     rows = drop_duplicate_keys(rows, ["user_slug", "problem_id", "contest_id"], keep=keep)
     rows = rows.withColumn("user_id", hash_user_id("user_slug", cfg.user_salt)) \
         .withColumn("user_rating", F.col("rank_percentile") * cfg.rating_scale)
+    if materialize is not None:
+        rows = materialize(rows)
     q = F.broadcast(scalar_quantiles(rows, cfg))
     j = rows.crossJoin(q)
     finish = F.when(F.col("finish_time_min") > F.col("finish_cap"), F.col("finish_cap")) \

@@ -137,17 +137,25 @@ def user_tag_preferences(interactions: DataFrame) -> DataFrame:
         "user_id", "tag", (F.col("cnt").cast("double") / F.col("n_solved_rows")).alias("preference"))
 
 
-def id_map(df: DataFrame, col: str, idx_col: str) -> DataFrame:
-    """Dense 0-based index per distinct value, ascending by value.
+def id_map(df: DataFrame, col: str, idx_col: str, key: F.Column | None = None) -> DataFrame:
+    """Dense 0-based integer index per distinct value.
 
-    Built from a range-partitioned sort plus per-partition offsets
-    (``zipWithIndex``), so no single task numbers every row.
+    Order is by ``key`` (a long expression, default a 64-bit hash of the
+    value) with the value itself breaking ties, so the index is dense and
+    deterministic; for hex user ids, ``hex_key`` gives alphabetical order.
+    Positions come from bucket counts and prefix sums (``dense_positions``).
     """
-    distinct = df.select(col).distinct().orderBy(col)
-    schema = T.StructType([T.StructField(col, df.schema[col].dataType),
-                           T.StructField(idx_col, T.IntegerType())])
-    rdd = distinct.rdd.zipWithIndex().map(lambda r: (r[0][0], int(r[1])))
-    return distinct.sparkSession.createDataFrame(rdd, schema)
+    from edgecraft.operators.tiers import dense_positions
+    k = F.xxhash64(F.col(col)) if key is None else key
+    d = df.select(col).distinct().withColumn("_key", k)
+    width = 1 << 44 if key is None else 1 << 36
+    return dense_positions(d, "_key", idx_col, width=width, tiebreak=(col,)) \
+        .select(col, F.col(idx_col).cast("int").alias(idx_col))
+
+
+def hex_key(col: str, digits: int = 15) -> F.Column:
+    """Leading hex digits of an id as a long (order = alphabetical order)."""
+    return F.conv(F.substring(col, 1, digits), 16, 10).cast("long")
 
 
 def interaction_matrix(interactions: DataFrame, users: DataFrame, items: DataFrame,

@@ -81,16 +81,24 @@ def apply_filters(cands: DataFrame, solved: DataFrame | None, order_col: str) ->
 # -------------------------------------------------------- H7 candidate pool
 
 
-def catalog_positions(problems: DataFrame, order_cols: list) -> DataFrame:
-    """Dense catalog position (0-based) via a range-partitioned sort and
-    ``zipWithIndex`` offsets; no single-task global window."""
-    spark = problems.sparkSession
-    ordered = problems.orderBy(*order_cols)
-    cols = ordered.columns
-    rdd = ordered.rdd.zipWithIndex().map(lambda r: tuple(r[0]) + (int(r[1]),))
-    from pyspark.sql import types as T
-    schema = T.StructType(list(ordered.schema.fields) + [T.StructField("cat_pos", T.LongType())])
-    return spark.createDataFrame(rdd, schema).select(*cols, "cat_pos")
+def dense_positions(df: DataFrame, key: str, out: str = "cat_pos", width: int = 4096,
+                    tiebreak: tuple[str, ...] = ()) -> DataFrame:
+    """Dense 0-based position of each row in (``key``, *tiebreak) order,
+    ``key`` a long.
+
+    Rows are grouped into fixed-width key buckets; bucket sizes are a small
+    aggregate whose prefix sums (one row per occupied bucket) give each
+    bucket's offset, and a window inside each bucket numbers its rows.  No
+    single task orders the whole table and nothing passes through Python.
+    """
+    d = df.withColumn("_b", F.floor(F.col(key) / width).cast("long"))
+    sizes = d.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    offs = sizes.select("_b", F.coalesce(F.sum("_n").over(
+        Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    local = d.withColumn("_l", F.row_number().over(
+        Window.partitionBy("_b").orderBy(key, *tiebreak)) - 1)
+    return local.join(F.broadcast(offs), "_b") \
+        .withColumn(out, (F.col("_off") + F.col("_l")).cast("long")).drop("_b", "_off", "_l")
 
 
 def position_prefix(need: DataFrame, positioned: DataFrame, limit_col: str,
@@ -105,24 +113,31 @@ def position_prefix(need: DataFrame, positioned: DataFrame, limit_col: str,
 
 
 def candidate_pool(users: DataFrame, history: DataFrame, catalog: DataFrame,
-                   cfg: Config = DEFAULT, bucket: int = 512) -> DataFrame:
+                   cfg: Config = DEFAULT, bucket: int = 512, materialize=None) -> DataFrame:
     """H7: per user, unsolved catalog problems; when more than ``cap`` are
     unsolved, problems sharing a tag the user attempted come first, then the
     rest, each in catalog order, first ``cap`` kept.
 
-    ``catalog`` has (problem_id, tags, cat_pos).  Exact without a users x
-    catalog product:
-      * K_u = cap + |solved_u|.  Any preferred problem in the answer is among
-        the first K_u problems of one of its tags, so the preferred part is an
-        equi-join of the user's tags with per-tag catalog prefixes of length
-        K_u (at most |tags_u| * K_u rows per user);
-      * if fewer than ``cap`` preferred problems are unsolved, every tag
-        prefix was complete, so the fill of non-preferred problems lies within
-        the first cap + |solved_u| + |preferred_u| catalog positions, read by
-        an equi-join on position buckets.
+    ``catalog`` has (problem_id, tags, cat_pos) with dense positions.  Exact,
+    with per-user work bounded by the cap rather than the catalog size:
+      1. prefix scan: the first 2K catalog positions (K = cap + |solved_u|),
+         read through an equi-join on position buckets; a user who finds
+         ``cap`` preferred unsolved problems there is done;
+      2. the remaining users prefer few problems, so their preferred part is
+         the union of per-tag catalog prefixes of length K (any preferred
+         problem in the answer is among the first K problems of one of its
+         tags) — cheap exactly because their tags are few or small;
+      3. a user with fewer than ``cap`` preferred problems has every tag
+         prefix complete, so the non-preferred fill lies within the first
+         cap + |solved_u| + |preferred_u| positions (bucket equi-join again).
     Output: user_id, problem_id, tags, cat_pos, pool_pos (0-based list order).
+
+    ``materialize`` (a reliable checkpoint) is applied to the per-user
+    profile and to the ranked prefix scan, each read by several branches.
     """
     cap = cfg.top_candidates
+    mat = materialize or (lambda d: d)
+    empty = F.array().cast("array<string>")
     u = users.select("user_id").distinct()
     hist = history.join(u, "user_id", "left_semi")
     solved = hist.where(F.col("solved")).select("user_id", "problem_id").distinct()
@@ -131,32 +146,45 @@ def candidate_pool(users: DataFrame, history: DataFrame, catalog: DataFrame,
     tagset = utags.groupBy("user_id").agg(F.collect_set("tag").alias("utags"))
     prof = u.join(n_solved, "user_id", "left").join(tagset, "user_id", "left") \
         .select("user_id", F.coalesce("ns", F.lit(0)).alias("ns"),
-                F.coalesce("utags", F.array().cast("array<string>")).alias("utags")) \
+                F.coalesce("utags", empty).alias("utags")) \
         .withColumn("K", F.lit(cap) + F.col("ns"))
+    prof = mat(prof)
     cat = catalog.select("problem_id", "tags", "cat_pos")
-    # rank of each problem inside each of its tags, in catalog order
+    wu = Window.partitionBy("user_id").orderBy("cat_pos")
+    # 1. prefix scan
+    scan = position_prefix(prof.select("user_id", "utags", (F.col("K") * 2).alias("L")), cat, "L", bucket) \
+        .where(F.arrays_overlap(F.coalesce("tags", empty), F.col("utags"))) \
+        .select("user_id", "problem_id", "cat_pos") \
+        .join(solved, ["user_id", "problem_id"], "left_anti") \
+        .withColumn("r", F.row_number().over(wu)) \
+        .withColumn("n1", F.count(F.lit(1)).over(Window.partitionBy("user_id"))) \
+        .where(F.col("r") <= cap)
+    scan = mat(scan)
+    pref1 = scan.where(F.col("n1") >= cap).drop("n1")
+    sat = scan.where(F.col("r") == cap).select("user_id")
+    # 2. per-tag prefixes for the other users
+    rest = prof.join(sat, "user_id", "left_anti")
     pt = cat.select("problem_id", "cat_pos", F.explode(F.array_distinct("tags")).alias("tag"))
     pt = pt.withColumn("trank", F.row_number().over(Window.partitionBy("tag").orderBy("cat_pos")))
-    pref = utags.join(prof.select("user_id", "K"), "user_id") \
+    pref2 = utags.join(rest.select("user_id", "K"), "user_id") \
         .join(pt, "tag").where(F.col("trank") <= F.col("K")) \
-        .select("user_id", "problem_id", "cat_pos").distinct()
-    pref = pref.join(solved, ["user_id", "problem_id"], "left_anti")
-    wp = Window.partitionBy("user_id").orderBy("cat_pos")
-    pref = pref.withColumn("r", F.row_number().over(wp)).where(F.col("r") <= cap)
-    n_pref = pref.groupBy("user_id").agg(F.count(F.lit(1)).alias("np"))
-    # users that need a non-preferred fill
-    need = prof.join(n_pref, "user_id", "left").withColumn("np", F.coalesce("np", F.lit(0))) \
+        .select("user_id", "problem_id", "cat_pos").distinct() \
+        .join(solved, ["user_id", "problem_id"], "left_anti") \
+        .withColumn("r", F.row_number().over(wu)).where(F.col("r") <= cap)
+    pref = pref1.unionByName(pref2)
+    n_pref = pref2.groupBy("user_id").agg(F.count(F.lit(1)).alias("np"))
+    # 3. non-preferred fill for users short of the cap
+    need = rest.join(n_pref, "user_id", "left").withColumn("np", F.coalesce("np", F.lit(0))) \
         .where(F.col("np") < cap) \
         .withColumn("J", F.lit(cap) + F.col("ns") + F.col("np"))
     fill = position_prefix(need.select("user_id", "utags", "J", "np"), cat, "J", bucket).where(
-        ~F.arrays_overlap(F.coalesce("tags", F.array().cast("array<string>")), F.col("utags"))) \
-        .select("user_id", "problem_id", "cat_pos", "np")
-    fill = fill.join(solved, ["user_id", "problem_id"], "left_anti")
-    wf = Window.partitionBy("user_id").orderBy("cat_pos")
-    fill = fill.withColumn("r", F.row_number().over(wf)).where(F.col("r") <= F.lit(cap) - F.col("np")) \
+        ~F.arrays_overlap(F.coalesce("tags", empty), F.col("utags"))) \
+        .select("user_id", "problem_id", "cat_pos", "np") \
+        .join(solved, ["user_id", "problem_id"], "left_anti")
+    fill = fill.withColumn("r", F.row_number().over(wu)).where(F.col("r") <= F.lit(cap) - F.col("np")) \
         .select("user_id", "problem_id", "cat_pos", (F.col("np") + F.col("r")).alias("r"))
     pool = pref.select("user_id", "problem_id", "cat_pos", "r").unionByName(fill)
-    # total unsolved decides the list order: capped -> preferred first
+    # more than ``cap`` unsolved -> preferred first; otherwise plain catalog order
     n_cat = catalog.agg(F.count(F.lit(1)).alias("ncat"))
     solved_in_cat = solved.join(cat.select("problem_id"), "problem_id", "left_semi") \
         .groupBy("user_id").agg(F.count(F.lit(1)).alias("sc"))

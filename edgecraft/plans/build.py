@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from edgecraft.config import DEFAULT, Config
 from edgecraft.operators import clean
+from edgecraft.plans import store
 from edgecraft.sources import fixtures, jsonl
 
 
@@ -24,9 +25,22 @@ def exploded_rows(spark: SparkSession, sf_dir: str, source: str = "tables") -> D
 
 
 def interactions(spark: SparkSession, sf_dir: str, cfg: Config = DEFAULT,
-                 source: str = "tables", extra: tuple[str, ...] = ()) -> DataFrame:
-    rows = exploded_rows(spark, sf_dir, source)
-    return clean.clean_interactions(rows, fixtures.catalog(spark, sf_dir), cfg, extra=extra)
+                 source: str = "tables", extra: tuple[str, ...] = (),
+                 fresh: bool = False) -> DataFrame:
+    """The cleaned interactions table.
+
+    Built once per session and source (checkpointed), like the reference's
+    build step that writes ``interactions.parquet`` for every later job;
+    ``fresh=True`` rebuilds it (the build itself checkpoints its two
+    multi-read intermediates).
+    """
+    def make():
+        rows = exploded_rows(spark, sf_dir, source)
+        return clean.clean_interactions(rows, fixtures.catalog(spark, sf_dir), cfg, extra=extra,
+                                        materialize=store.materialize)
+    if fresh:
+        return make()
+    return store.memo(spark, ("interactions", sf_dir, source, extra, cfg), make)
 
 
 def problems(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ FROM inter
 """))
 def q_interactions_clean(spark, sf_dir):
     """B14 (A6 shape): the full clean pipeline from the JSONL text feed."""
-    return build.interactions(spark, sf_dir, source="jsonl").drop("tags")
+    return build.interactions(spark, sf_dir, source="jsonl", fresh=True).drop("tags")
 
 
 @query("records_exploded", with_base("""
@@ -283,8 +283,10 @@ WHERE solved GROUP BY user_idx, problem_idx
 def q_interaction_matrix(spark, sf_dir):
     """COO entries of the solved-only user x problem matrix."""
     i = _inter(spark, sf_dir)
-    return features.interaction_matrix(i, features.id_map(i, "user_id", "user_idx"),
-                                       features.id_map(i, "problem_id", "problem_idx"))
+    return features.interaction_matrix(
+        i, features.id_map(i, "user_id", "user_idx", features.hex_key("user_id")),
+        # one key bucket: the catalog-sized problem list is ordered by id alone
+        features.id_map(i, "problem_id", "problem_idx", F.lit(0).cast("long")))
 
 
 @query("matrix_density", with_base("""
@@ -302,7 +304,7 @@ def q_matrix_density(spark, sf_dir):
 @query("id_maps", with_base("SELECT user_id, user_idx FROM um", ID_MAPS_SQL))
 def q_id_maps(spark, sf_dir):
     """Dense user index in id order."""
-    return features.id_map(_inter(spark, sf_dir), "user_id", "user_idx")
+    return features.id_map(_inter(spark, sf_dir), "user_id", "user_idx", features.hex_key("user_id"))
 
 
 @query("user_biases", with_base("""
