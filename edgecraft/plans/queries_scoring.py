@@ -514,7 +514,7 @@ SELECT n.user_id,
        round(coalesce(p.hits_k, 0) / n.n_rel, 6) AS recall_at_k,
        round(CASE WHEN coalesce(p.n_recs, 0) > 0 AND least(n.n_rel, 10) > 0
                   THEN coalesce(p.dcg, 0.0) / list_sum(list_transform(range(1, least(n.n_rel, 10) + 1),
-                                                                       x -> 1.0 / log2(x + 1.0)))
+                                                                       lambda x: 1.0 / log2(x + 1.0)))
                   ELSE 0.0 END, 6) AS ndcg_at_k,
        round(coalesce(1.0 / p.first_hit, 0.0), 6) AS mrr
 FROM nrel n LEFT JOIN per p USING (user_id)

@@ -70,4 +70,4 @@ def all_oracles() -> dict[str, str]:
 
 def _load() -> None:
     # importing the modules registers their queries
-    from edgecraft.plans import queries_core, queries_graph, queries_scoring  # noqa: F401
+    from edgecraft.plans import queries_core, queries_graph, queries_misc, queries_scoring  # noqa: F401
