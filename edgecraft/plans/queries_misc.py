@@ -509,8 +509,7 @@ def q_train_job(spark, sf_dir):
 
 def _recommend_inputs(spark, sf_dir):
     i = _inter(spark, sf_dir)
-    cat = _catalog_pos(spark, sf_dir).join(build.problems(spark, sf_dir).select("problem_id", "title"),
-                                           "problem_id")
+    cat = _catalog_pos(spark, sf_dir)  # problem_id, title, tags, cat_pos
     nodes, edges = graph.similar_problem_graph(fixtures.question_list(spark, sf_dir))
     rel = graph.slug_edges(nodes, edges)
     pf = features.problem_features(i, build.problems(spark, sf_dir))

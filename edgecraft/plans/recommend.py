@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from edgecraft.config import DEFAULT, Config
 from edgecraft.operators import coldstart, features, graph, models, peers, scoring, tiers
+from edgecraft.plans import store
 
 
 @dataclass
@@ -65,13 +66,19 @@ def score_pool(pool: DataFrame, model: Trained, history: DataFrame, slug_rel: Da
 
 def recommend(users: DataFrame, interactions: DataFrame, catalog: DataFrame, model: Trained,
               slug_rel: DataFrame, problem_feats: DataFrame, cfg: Config = DEFAULT,
-              tier_size: int | None = None) -> DataFrame:
-    """(user_id, tier, pos, rank, problem_id, p_solve, title, tags)."""
+              tier_size: int | None = None, materialize=store.materialize) -> DataFrame:
+    """(user_id, tier, pos, rank, problem_id, p_solve, title, tags).
+
+    The scored pool is read by four tier branches and the ranked output by
+    the response step, so both are checkpointed (``materialize``).
+    """
+    mat = materialize or (lambda d: d)
     hist = interactions.join(users.select("user_id").distinct(), "user_id", "left_semi")
-    pool = tiers.candidate_pool(users, hist, catalog, cfg)
+    pool = tiers.candidate_pool(users, hist, catalog, cfg, materialize=materialize)
     scored = score_pool(pool, model, hist, slug_rel, cfg)
     solved = hist.where(F.col("solved")).select("user_id", "problem_id").distinct()
-    scored = tiers.apply_filters(scored, solved, "pool_pos")
+    scored = mat(tiers.apply_filters(scored, solved, "pool_pos").select(
+        "user_id", "problem_id", "tags", "pool_pos", "score"))
     rates = features.user_tag_rates(hist)
     # peer rates need every user's rows (peers are drawn from all users)
     peer = peers.peer_tag_scores(interactions, cfg)
@@ -84,7 +91,7 @@ def recommend(users: DataFrame, interactions: DataFrame, catalog: DataFrame, mod
     ranked = tiers.diversity_rank(t, cfg.max_per_tag)
     tags = catalog.select("problem_id", "tags")
     out = tiers.enrich(ranked, catalog).join(tags, "problem_id", "left")
-    return out.select("user_id", "tier", "pos", "rank", "problem_id", "p_solve", "title", "tags")
+    return mat(out.select("user_id", "tier", "pos", "rank", "problem_id", "p_solve", "title", "tags"))
 
 
 def respond(slugs: DataFrame, interactions: DataFrame, catalog: DataFrame, model: Trained,
