@@ -121,14 +121,24 @@ def minmax_spread(df: DataFrame, col: str, out: str, batch: list[str], order_col
     return s.withColumn(out, _spread_expr(col, low, high)).drop("_n", "_lo", "_hi", "_i")
 
 
-def _gate_cols(df: DataFrame, col: str, batch: list[str], cfg: Config) -> F.Column:
-    """has-variance flag as a window expression over the batch."""
+def _with_gate(df: DataFrame, col: str, batch: list[str], out: str, cfg: Config) -> DataFrame:
+    """Adds the has-variance flag of ``col`` per batch as column ``out``.
+
+    Count and population std are partition-only window aggregates; the exact
+    number of distinct half-even 3-decimal values is the batch maximum of a
+    dense rank over those values (no per-row collections).
+    """
     w = Window.partitionBy(*batch)
-    n = F.count(F.col(col)).over(w)
-    std = F.coalesce(F.stddev_pop(col).over(w), F.lit(0.0))
-    # distinct count of rounded values via size(collect_set) over the batch
-    nd = F.size(F.collect_set(F.bround(col, 3)).over(w))
-    return (n > 1) & (std >= cfg.min_std) & (nd > 2)
+    r = F.bround(F.col(col), 3)
+    d = df.withColumn("_dr", F.when(F.col(col).isNotNull(), F.dense_rank().over(
+        Window.partitionBy(*batch).orderBy(F.when(F.col(col).isNotNull(), r)))))
+    # nulls sort first and take rank 1: shift the ranks of non-null values down
+    has_null = F.max(F.col(col).isNull().cast("int")).over(w)
+    nd = F.max("_dr").over(w) - has_null
+    gate = (F.count(F.col(col)).over(w) > 1) \
+        & (F.coalesce(F.stddev_pop(col).over(w), F.lit(0.0)) >= cfg.min_std) \
+        & (F.coalesce(nd, F.lit(0)) > 2)
+    return d.withColumn(out, gate).drop("_dr")
 
 
 def calibrate_or_spread(df: DataFrame, raw: str, out: str, batch: list[str], order_col: str,
@@ -142,14 +152,14 @@ def calibrate_or_spread(df: DataFrame, raw: str, out: str, batch: list[str], ord
     lo, hi = cfg.fallback_low, cfg.fallback_high
     w = Window.partitionBy(*batch)
     if calibrated is not None:
-        d = d.withColumn("_cal_ok", _gate_cols(d, calibrated, batch, cfg))
+        d = _with_gate(d, calibrated, batch, "_cal_ok", cfg)
     else:
         d = d.withColumn("_cal_ok", F.lit(False))
     d = _with_batch_stats(d, raw, batch, order_col)
     cosine_like = (F.col("_lo") >= -1.1) & (F.col("_hi") <= 1.1) & (F.col("_lo") < 0)
     d = d.withColumn("_mapped", F.when(cosine_like, (F.col(raw) + 1.0) / 2.0)
                      .otherwise(_spread_expr(raw, lo, hi)))
-    d = d.drop("_lo", "_hi").withColumn("_map_ok", _gate_cols(d, "_mapped", batch, cfg))
+    d = _with_gate(d.drop("_lo", "_hi"), "_mapped", batch, "_map_ok", cfg)
     d = d.withColumn("_lo", F.min("_mapped").over(w)).withColumn("_hi", F.max("_mapped").over(w))
     fallback = F.when(F.col("_map_ok"), clip("_mapped", 0.0, 1.0)).otherwise(_spread_expr("_mapped", lo, hi))
     res = F.when(F.col("_cal_ok"), clip(calibrated, 0.0, 1.0)) if calibrated is not None else None
@@ -168,14 +178,13 @@ def ensemble_scores(df: DataFrame, als: str, content: str, boost: str | None,
     weighted mean; plus graph boost; clip to [0,1]; a batch with more than one
     item that is still flat is spread to [0.3, 0.8]."""
     w_a, w_c = cfg.w_als, cfg.w_content
-    d = df.withColumn("_a_ok", _gate_cols(df, als, batch, cfg)) \
-        .withColumn("_c_ok", _gate_cols(df, content, batch, cfg))
+    d = _with_gate(_with_gate(df, als, batch, "_a_ok", cfg), content, batch, "_c_ok", cfg)
     mean = (w_a * F.col(als) + w_c * F.col(content)) / (w_a + w_c)
     base = F.when(F.col("_a_ok"), mean).when(F.col("_c_ok"), F.col(content)).otherwise(mean)
     if boost is not None:
         base = base + F.coalesce(F.col(boost), F.lit(0.0))
     d = d.withColumn("_s", clip(base, 0.0, 1.0))
-    d = d.withColumn("_s_ok", _gate_cols(d, "_s", batch, cfg))
+    d = _with_gate(d, "_s", batch, "_s_ok", cfg)
     d = _with_batch_stats(d, "_s", batch, order_col)
     spread = _spread_expr("_s", cfg.ensemble_spread_low, cfg.ensemble_spread_high)
     d = d.withColumn(out, F.when((F.col("_n") > 1) & ~F.col("_s_ok"), spread).otherwise(F.col("_s")))
