@@ -86,27 +86,47 @@ def bipartite_tag_graph(problems: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pnodes.unionByName(tnodes), edges
 
 
+def _pairs_within(members: DataFrame, key: str, block_size: int) -> DataFrame:
+    """(key, p1, p2, ...) for p1 < p2 sharing ``key``; each key's member list
+    is cut into blocks of ``block_size`` so one task forms at most
+    block_size^2 pairs even for a hot key."""
+    sizes = members.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    nb = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(block_size))).cast("int")
+    m = members.join(sizes, key) \
+        .withColumn("_nb", nb).withColumn("_b", (F.abs(F.xxhash64("problem_id")) % F.col("_nb")).cast("int"))
+    rest = [c for c in members.columns if c not in (key, "problem_id")]
+    left = m.select(key, F.col("problem_id").alias("p1"), *[F.col(c).alias(c + "1") for c in rest],
+                    F.col("_b").alias("_bi"), F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("_bj"))
+    right = m.select(key, F.col("problem_id").alias("p2"), *[F.col(c).alias(c + "2") for c in rest],
+                     F.col("_b").alias("_bj"))
+    return left.join(right, [key, "_bj"]).where(F.col("p1") < F.col("p2")).drop("_bi", "_bj")
+
+
 def shared_tag_graph(problem_tags: DataFrame, min_shared_tags: int = 1,
                      block_size: int = 4096) -> DataFrame:
-    """(p1, p2, weight) with p1 < p2 and weight = number of shared tags.
-
-    The output is the pair set itself, so the work is output-bound.  To keep a
-    hot tag from landing in one task, each tag's member list is cut into
-    blocks of ``block_size`` and the join key is (tag, block_i, block_j):
-    every task forms at most block_size^2 pairs, and weights are summed by a
-    partial/final aggregate.
+    """(p1, p2, weight) with p1 < p2 and weight = number of shared tags,
+    kept when weight >= min_shared_tags.
+
+    The output is the pair set itself, so the work is output-bound, and hot
+    keys are split into blocks (``_pairs_within``).  With a minimum of two or
+    more, pairs are formed inside (tag, tag) groups — any qualifying pair
+    shares a tag pair — and each pair is emitted once, from its smallest
+    shared tag pair, so no de-duplication shuffle is needed.
     """
-    sizes = problem_tags.groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
-    nb = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(block_size))).cast("int")
-    members = problem_tags.join(F.broadcast(sizes), "tag") \
-        .withColumn("nb", nb) \
-        .withColumn("b", (F.abs(F.xxhash64("problem_id")) % F.col("nb")).cast("int"))
-    left = members.select("tag", F.col("problem_id").alias("p1"), F.col("b").alias("bi"),
-                          F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("bj"))
-    right = members.select("tag", F.col("problem_id").alias("p2"), F.col("b").alias("bj"))
-    pairs = left.join(right, ["tag", "bj"]).where(F.col("p1") < F.col("p2"))
-    out = pairs.groupBy("p1", "p2").agg(F.count(F.lit(1)).alias("weight"))
-    return out.where(F.col("weight") >= min_shared_tags)
+    if min_shared_tags <= 1:
+        pairs = _pairs_within(problem_tags.select("tag", "problem_id"), "tag", block_size)
+        out = pairs.groupBy("p1", "p2").agg(F.count(F.lit(1)).alias("weight"))
+        return out.where(F.col("weight") >= min_shared_tags)
+    ts = problem_tags.groupBy("problem_id").agg(F.sort_array(F.collect_set("tag")).alias("ts"))
+    n = F.size("ts")
+    two = F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), lambda i: F.transform(
+        F.slice("ts", i + 2, F.greatest(n - i - 1, F.lit(0))), lambda t: F.array(F.col("ts")[i], t))))
+    members = ts.where(n >= 2).select("problem_id", "ts", F.explode(two).alias("tp"))
+    pairs = _pairs_within(members, "tp", block_size)
+    inter = F.array_intersect("ts1", "ts2")
+    first_two = F.slice(inter, 1, 2)
+    return pairs.where(F.col("tp") == first_two).select(
+        "p1", "p2", F.size(inter).cast("long").alias("weight")).where(F.col("weight") >= min_shared_tags)
 
 
 def tag_cosine(problem_tags: DataFrame, shared: DataFrame) -> DataFrame:
