@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from edgecraft.config import DEFAULT
 from edgecraft.operators import evaluate, features, graph, models, peers, scoring, tiers
 from edgecraft.plans import build, store
-from edgecraft.plans.oracle_base import with_base
+from edgecraft.plans.oracle_base import BASE_CTES, with_base
 from edgecraft.plans.registry import query
 from edgecraft.sources import fixtures
 from edgecraft.sources.tables import read_table
@@ -463,7 +463,32 @@ def q_tier_assignment(spark, sf_dir):
     return _tiers(spark, sf_dir).select("user_id", "tier", "pos", "problem_id", "score")
 
 
-@query("diversity_rank")
+DIVERSITY_SQL = "WITH RECURSIVE " + BASE_CTES.strip() + "," + TIER_SQL.strip() + """,
+items AS (SELECT t.user_id, t.tier, t.problem_id, t.score, c.tags,
+                 row_number() OVER (PARTITION BY t.user_id, t.tier ORDER BY t.score DESC, t.problem_id) AS i
+          FROM tiered t JOIN cat c USING (problem_id)),
+fold AS (
+  SELECT DISTINCT user_id, tier, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS seen,
+         CAST([] AS VARCHAR[]) AS kept, CAST([] AS BIGINT[]) AS ranks FROM items
+  UNION ALL
+  SELECT f.user_id, f.tier, f.i + 1,
+         CASE WHEN x.full THEN f.seen ELSE list_concat(f.seen, x.tags) END,
+         CASE WHEN x.full THEN f.kept ELSE list_append(f.kept, x.problem_id) END,
+         CASE WHEN x.full THEN f.ranks ELSE list_append(f.ranks, x.i) END
+  FROM fold f JOIN LATERAL (
+    SELECT it.problem_id, it.tags, it.i,
+           len(list_filter(it.tags, lambda t: len(list_filter(f.seen, lambda s: s = t)) >= 2)) > 0 AS full
+    FROM items it WHERE it.user_id = f.user_id AND it.tier = f.tier AND it.i = f.i + 1) x ON true
+),
+last AS (SELECT * FROM fold QUALIFY row_number() OVER (PARTITION BY user_id, tier ORDER BY i DESC) = 1)
+SELECT l.user_id, l.tier, k.problem_id, round(it.score, 6) AS score, k.rank, k.pos
+FROM last l, LATERAL (SELECT unnest(l.kept) AS problem_id, unnest(l.ranks) AS rank,
+                             unnest(range(1, len(l.kept) + 1)) AS pos) k
+JOIN items it ON it.user_id = l.user_id AND it.tier = l.tier AND it.problem_id = k.problem_id
+"""
+
+
+@query("diversity_rank", DIVERSITY_SQL)
 def q_diversity_rank(spark, sf_dir):
     """H9: greedy tag-diversity rank inside each tier (sequential fold)."""
     return tiers.diversity_rank(_tiers(spark, sf_dir))
