@@ -122,8 +122,11 @@ def respond(slugs: DataFrame, interactions: DataFrame, catalog: DataFrame, model
                 "signals", "signal_count")
     cold = routed.where(~F.col("warm"))
     rc = coldstart.roadmap_cards(roadmap, count)
-    # the roadmap holds at most ``count`` (<= 30) cards: broadcast is bounded
-    cold_cards = cold.crossJoin(F.broadcast(rc)).select(
-        "user_slug", "user_id", F.lit(False).alias("warm_start"), F.col("order").alias("card"),
-        "slug", "title", "tags", "tier", "p_solve", "signals", "signal_count")
+    # at most ``count`` (<= 30) cards: one array in a one-row table, broadcast
+    deck = rc.agg(F.sort_array(F.collect_list(F.struct("order", "slug", "title", "tags", "tier", "p_solve",
+                                                       "signals", "signal_count"))).alias("deck"))
+    cold_cards = cold.crossJoin(F.broadcast(deck)).select(
+        "user_slug", "user_id", F.posexplode("deck").alias("i", "c")).select(
+        "user_slug", "user_id", F.lit(False).alias("warm_start"), (F.col("i") + 1).alias("card"),
+        "c.slug", "c.title", "c.tags", "c.tier", "c.p_solve", "c.signals", "c.signal_count")
     return warm_cards.unionByName(cold_cards)
