@@ -7,6 +7,7 @@ from edgecraft.llm.langid import op10_language_id
 from edgecraft.llm.order_minhash import op7_order_minhash
 from edgecraft.llm.packing import op8_best_fit_packing
 from edgecraft.llm.secrets import op4_secret_scan
+from edgecraft.llm.shingle_join import OP5_SQL, op5_shingle_join
 from edgecraft.llm.token_cache import op3_token_counts
 from edgecraft.llm.toxicity import op2_toxicity
 from edgecraft.llm.voronoi_knn import OP1_SQL, op1_voronoi_knn
@@ -16,9 +17,10 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_token_counts": op3_token_counts,
     "op4_secret_scan": op4_secret_scan,
+    "op5_shingle_join": op5_shingle_join,
     "op6_bpe_lexicon": op6_bpe_lexicon,
     "op7_order_minhash": op7_order_minhash,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_language_id": op10_language_id,
 }
-ORACLES = {"op1_voronoi_knn": OP1_SQL}
+ORACLES = {"op1_voronoi_knn": OP1_SQL, "op5_shingle_join": OP5_SQL}
