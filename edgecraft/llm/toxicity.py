@@ -138,8 +138,11 @@ def fit(train: DataFrame, orders=ORDERS, bits=BITS, fit_rows: int = FIT_ROWS) ->
         bias = 30.0 if share == 1 else -30.0
         return ToxicityModel(np.zeros(size), np.zeros(size), bias, orders, bits)
     shared = train.sparkSession.sparkContext.broadcast(ratio.astype(np.float32))
+    # hashes below this share hold a little more than the wanted rows; the limit takes the smallest
+    share = min(1.0, 1.2 * fit_rows / rows.sum())
     first = (train.select("text", F.col("toxic").cast("int").alias("toxic"),
-                          F.xxhash64("doc_id").alias("_h"), "doc_id")
+                          F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("_h"), "doc_id")
+             .where(F.col("_h") < int(share * (1 << 40)))
              .orderBy("_h", "doc_id").limit(fit_rows).coalesce(1).sortWithinPartitions("_h", "doc_id"))
 
     def run(batches):
