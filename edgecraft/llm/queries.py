@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from edgecraft.llm.bpe_lexicon import op6_bpe_lexicon
+from edgecraft.llm.katz import op9_katz_backoff
 from edgecraft.llm.langid import op10_language_id
 from edgecraft.llm.order_minhash import op7_order_minhash
 from edgecraft.llm.packing import op8_best_fit_packing
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_bpe_lexicon": op6_bpe_lexicon,
     "op7_order_minhash": op7_order_minhash,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_katz_backoff": op9_katz_backoff,
     "op10_language_id": op10_language_id,
 }
 ORACLES = {"op1_voronoi_knn": OP1_SQL, "op5_shingle_join": OP5_SQL}
