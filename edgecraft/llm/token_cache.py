@@ -107,7 +107,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, keep: list[str], n
                 [rb.column(0), pa.array([version] * rb.num_rows), pa.array(n)], names=["digest", "version", "n_tokens"])
 
     misses.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
-    counts = read_cache(spark, cache, version)
+    counts = common.checkpoint(read_cache(spark, cache, version))     # a plain join below: hot digests can be split
     return keyed.join(counts, "digest").select(*keep, "n_bytes", "n_tokens")
 
 
