@@ -128,8 +128,9 @@ def successors(docs: DataFrame, ranges: int) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     step = [i / ranges for i in range(1, ranges)]
     cuts = sorted(set(rows.approxQuantile("doc_id", step, 0.25 / ranges))) if step else []
+    placed = rows.withColumn("id_", F.col("doc_id").cast("double"))
     placed = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="id_", outputCol="b_", handleInvalid="keep") \
-        .transform(rows.withColumn("id_", F.col("doc_id").cast("double")))
+        .transform(placed) if cuts else placed.withColumn("b_", F.lit(0.0))
     # larger ids first; rows with a null id are in the range after all others
     rows = placed.select("doc_id", "text", F.when(F.col("doc_id").isNull(), len(cuts) + 1)
                          .otherwise(len(cuts) - F.col("b_")).cast("int").alias("range"))

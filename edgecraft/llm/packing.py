@@ -81,7 +81,9 @@ def pack(items: DataFrame, keep: list[str], capacity: int = CAPACITY, per_source
     full = F.col("tokens") == capacity
     shard = F.pmod(F.xxhash64(*keep, "cluster", "piece"), F.lit(shards)).cast("int")
     dealt = pieces.withColumn("shard", shard)
-    fields = ", ".join(f"`{c}` {items.schema[c].dataType.simpleString()}" for c in keep)
+    # as text on the way through pandas, which has no null in its integers
+    dealt = dealt.select(*(F.col(c).cast("string").alias(c) for c in keep), "cluster", "source", "piece", "tokens", "shard")
+    fields = ", ".join(f"`{c}` string" for c in keep)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["tokens", "cluster", "piece", *keep], ascending=False, kind="stable", na_position="last")
@@ -98,7 +100,8 @@ def pack(items: DataFrame, keep: list[str], capacity: int = CAPACITY, per_source
         *keep, "piece", "tokens",
         F.concat(F.lit("full-"), F.sha2(F.to_json(F.struct(*keep, "cluster", "piece")).cast("binary"), 256),
                  F.lit("-"), F.monotonically_increasing_id()).alias("bin"))
-    return packed.unionByName(alone)
+    return packed.unionByName(alone).select(*(F.col(c).cast(items.schema[c].dataType).alias(c) for c in keep),
+                                            "piece", "tokens", "bin")
 
 
 def document_items(docs: DataFrame, size=None) -> DataFrame:
