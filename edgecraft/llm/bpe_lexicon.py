@@ -341,10 +341,18 @@ def word_counts(docs: DataFrame, path: str, hold: int = 400_000) -> DataFrame:
 
 
 def build_lexicon(docs: DataFrame, path: str, size: int = LEXICON_WORDS, longest: int = 64) -> bytes:
-    """Automaton of the ``size`` most frequent pre-tokens of at most
-    ``longest`` bytes (a bounded table, sorted by Spark)."""
-    top = (word_counts(docs, path).where(F.octet_length("word") <= longest)
-           .orderBy(F.desc("n"), "word").limit(size).select("word").collect())
+    """Automaton of the most frequent pre-tokens of at most ``longest`` bytes:
+    the words from the lowest count on (in steps of a sixteenth of an octave)
+    that are at most ``size`` together.  Words seen once never belong."""
+    counted = common.checkpoint(word_counts(docs, path).where((F.col("n") > 1) & (F.octet_length("word") <= longest))
+                                .withColumn("bin", F.floor(F.log2("n") * 16).cast("int")))
+    held, least = 0, None                              # the lowest bin that keeps the table within `size`
+    for r in counted.groupBy("bin").count().orderBy(F.desc("bin")).collect():     # at most 16 * 64 bins
+        held += r["count"]
+        if held > size:
+            break
+        least = r.bin
+    top = counted.where(F.col("bin") >= least).select("word").collect() if least is not None else []
     words = sorted({r.word.encode("utf-8", "surrogatepass") for r in top})
     ids, lens = merges_of(path).merge(words)
     return Automaton.compile(words, ids, lens)
