@@ -1,5 +1,8 @@
 """Frozen configuration passed to operators.
 
+``min_shared_tags`` is ours: a problem that shares that many tags (or all of its
+own, if it has fewer) with one the user attempted is a candidate (H7).
+
 Fixed values: these must equal the reference behaviour for identical results.
     user id salt ............ "lrs_v1"
     edge band ............... 0.35 .. 0.65
@@ -10,7 +13,6 @@ Fixed values: these must equal the reference behaviour for identical results.
     graph boost alpha ....... 0.05
     peer rating band ........ 0.1 (rank-percentile units, i.e. 300 rating points)
     peer group window ....... 100.0 rating points
-    candidate pool cap ...... 500
     finish-time cap quantile  0.90
     median fallbacks ........ time 30.0, penalty 1.0
     difficulty clip ......... 0.1 .. 3.0, missing finish time -> 2.0
@@ -46,7 +48,7 @@ class Config:
     peer_window_points: float = 100.0
     default_peer_rate: float = 0.5
 
-    top_candidates: int = 500
+    min_shared_tags: int = 4
     max_per_tag: int = 2
 
     finish_cap_quantile: float = 0.90

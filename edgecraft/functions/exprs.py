@@ -20,11 +20,6 @@ def clip(c: str | Column, lo: float, hi: float) -> Column:
     return F.least(F.greatest(col_or(c), F.lit(lo)), F.lit(hi))
 
 
-def safe_ratio(num: str | Column, den: str | Column, floor: float = 1.0) -> Column:
-    """num / max(den, floor) in double arithmetic."""
-    return col_or(num).cast("double") / F.greatest(col_or(den).cast("double"), F.lit(float(floor)))
-
-
 def contest_number(contest_id: str | Column) -> Column:
     """Trailing digits of a contest id as an int, else 0."""
     digits = F.regexp_extract(col_or(contest_id).cast("string"), r"([0-9]+)$", 1)
@@ -37,13 +32,11 @@ def dot(a: str | Column, b: str | Column) -> Column:
     return F.aggregate(prod, F.lit(0.0), lambda acc, v: acc + v)
 
 
-def l2_norm(a: str | Column) -> Column:
-    return F.sqrt(F.aggregate(col_or(a), F.lit(0.0), lambda acc, v: acc + v.cast("double") * v.cast("double")))
-
-
 def title_from_slug(slug: str | Column) -> Column:
-    """'two-sum' -> 'Two Sum' (fallback when a title is missing)."""
-    return F.initcap(F.regexp_replace(col_or(slug), "-", " "))
+    """'3sum-closest' -> '3Sum Closest' (fallback when a title is missing): the
+    first letter of every run of letters is upper-cased, the rest lowered."""
+    runs = F.regexp_extract_all(F.regexp_replace(col_or(slug), "-", " "), F.lit(r"(\p{L}+|[^\p{L}]+)"), 1)
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(r.substr(F.lit(2), F.length(r))))), "")
 
 
 def pct(x: str | Column) -> Column:

@@ -54,15 +54,19 @@ def explode_records(records: DataFrame) -> DataFrame:
                      _rank_as_int("rank", rank_type).alias("rank"),
                      F.explode("submissions").alias("frontend_id", "sub"))
     if isinstance(sub_type, T.StringType):
+        # only a missing "lang" is unknown; an explicit null stays null
         ex = ex.where(F.ltrim(F.col("sub")).startswith("{")) \
+            .withColumn("_lang", F.map_contains_key(F.from_json("sub", "map<string,string>"), "lang")) \
             .withColumn("sub", F.from_json("sub", SUBMISSION_SCHEMA))
+    else:
+        ex = ex.withColumn("_lang", F.col("sub.lang").isNotNull())
     ex = ex.where(F.col("sub").isNotNull())
     fail = F.coalesce(F.col("sub.fail_count").cast("int"), F.lit(0))
     return ex.select(
         "user_slug", "contest_id",
         F.col("frontend_id").cast("string").alias("frontend_id"),
         fail.alias("penalty_count"),
-        F.coalesce(F.col("sub.lang"), F.lit("unknown")).alias("language"),
+        F.when(F.col("_lang"), F.col("sub.lang")).otherwise(F.lit("unknown")).alias("language"),
         F.col("sub.date").cast("bigint").alias("submission_date"),
         (fail == 0).alias("solved"),
         "rank",

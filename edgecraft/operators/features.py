@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from edgecraft.config import DEFAULT, Config
+from edgecraft.sources.jsonl import any_file
 
 
 def user_tag_rates(interactions: DataFrame) -> DataFrame:
@@ -49,11 +50,6 @@ def user_features(interactions: DataFrame, with_tags: bool = True) -> DataFrame:
     return feats
 
 
-def modal_language(interactions: DataFrame) -> DataFrame:
-    """D3 on its own: most frequent language, ties by language ascending."""
-    return interactions.groupBy("user_id").agg(F.mode("language", True).alias("top_language"))
-
-
 def difficulty_bucket(proxy: F.Column) -> F.Column:
     """D5."""
     return F.when(proxy < 0.8, "easy").when(proxy < 1.5, "medium").otherwise("hard")
@@ -223,8 +219,11 @@ def numeric_feature_matrix(df: DataFrame, id_col: str, out_col: str = "features"
 
 
 class FeatureStore:
-    """Lazy access to the stored tables; a missing feature table gives an
-    empty DataFrame rather than an error.  Returns DataFrames only."""
+    """Lazy access to the stored tables; a feature table that does not
+    exist gives an empty DataFrame with its key column.  Any other failure to
+    read is raised."""
+
+    KEYS = {"user_features": "user_id string", "problem_features": "problem_id string"}
 
     def __init__(self, spark, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -233,12 +232,12 @@ class FeatureStore:
     def _load(self, name: str, required: bool) -> DataFrame:
         if name not in self._cache:
             path = f"{self.root}/{name}.parquet"
-            try:
+            if any_file(self.spark, path):
                 self._cache[name] = self.spark.read.parquet(path)
-            except Exception:
-                if required:
-                    raise FileNotFoundError(path)
-                self._cache[name] = self.spark.createDataFrame([], "user_id string")
+            elif required:
+                raise FileNotFoundError(path)
+            else:
+                self._cache[name] = self.spark.createDataFrame([], self.KEYS[name])
         return self._cache[name]
 
     @property

@@ -177,16 +177,20 @@ def struggle_set(history: DataFrame, min_penalty: int = 1) -> DataFrame:
 
 
 def graph_boost(candidates: DataFrame, struggles: DataFrame, slug_rel: DataFrame,
-                alpha: float = 0.05) -> DataFrame:
+                alpha: float = 0.05, symmetric_rel: bool = False) -> DataFrame:
     """Per (user_id, problem_id) candidate: alpha if the candidate is a
     neighbour of a struggle problem; else alpha/2 if one of the candidate's
     neighbours is a struggle problem; else 0.
 
-    ``slug_rel`` is the directed neighbour relation (src_slug -> dst_slug).
+    ``slug_rel`` is the directed neighbour relation (src_slug -> dst_slug); on
+    a symmetric one (``symmetric_rel``) the half boost never applies.
     """
     near = struggles.join(slug_rel, struggles.problem_id == slug_rel.src_slug) \
         .select("user_id", F.col("dst_slug").alias("problem_id")).distinct() \
         .withColumn("_full", F.lit(True))
+    if symmetric_rel:
+        return candidates.join(near, ["user_id", "problem_id"], "left") \
+            .withColumn("boost", F.when(F.col("_full"), F.lit(alpha)).otherwise(F.lit(0.0))).drop("_full")
     back = candidates.select("user_id", "problem_id") \
         .join(slug_rel, F.col("problem_id") == F.col("src_slug")) \
         .join(struggles.select("user_id", F.col("problem_id").alias("dst_slug")),

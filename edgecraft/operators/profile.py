@@ -79,9 +79,12 @@ def score_by_participation(records: DataFrame) -> DataFrame:
                                               F.count(F.lit(1)).alias("n_users"))
 
 
-def score_by_nth_contest(records: DataFrame, max_n: int = 20) -> DataFrame:
+def score_by_nth_contest(records: DataFrame, max_n: int | None = None) -> DataFrame:
     """K6: mean score on each user's n-th contest (chronological by
-    finish_time, then contest id), n <= 20."""
+    finish_time, then contest id); ``max_n`` bounds the report, by default
+    nothing does."""
     w = Window.partitionBy("user_slug").orderBy("ft", "contest_id", "score")
-    s = _scored(records).withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= max_n)
+    s = _scored(records).withColumn("nth", F.row_number().over(w))
+    if max_n is not None:
+        s = s.where(F.col("nth") <= max_n)
     return s.groupBy("nth").agg(F.avg("score").alias("avg_score"), F.count(F.lit(1)).alias("n_users"))

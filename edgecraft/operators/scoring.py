@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgecraft.config import DEFAULT, Config
-from edgecraft.functions.exprs import clip, dot, l2_norm
+from edgecraft.functions.exprs import clip, dot
 
 
 # ------------------------------------------------------------------ F3 ALS dot
@@ -23,12 +23,13 @@ def als_raw_scores(pairs: DataFrame, user_factors: DataFrame, item_factors: Data
     """dot(user factors, item factors); unknown user -> 0.25 for every
     item; known user with unknown item -> 0.0.
 
-    Factor tables are (id, features array); they join on equality keys, so a
-    factor table of any size is partitioned, not broadcast.
+    Factor tables are (id, features array); they join on equality keys, items
+    first, so that the last shuffle is the one by user, which the per-user
+    steps after it reuse.
     """
     uf = user_factors.select(F.col("id").alias("user_id"), F.col("features").alias("uf"))
     itf = item_factors.select(F.col("id").alias("problem_id"), F.col("features").alias("itf"))
-    j = pairs.join(uf, "user_id", "left").join(itf, "problem_id", "left")
+    j = pairs.join(itf, "problem_id", "left").join(uf, "user_id", "left")
     s = F.when(F.col("uf").isNull(), F.lit(unknown_user)) \
         .when(F.col("itf").isNull(), F.lit(0.0)).otherwise(dot("uf", "itf"))
     return j.withColumn("als_raw", s.cast("double")).drop("uf", "itf")
@@ -37,13 +38,14 @@ def als_raw_scores(pairs: DataFrame, user_factors: DataFrame, item_factors: Data
 # --------------------------------------------------------------- F4/F5 content
 
 
-def content_profiles(interactions: DataFrame, problem_tags: DataFrame) -> DataFrame:
+def content_profiles(interactions: DataFrame, problem_tags: DataFrame, problems: DataFrame) -> DataFrame:
     """F4 (sparse): per (user, tag), the score-weighted share of solved rows
-    whose problem carries the tag.  Users with no solved row have no entries
-    (the zero profile)."""
+    whose problem carries the tag.  Solved problems of the catalog
+    (``problems``) without a tag count in the divisor.  Users with no solved
+    row have no entries (the zero profile)."""
     solved = interactions.where(F.col("solved")).select(
         "user_id", "problem_id", F.col("normalized_score").cast("double").alias("w"))
-    known = solved.join(problem_tags.select("problem_id").distinct(), "problem_id", "left_semi")
+    known = solved.join(problems.select("problem_id").distinct(), "problem_id", "left_semi")
     tot = known.groupBy("user_id").agg(F.sum("w").alias("wsum"))
     per = known.join(problem_tags, "problem_id").groupBy("user_id", "tag").agg(F.sum("w").alias("tw"))
     return per.join(tot, "user_id").where(F.col("wsum") > 0) \
@@ -52,18 +54,22 @@ def content_profiles(interactions: DataFrame, problem_tags: DataFrame) -> DataFr
 
 def content_raw_scores(pairs: DataFrame, profiles: DataFrame, problem_tags: DataFrame) -> DataFrame:
     """cosine(user profile, problem multi-hot) for each (user, problem)
-    pair; 0 when the profile is empty or the problem has no tags."""
-    norm = profiles.groupBy("user_id").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("pnorm"))
-    ntag = problem_tags.groupBy("problem_id").agg(F.count(F.lit(1)).alias("nt"))
-    up = pairs.select("user_id", "problem_id").distinct()
-    hits = up.join(problem_tags, "problem_id").join(profiles, ["user_id", "tag"]) \
-        .groupBy("user_id", "problem_id").agg(F.sum("weight").alias("dotp"))
-    j = pairs.join(hits, ["user_id", "problem_id"], "left").join(norm, "user_id", "left") \
-        .join(ntag, "problem_id", "left")
-    s = F.when(F.col("dotp").isNull() | F.col("pnorm").isNull() | (F.col("pnorm") == 0)
-               | F.col("nt").isNull(), F.lit(0.0)) \
-        .otherwise(F.col("dotp") / (F.col("pnorm") * F.sqrt(F.col("nt").cast("double"))))
-    return j.withColumn("content_raw", s).drop("dotp", "pnorm", "nt")
+    pair; 0 when the profile is empty or the problem has no tags.
+
+    One row per user holds the profile as a map (at most one entry per tag of
+    the vocabulary) and its norm; one row per problem its tags.  The pairs meet
+    both by key and the dot product is folded on the row, so no pair is
+    exploded or aggregated back.
+    """
+    prof = profiles.groupBy("user_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("tag", "weight"))).alias("_prof"),
+        F.sqrt(F.sum(F.col("weight") ** 2)).alias("_pnorm"))
+    tags = problem_tags.groupBy("problem_id").agg(F.collect_set("tag").alias("_tags"))
+    j = pairs.join(tags, "problem_id", "left").join(prof, "user_id", "left")
+    dotp = F.aggregate("_tags", F.lit(0.0), lambda acc, t: acc + F.coalesce(F.col("_prof")[t], F.lit(0.0)))
+    s = F.when(F.col("_tags").isNull() | F.coalesce(F.col("_pnorm") == 0, F.lit(True)), F.lit(0.0)) \
+        .otherwise(dotp / (F.col("_pnorm") * F.sqrt(F.size("_tags").cast("double"))))
+    return j.withColumn("content_raw", s).drop("_prof", "_pnorm", "_tags")
 
 
 # ---------------------------------------------------------- F8 min-max calibrate
@@ -104,13 +110,14 @@ def _spread_expr(col: str, low: float, high: float) -> F.Column:
     return F.when(F.col("_n") == 1, F.lit((low + high) / 2.0)).when(flat, lin).otherwise(scaled)
 
 
-def _with_batch_stats(df: DataFrame, col: str, batch: list[str], order_col: str) -> DataFrame:
-    # per-batch window: a batch is one user's candidate list (capped upstream)
+def _with_batch_stats(df: DataFrame, col: str, batch: list[str], order_col: str, dense: bool = False) -> DataFrame:
+    """Size, range and list position per batch.  ``dense``: ``order_col`` is
+    already the 0-based position, so nothing is sorted."""
     w = Window.partitionBy(*batch)
-    wi = Window.partitionBy(*batch).orderBy(order_col)
+    pos = F.col(order_col) if dense else F.row_number().over(Window.partitionBy(*batch).orderBy(order_col)) - 1
     return df.withColumn("_n", F.count(F.lit(1)).over(w)) \
         .withColumn("_lo", F.min(col).over(w)).withColumn("_hi", F.max(col).over(w)) \
-        .withColumn("_i", (F.row_number().over(wi) - 1).cast("double"))
+        .withColumn("_i", pos.cast("double"))
 
 
 def minmax_spread(df: DataFrame, col: str, out: str, batch: list[str], order_col: str,
@@ -124,25 +131,22 @@ def minmax_spread(df: DataFrame, col: str, out: str, batch: list[str], order_col
 def _with_gate(df: DataFrame, col: str, batch: list[str], out: str, cfg: Config) -> DataFrame:
     """Adds the has-variance flag of ``col`` per batch as column ``out``.
 
-    Count and population std are partition-only window aggregates; the exact
-    number of distinct half-even 3-decimal values is the batch maximum of a
-    dense rank over those values (no per-row collections).
+    All statistics are partition-only window aggregates: more than two distinct
+    half-even 3-decimal values means that some value lies strictly between the
+    smallest and the largest, so nothing is sorted or collected.
     """
     w = Window.partitionBy(*batch)
-    r = F.bround(F.col(col), 3)
-    d = df.withColumn("_dr", F.when(F.col(col).isNotNull(), F.dense_rank().over(
-        Window.partitionBy(*batch).orderBy(F.when(F.col(col).isNotNull(), r)))))
-    # nulls sort first and take rank 1: shift the ranks of non-null values down
-    has_null = F.max(F.col(col).isNull().cast("int")).over(w)
-    nd = F.max("_dr").over(w) - has_null
-    gate = (F.count(F.col(col)).over(w) > 1) \
-        & (F.coalesce(F.stddev_pop(col).over(w), F.lit(0.0)) >= cfg.min_std) \
-        & (F.coalesce(nd, F.lit(0)) > 2)
-    return d.withColumn(out, gate).drop("_dr")
+    d = df.withColumn("_r", F.bround(F.col(col), 3))
+    d = d.withColumn("_r0", F.min("_r").over(w)).withColumn("_r1", F.max("_r").over(w)) \
+        .withColumn("_c", F.count(F.col(col)).over(w)).withColumn("_sd", F.stddev_pop(col).over(w))
+    inner = F.max(((F.col("_r") > F.col("_r0")) & (F.col("_r") < F.col("_r1"))).cast("int")).over(w)
+    gate = (F.col("_c") > 1) & (F.coalesce(F.col("_sd"), F.lit(0.0)) >= cfg.min_std) \
+        & (F.coalesce(inner, F.lit(0)) == 1)
+    return d.withColumn(out, gate).drop("_r", "_r0", "_r1", "_c", "_sd")
 
 
 def calibrate_or_spread(df: DataFrame, raw: str, out: str, batch: list[str], order_col: str,
-                        calibrated: str | None = None, cfg: Config = DEFAULT) -> DataFrame:
+                        calibrated: str | None = None, cfg: Config = DEFAULT, dense: bool = False) -> DataFrame:
     """use the calibrated column when it varies within the batch
     (clipped to [0,1]); otherwise map raw scores: cosine-like batches in
     [-1.1, 1.1] with a negative value -> (raw+1)/2, else spread to
@@ -155,7 +159,7 @@ def calibrate_or_spread(df: DataFrame, raw: str, out: str, batch: list[str], ord
         d = _with_gate(d, calibrated, batch, "_cal_ok", cfg)
     else:
         d = d.withColumn("_cal_ok", F.lit(False))
-    d = _with_batch_stats(d, raw, batch, order_col)
+    d = _with_batch_stats(d, raw, batch, order_col, dense)
     cosine_like = (F.col("_lo") >= -1.1) & (F.col("_hi") <= 1.1) & (F.col("_lo") < 0)
     d = d.withColumn("_mapped", F.when(cosine_like, (F.col(raw) + 1.0) / 2.0)
                      .otherwise(_spread_expr(raw, lo, hi)))
@@ -173,7 +177,7 @@ def calibrate_or_spread(df: DataFrame, raw: str, out: str, batch: list[str], ord
 
 def ensemble_scores(df: DataFrame, als: str, content: str, boost: str | None,
                     batch: list[str], order_col: str, cfg: Config = DEFAULT,
-                    out: str = "score") -> DataFrame:
+                    out: str = "score", dense: bool = False) -> DataFrame:
     """ALS varies -> weighted mean; else content varies -> content; else
     weighted mean; plus graph boost; clip to [0,1]; a batch with more than one
     item that is still flat is spread to [0.3, 0.8]."""
@@ -185,7 +189,7 @@ def ensemble_scores(df: DataFrame, als: str, content: str, boost: str | None,
         base = base + F.coalesce(F.col(boost), F.lit(0.0))
     d = d.withColumn("_s", clip(base, 0.0, 1.0))
     d = _with_gate(d, "_s", batch, "_s_ok", cfg)
-    d = _with_batch_stats(d, "_s", batch, order_col)
+    d = _with_batch_stats(d, "_s", batch, order_col, dense)
     spread = _spread_expr("_s", cfg.ensemble_spread_low, cfg.ensemble_spread_high)
     d = d.withColumn(out, F.when((F.col("_n") > 1) & ~F.col("_s_ok"), spread).otherwise(F.col("_s")))
     return d.drop("_a_ok", "_c_ok", "_s", "_s_ok", "_n", "_lo", "_hi", "_i")

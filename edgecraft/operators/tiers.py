@@ -1,8 +1,7 @@
 """Split, candidates, tiers and ranking.
 
 Every per-user rule of the reference becomes a window or aggregate keyed by
-``user_id``; lists handled per user are bounded by the candidate cap (500)
-or the tier size.
+``user_id``.
 """
 
 from __future__ import annotations
@@ -101,101 +100,53 @@ def dense_positions(df: DataFrame, key: str, out: str = "cat_pos", width: int =
         .withColumn(out, (F.col("_off") + F.col("_l")).cast("long")).drop("_b", "_off", "_l")
 
 
-def position_prefix(need: DataFrame, positioned: DataFrame, limit_col: str,
-                    bucket: int = 512) -> DataFrame:
-    """For each row of ``need`` (user_id, <limit_col>, ...), the items of
-    ``positioned`` (.., cat_pos) with cat_pos < limit: an equi-join on
-    fixed-size position buckets, so each user reads only its prefix."""
-    probe = need.withColumn("_b", F.explode(F.sequence(
-        F.lit(0).cast("long"), F.floor((F.col(limit_col) - 1) / bucket).cast("long"))))
-    pb = positioned.withColumn("_b", F.floor(F.col("cat_pos") / bucket).cast("long"))
-    return probe.join(pb, "_b").where(F.col("cat_pos") < F.col(limit_col)).drop("_b")
-
-
-def candidate_pool(users: DataFrame, history: DataFrame, catalog: DataFrame,
-                   cfg: Config = DEFAULT, bucket: int = 512, materialize=None) -> DataFrame:
-    """H7: per user, unsolved catalog problems; when more than ``cap`` are
-    unsolved, problems sharing a tag the user attempted come first, then the
-    rest, each in catalog order, first ``cap`` kept.
-
-    ``catalog`` has (problem_id, tags, cat_pos) with dense positions.  Exact,
-    with per-user work bounded by the cap rather than the catalog size:
-      1. prefix scan: the first 2K catalog positions (K = cap + |solved_u|),
-         read through an equi-join on position buckets; a user who finds
-         ``cap`` preferred unsolved problems there is done;
-      2. the remaining users prefer few problems, so their preferred part is
-         the union of per-tag catalog prefixes of length K (any preferred
-         problem in the answer is among the first K problems of one of its
-         tags) — cheap exactly because their tags are few or small;
-      3. a user with fewer than ``cap`` preferred problems has every tag
-         prefix complete, so the non-preferred fill lies within the first
-         cap + |solved_u| + |preferred_u| positions (bucket equi-join again).
+def tag_keys(problems: DataFrame, min_shared_tags: int) -> DataFrame:
+    """(problem_id, tag_key): one row for each combination of ``min_shared_tags``
+    of a problem's distinct tags (all of them, if it has fewer).  Problems of
+    one key share that many tags."""
+    tags = F.sort_array(F.array_distinct(F.filter("tags", lambda t: t.isNotNull())))
+    d = problems.select("problem_id", tags.alias("ts")).where(F.size("ts") > 0)
+    combos = F.array(F.array().cast("array<string>"))
+    d = d.withColumn("c", combos)
+    for _ in range(min_shared_tags):       # extend every combination by a later tag
+        longer = F.flatten(F.transform("c", lambda c: F.transform(
+            F.filter("ts", lambda t: (F.size(c) == 0) | (t > F.try_element_at(c, F.lit(-1)))),
+            lambda t: F.concat(c, F.array(t)))))
+        d = d.withColumn("c", F.when(F.size(longer) > 0, longer).otherwise(F.col("c")))
+    return d.select("problem_id", F.explode("c").alias("tag_key"))
+
+
+def candidate_pool(users: DataFrame, history: DataFrame, catalog: DataFrame, slug_rel: DataFrame,
+                   cfg: Config = DEFAULT, materialize=None) -> DataFrame:
+    """H7: per user, every unsolved catalog problem that neighbours an attempted
+    problem in the similar-problem graph or shares ``cfg.min_shared_tags`` tags
+    with one (all its tags, if it has fewer), in catalog order.
+
+    ``catalog`` has (problem_id, tags, cat_pos) with dense positions,
+    ``slug_rel`` is the neighbour relation.  Attempted problems meet the
+    catalog through equi-joins on graph edges and on tag combinations; there is
+    no limit on rows and no product of users and catalog.  Attempted and solved
+    marks travel with the rows, so one aggregate by (user, problem) removes
+    repeats and solved problems together.
     Output: user_id, problem_id, tags, cat_pos, pool_pos (0-based list order).
-
-    ``materialize`` (a reliable checkpoint) is applied to the per-user
-    profile and to the ranked prefix scan, each read by several branches.
     """
-    cap = cfg.top_candidates
-    mat = materialize or (lambda d: d)
-    empty = F.array().cast("array<string>")
-    u = users.select("user_id").distinct()
-    hist = history.join(u, "user_id", "left_semi")
-    solved = hist.where(F.col("solved")).select("user_id", "problem_id").distinct()
-    n_solved = solved.groupBy("user_id").agg(F.count(F.lit(1)).alias("ns"))
-    utags = hist.select("user_id", F.explode("tags").alias("tag")).distinct()
-    tagset = utags.groupBy("user_id").agg(F.collect_set("tag").alias("utags"))
-    prof = u.join(n_solved, "user_id", "left").join(tagset, "user_id", "left") \
-        .select("user_id", F.coalesce("ns", F.lit(0)).alias("ns"),
-                F.coalesce("utags", empty).alias("utags")) \
-        .withColumn("K", F.lit(cap) + F.col("ns"))
-    prof = mat(prof)
+    tried = history.join(users.select("user_id").distinct(), "user_id", "left_semi") \
+        .groupBy("user_id", "problem_id").agg(F.max(F.col("solved").cast("int")).alias("solved"))
     cat = catalog.select("problem_id", "tags", "cat_pos")
-    wu = Window.partitionBy("user_id").orderBy("cat_pos")
-    # 1. prefix scan
-    scan = position_prefix(prof.select("user_id", "utags", (F.col("K") * 2).alias("L")), cat, "L", bucket) \
-        .where(F.arrays_overlap(F.coalesce("tags", empty), F.col("utags"))) \
-        .select("user_id", "problem_id", "cat_pos") \
-        .join(solved, ["user_id", "problem_id"], "left_anti") \
-        .withColumn("r", F.row_number().over(wu)) \
-        .withColumn("n1", F.count(F.lit(1)).over(Window.partitionBy("user_id"))) \
-        .where(F.col("r") <= cap)
-    scan = mat(scan)
-    pref1 = scan.where(F.col("n1") >= cap).drop("n1")
-    sat = scan.where(F.col("r") == cap).select("user_id")
-    # 2. per-tag prefixes for the other users
-    rest = prof.join(sat, "user_id", "left_anti")
-    pt = cat.select("problem_id", "cat_pos", F.explode(F.array_distinct("tags")).alias("tag"))
-    pt = pt.withColumn("trank", F.row_number().over(Window.partitionBy("tag").orderBy("cat_pos")))
-    pref2 = utags.join(rest.select("user_id", "K"), "user_id") \
-        .join(pt, "tag").where(F.col("trank") <= F.col("K")) \
-        .select("user_id", "problem_id", "cat_pos").distinct() \
-        .join(solved, ["user_id", "problem_id"], "left_anti") \
-        .withColumn("r", F.row_number().over(wu)).where(F.col("r") <= cap)
-    pref = pref1.unionByName(pref2)
-    n_pref = pref2.groupBy("user_id").agg(F.count(F.lit(1)).alias("np"))
-    # 3. non-preferred fill for users short of the cap
-    need = rest.join(n_pref, "user_id", "left").withColumn("np", F.coalesce("np", F.lit(0))) \
-        .where(F.col("np") < cap) \
-        .withColumn("J", F.lit(cap) + F.col("ns") + F.col("np"))
-    fill = position_prefix(need.select("user_id", "utags", "J", "np"), cat, "J", bucket).where(
-        ~F.arrays_overlap(F.coalesce("tags", empty), F.col("utags"))) \
-        .select("user_id", "problem_id", "cat_pos", "np") \
-        .join(solved, ["user_id", "problem_id"], "left_anti")
-    fill = fill.withColumn("r", F.row_number().over(wu)).where(F.col("r") <= F.lit(cap) - F.col("np")) \
-        .select("user_id", "problem_id", "cat_pos", (F.col("np") + F.col("r")).alias("r"))
-    pool = pref.select("user_id", "problem_id", "cat_pos", "r").unionByName(fill)
-    # more than ``cap`` unsolved -> preferred first; otherwise plain catalog order
-    n_cat = catalog.agg(F.count(F.lit(1)).alias("ncat"))
-    solved_in_cat = solved.join(cat.select("problem_id"), "problem_id", "left_semi") \
-        .groupBy("user_id").agg(F.count(F.lit(1)).alias("sc"))
-    capped = u.join(solved_in_cat, "user_id", "left").crossJoin(F.broadcast(n_cat)) \
-        .select("user_id", ((F.col("ncat") - F.coalesce("sc", F.lit(0))) > cap).alias("capped"))
-    pool = pool.join(capped, "user_id")
-    wpos = Window.partitionBy("user_id").orderBy(
-        F.when(F.col("capped"), F.col("r")).otherwise(F.col("cat_pos")))
-    pool = pool.withColumn("pool_pos", F.row_number().over(wpos) - 1)
-    return pool.join(cat.select("problem_id", "tags"), "problem_id") \
+    keys = tag_keys(cat, cfg.min_shared_tags)
+    # problem -> problems within reach, once per catalog and not per user
+    reach = keys.join(keys.select(F.col("problem_id").alias("near"), "tag_key"), "tag_key") \
+        .select("problem_id", "near") \
+        .unionByName(slug_rel.select(F.col("src_slug").alias("problem_id"), F.col("dst_slug").alias("near"))) \
+        .distinct()
+    rows = tried.join(reach, "problem_id").select("user_id", F.col("near").alias("problem_id"), F.lit(0).alias("solved")) \
+        .unionByName(tried.where("solved = 1").select("user_id", "problem_id", "solved"))
+    pool = rows.groupBy("user_id", "problem_id").agg(F.max("solved").alias("solved")).where("solved = 0") \
+        .join(cat, "problem_id")
+    w = Window.partitionBy("user_id").orderBy("cat_pos")
+    pool = pool.withColumn("pool_pos", F.row_number().over(w) - 1) \
         .select("user_id", "problem_id", "tags", "cat_pos", "pool_pos")
+    return materialize(pool) if materialize else pool
 
 
 # ------------------------------------------------------------- H8 tiers
@@ -215,42 +166,38 @@ def assign_tiers(scored: DataFrame, cfg: Config = DEFAULT, blind: DataFrame | No
     """
     size = tier_size or cfg.tier_size
     s = scored.select("user_id", "problem_id", "score", "tags")
-    order = [F.col("score").desc(), F.col("problem_id")]
-    w = Window.partitionBy("user_id")
-    in_band = (F.col("score") >= cfg.edge_p_low) & (F.col("score") <= cfg.edge_p_high)
-    e = s.withColumn("_any", F.max(in_band.cast("int")).over(w))
-    centre = (cfg.edge_p_low + cfg.edge_p_high) / 2.0
-    band_rows = e.where(in_band).withColumn(
-        "pos", F.row_number().over(Window.partitionBy("user_id").orderBy(*order)))
-    near_rows = e.where(F.col("_any") == 0).withColumn(
-        "pos", F.row_number().over(Window.partitionBy("user_id").orderBy(
-            F.abs(F.col("score") - centre), *order)))
-    edge = band_rows.unionByName(near_rows).where(F.col("pos") <= size) \
-        .withColumn("tier", F.lit("edge_of_competence")).drop("_any")
-
-    c = s.where(F.col("score") >= cfg.confidence_p_min)
+    none = F.array().cast("array<string>")
+    slow = F.lit(False)
     if user_median is not None and problem_median is not None:
-        c = c.join(user_median.select("user_id", F.col("median_finish_time").alias("_um")), "user_id", "left") \
-            .join(problem_median.select("problem_id", F.col("median_finish_time").alias("_pm")),
-                  "problem_id", "left")
-        slow = F.col("_um").isNotNull() & F.col("_pm").isNotNull() \
-            & (F.col("_pm") > F.col("_um") * cfg.confidence_speed_factor)
-        c = c.where(~slow).drop("_um", "_pm")
-    conf = c.withColumn("pos", F.row_number().over(Window.partitionBy("user_id").orderBy(*order))) \
-        .where(F.col("pos") <= size).withColumn("tier", F.lit("confidence_builders"))
-
-    parts = [edge.select("user_id", "tier", "pos", "problem_id", "score", "tags"),
-             conf.select("user_id", "tier", "pos", "problem_id", "score", "tags")]
+        s = s.join(problem_median.select("problem_id", F.col("median_finish_time").alias("_pm")), "problem_id", "left") \
+            .join(user_median.select("user_id", F.col("median_finish_time").alias("_um")), "user_id", "left")
+        slow = F.coalesce(F.col("_pm") > F.col("_um") * cfg.confidence_speed_factor, F.lit(False))
+    weak = F.lit(False)
     if blind is not None:
-        bt = blind.groupBy("user_id").agg(F.collect_set("tag").alias("_bt"))
-        b = s.join(bt, "user_id").where(F.arrays_overlap(F.coalesce("tags", F.array().cast("array<string>")),
-                                                         F.col("_bt")))
-        b = b.withColumn("pos", F.row_number().over(Window.partitionBy("user_id").orderBy(*order))) \
-            .where(F.col("pos") <= size).withColumn("tier", F.lit("blind_spots"))
-        parts.append(b.select("user_id", "tier", "pos", "problem_id", "score", "tags"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        s = s.join(blind.groupBy("user_id").agg(F.collect_set("tag").alias("_bt")), "user_id", "left")
+        weak = F.coalesce(F.arrays_overlap(F.coalesce("tags", none), F.col("_bt")), F.lit(False))
+    centre = (cfg.edge_p_low + cfg.edge_p_high) / 2.0
+    s = s.select("user_id", "problem_id", "score", "tags",
+                 F.col("score").between(cfg.edge_p_low, cfg.edge_p_high).alias("_e"),
+                 ((F.col("score") >= cfg.confidence_p_min) & ~slow).alias("_c"), weak.alias("_b"))
+    # one ordered pass per user: running counts place each row in every tier it belongs to
+    w = Window.partitionBy("user_id").orderBy(F.col("score").desc(), "problem_id") \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    any_edge = F.max("_e").over(Window.partitionBy("user_id"))
+    s = s.withColumn("_any", any_edge)
+    for flag in ("_e", "_c", "_b"):
+        s = s.withColumn(flag + "n", F.when(F.col(flag), F.sum(F.col(flag).cast("int")).over(w)))
+    place = lambda tier, n: F.when(F.col(n) <= size, F.struct(F.lit(tier).alias("tier"), F.col(n).cast("int").alias("pos")))
+    placed = F.array_compact(F.array(place("edge_of_competence", "_en"), place("confidence_builders", "_cn"),
+                                     place("blind_spots", "_bn")))
+    out = s.where((F.col("_en") <= size) | (F.col("_cn") <= size) | (F.col("_bn") <= size)) \
+        .select("user_id", "problem_id", "score", "tags", F.explode(placed).alias("p")) \
+        .select("user_id", "p.tier", "p.pos", "problem_id", "score", "tags")
+    # users without any score in the band: the nearest to its centre
+    near = s.where(~F.col("_any")).withColumn("pos", F.row_number().over(
+        Window.partitionBy("user_id").orderBy(F.abs(F.col("score") - centre), F.col("score").desc(), "problem_id"))) \
+        .where(F.col("pos") <= size).withColumn("tier", F.lit("edge_of_competence"))
+    out = out.unionByName(near.select("user_id", "tier", "pos", "problem_id", "score", "tags"))
     if disjoint:
         first = Window.partitionBy("user_id", "problem_id").orderBy(
             F.when(F.col("tier") == "edge_of_competence", 0).when(F.col("tier") == "blind_spots", 1)

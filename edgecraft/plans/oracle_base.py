@@ -60,7 +60,7 @@ cat AS (
          p_name AS title,
          [p_brand, p_type, split_part(p_name, ' ', 1), split_part(p_name, ' ', 2)] AS tags,
          p_partkey, p_brand, p_type, p_size, p_name
-  FROM part WHERE p_partkey % 50 <> 0
+  FROM part
 ),
 cat_tags AS (
   SELECT DISTINCT problem_id, unnest(tags) AS tag FROM cat

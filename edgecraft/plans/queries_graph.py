@@ -12,21 +12,21 @@ from edgecraft.plans.registry import query
 from edgecraft.sources import fixtures
 
 SIM_CTES = """
-simq AS (
+simf AS (
   SELECT a.p_partkey AS k1, b.p_partkey AS k2, b.p_name AS t2
   FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type
    AND b.p_size - a.p_size BETWEEN 1 AND 5
-  WHERE a.p_partkey % 50 <> 0
 ),
+simq AS (SELECT * FROM simf WHERE k1 % 50 <> 0),
 sadj AS (
   SELECT DISTINCT src_slug, dst_slug FROM (
-    SELECT 'part-' || CAST(k1 AS VARCHAR) AS src_slug, 'part-' || CAST(k2 AS VARCHAR) AS dst_slug FROM simq
+    SELECT 'part-' || CAST(k1 AS VARCHAR) AS src_slug, 'part-' || CAST(k2 AS VARCHAR) AS dst_slug FROM simf
     UNION ALL
-    SELECT 'part-' || CAST(k2 AS VARCHAR), 'part-' || CAST(k1 AS VARCHAR) FROM simq)
+    SELECT 'part-' || CAST(k2 AS VARCHAR), 'part-' || CAST(k1 AS VARCHAR) FROM simf)
 ),
 sdir AS (
   SELECT DISTINCT 'part-' || CAST(k1 AS VARCHAR) AS src_slug, 'part-' || CAST(k2 AS VARCHAR) AS dst_slug
-  FROM simq
+  FROM simf
 ),
 st AS (SELECT DISTINCT user_id, problem_id FROM inter WHERE penalty_count >= 1 OR NOT solved),
 cand AS (SELECT DISTINCT user_id, problem_id FROM inter)
@@ -53,7 +53,7 @@ SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM (
 """, SIM_CTES))
 def q_similar_problem_edges(spark, sf_dir):
     """Undirected similar-problem edges (stub ids for unknown slugs)."""
-    _, edges = graph.similar_problem_graph(fixtures.question_list(spark, sf_dir))
+    _, edges = graph.similar_problem_graph(fixtures.question_list(spark, sf_dir, reduced=True))
     return edges
 
 
@@ -63,7 +63,7 @@ FROM simq WHERE k2 % 50 = 0
 """, SIM_CTES))
 def q_similar_problem_stubs(spark, sf_dir):
     """Stub nodes for similar slugs that are not in the question list."""
-    nodes, _ = graph.similar_problem_graph(fixtures.question_list(spark, sf_dir))
+    nodes, _ = graph.similar_problem_graph(fixtures.question_list(spark, sf_dir, reduced=True))
     return nodes.where(F.col("id") == F.col("titleSlug"))
 
 
@@ -80,7 +80,7 @@ def q_tag_graph_counts(spark, sf_dir):
 
 
 @query("similar_graph_counts", with_base("""
-SELECT (SELECT count(*) FROM cat) + (SELECT count(DISTINCT k2) FROM simq WHERE k2 % 50 = 0) AS n_nodes,
+SELECT (SELECT count(*) FROM cat WHERE p_partkey % 50 <> 0) + (SELECT count(DISTINCT k2) FROM simq WHERE k2 % 50 = 0) AS n_nodes,
        (SELECT count(*) FROM (SELECT DISTINCT least(src, dst), greatest(src, dst) FROM (
           SELECT CAST(k1 AS VARCHAR) AS src,
                  CASE WHEN k2 % 50 <> 0 THEN CAST(k2 AS VARCHAR) ELSE 'part-' || CAST(k2 AS VARCHAR) END AS dst
@@ -88,7 +88,7 @@ SELECT (SELECT count(*) FROM cat) + (SELECT count(DISTINCT k2) FROM simq WHERE k
 """, SIM_CTES))
 def q_similar_graph_counts(spark, sf_dir):
     """Similar-problem graph node and edge counts."""
-    nodes, edges = graph.similar_problem_graph(fixtures.question_list(spark, sf_dir))
+    nodes, edges = graph.similar_problem_graph(fixtures.question_list(spark, sf_dir, reduced=True))
     return graph.graph_counts(nodes, edges)
 
 
@@ -152,7 +152,7 @@ def q_graph_boost(spark, sf_dir):
     """G2 on the undirected graph, candidates = each user's attempted problems."""
     i = _inter(spark, sf_dir)
     cand = i.select("user_id", "problem_id").distinct()
-    return graph.graph_boost(cand, graph.struggle_set(i), _slug_rel(spark, sf_dir))
+    return graph.graph_boost(cand, graph.struggle_set(i), _slug_rel(spark, sf_dir), symmetric_rel=True)
 
 
 @query("graph_boost_directed", with_base(GRAPH_BOOST_BODY, SIM_CTES + "," + GRAPH_BOOST_SQL.format(rel="sdir")))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from edgecraft.operators import coldstart, extras, features, graph, models, peers, profile, scoring, tiers
 from edgecraft.plans import backtest, build, recommend, store
 from edgecraft.plans.oracle_base import with_base
-from edgecraft.plans.queries_scoring import (HB, POOL, PROFILE_SQL, TIER_SQL, _catalog_pos, _factor_tables,
+from edgecraft.plans.queries_scoring import (ENSEMBLE_SQL, HB, POOL, PROFILE_SQL, TIER_SQL, _catalog_pos, _factor_tables, _slug_rel,
                                              _history_batch, _pool, _tiers, content_sql, syn, FACTORS_SQL)
 from edgecraft.plans.registry import query
 from edgecraft.session import checkpoint_dir
@@ -54,13 +54,30 @@ recs AS (
 # ------------------------------------------------------------------ A
 
 
-@query("records_sample")
+@query("records_sample", with_base("""
+SELECT contest_id, user_slug, CAST(rank AS VARCHAR) AS rank, score FROM recs ORDER BY page, user_slug LIMIT 100
+""", RECS_SQL))
 def q_records_sample(spark, sf_dir):
-    """A3: the first 100 parsed records of the feed (a sampling operator)."""
+    """A3: the first 100 parsed records of the feed by page (a sampling operator)."""
     return jsonl.limit_records(jsonl.parse_contest_lines(fixtures.contest_jsonl(spark, sf_dir)), 100) \
         .select("contest_id", "user_slug", "rank", "score")
 
 
+@query("contest_dir_scan", with_base("""
+SELECT (SELECT count(*) FROM recs) AS records, CAST(2 AS BIGINT) AS bad_lines,
+       (SELECT count(*) FROM recs) + 2 AS combined_lines
+""", RECS_SQL))
+def q_contest_dir_scan(spark, sf_dir):
+    """A2 + A4 + A5: the feed as a folder of files, scanned, audited and combined."""
+    root = _scratch(spark)
+    fixtures.contest_jsonl(spark, sf_dir).where("value <> ''").write.text(f"{root}/src")
+    jsonl.combine_files(spark, f"{root}/src", f"{root}/all", pattern="*.txt")
+    recs = jsonl.read_contest_dir(spark, f"{root}/src", "*.txt")
+    bad = jsonl.bad_record_audit(recs).agg(F.sum("bad_lines").alias("bad_lines"))
+    return jsonl.good_records(recs).agg(F.count(F.lit(1)).alias("records")).crossJoin(bad).crossJoin(
+        spark.read.text(f"{root}/all").agg(F.count(F.lit(1)).alias("combined_lines")))
+
+
 @query("dataset_roundtrip", with_base("""
 SELECT user_id, contest_id, problem_id, solved, CAST(penalty_count AS BIGINT) AS penalty_count,
        round(difficulty_proxy, 6) AS difficulty_proxy FROM inter
@@ -81,49 +98,92 @@ def q_known_users(spark, sf_dir):
     return known_user_ids(spark, f"{out}/interactions.parquet")
 
 
+PAGES_SQL = """
+pg AS (SELECT 'biweekly-contest-' || CAST(cn AS VARCHAR) AS contest_id, cn, unnest(range(1, 1 + greatest(1,
+         CAST(ceil(n / 25.0) AS BIGINT)))) AS page
+       FROM (SELECT (year(o_orderdate) - 1995) * 12 + month(o_orderdate) AS cn, count(DISTINCT o_custkey) AS n
+             FROM orders GROUP BY 1))
+"""
+
+
 @query("page_audit", with_base("""
-SELECT contest_id, greatest(1, CAST(ceil(max(rank) / 25.0) AS BIGINT)) AS expected_pages,
-       count(DISTINCT CAST(ceil(rank / 25.0) AS BIGINT)) AS present_pages,
-       greatest(1, CAST(ceil(max(rank) / 25.0) AS BIGINT)) - count(DISTINCT CAST(ceil(rank / 25.0) AS BIGINT))
-         AS missing_pages
-FROM recs WHERE contest_id IS NOT NULL AND rank IS NOT NULL GROUP BY contest_id
-""", RECS_SQL))
+SELECT contest_id, count(*) AS expected_pages,
+       CAST(sum(CASE WHEN (cn * 31 + page) % 10 <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS present_pages,
+       CAST(sum(CASE WHEN (cn * 31 + page) % 10 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS missing_pages
+FROM pg GROUP BY contest_id
+""", PAGES_SQL))
 def q_page_audit(spark, sf_dir):
-    """Expected versus present result pages per contest."""
-    return extras.page_audit(_records(spark, sf_dir)).drop("missing")
+    """Expected, present and missing result pages per contest."""
+    return extras.page_audit(*fixtures.page_feed(spark, sf_dir))
+
 
+@query("missing_pages", with_base("""
+SELECT contest_id, page AS _page FROM pg WHERE (cn * 31 + page) % 10 = 0
+""", PAGES_SQL))
+def q_missing_pages(spark, sf_dir):
+    """The pages that a resumed run still has to fetch."""
+    return extras.missing_pages(*fixtures.page_feed(spark, sf_dir))
 
-@query("incremental_ingest")
+
+@query("incremental_ingest", with_base("""
+SELECT contest_id, user_slug, page AS _page, score FROM recs WHERE user_slug IS NOT NULL
+""", RECS_SQL))
 def q_incremental_ingest(spark, sf_dir):
-    """The feed written as files, ingested by a streaming query, then a
-    restart on the same checkpoint (no file is read twice)."""
+    """Half of the feed ingested by a streaming query, then a restart on the
+    same checkpoint over the whole feed (the first half comes again)."""
     root = _scratch(spark)
-    fixtures.contest_jsonl(spark, sf_dir).write.text(f"{root}/src")
+    feed = fixtures.contest_jsonl(spark, sf_dir)
+    feed.where(F.xxhash64("value") % 2 == 0).write.text(f"{root}/src")
     run_ingest(spark, f"{root}/src", f"{root}/table", f"{root}/ckpt", pattern="*.txt")
+    feed.write.mode("append").text(f"{root}/src")
     out = run_ingest(spark, f"{root}/src", f"{root}/table", f"{root}/ckpt", pattern="*.txt")
-    return out.select("contest_id", "user_slug", "_page", "score")
+    return out.where("user_slug is not null").select("contest_id", "user_slug", "_page", "score")
 
 
 @query("roadmap", """
 SELECT CAST(p_partkey + 1 AS BIGINT) AS "order", 'part-' || CAST(p_partkey AS VARCHAR) AS slug, p_name AS title,
        p_brand AS topic,
        CASE WHEN p_size <= 15 THEN 'Easy' WHEN p_size <= 35 THEN 'Medium' ELSE 'Hard' END AS difficulty
-FROM part WHERE p_partkey < 150
+FROM part WHERE p_size = 25
 """)
 def q_roadmap(spark, sf_dir):
     """A10: roadmap JSON document -> one row per problem."""
     return coldstart.read_roadmap(fixtures.roadmap_json(spark, sf_dir))
 
 
-@query("recommendations_json")
+@query("recommendations_json", with_base("""
+SELECT user_id, tier, pos, problem_id AS slug, round(round_even(score, 4), 6) AS p_solve FROM tiered
+""", TIER_SQL))
 def q_recommendations_json(spark, sf_dir):
-    """One JSON document per user with the three tier lists."""
+    """One JSON document per user with its tier lists, written to a folder,
+    read back and unfolded."""
     t = tiers.enrich(_tiers(spark, sf_dir)).select("user_id", "tier", "pos", "problem_id", "p_solve")
     per = t.groupBy("user_id", "tier").agg(F.sort_array(F.collect_list(F.struct(
         "pos", F.col("problem_id").alias("slug"), "p_solve"))).alias("items"))
     doc = per.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct(
         "tier", F.transform("items", lambda x: x.dropFields("pos"))))).alias("tiers"))
-    return doc.select("user_id", F.to_json(F.struct("user_id", "tiers")).alias("json"))
+    path = _scratch(spark)
+    doc.write.json(path)
+    back = spark.read.schema("user_id string, tiers map<string, array<struct<slug: string, p_solve: double>>>").json(path)
+    items = back.select("user_id", F.explode("tiers").alias("tier", "items"))
+    return items.select("user_id", "tier", F.posexplode("items").alias("pos", "x")).select(
+        "user_id", "tier", (F.col("pos") + 1).alias("pos"), "x.slug", "x.p_solve")
+
+
+@query("feature_store", with_base("""
+SELECT (SELECT count(*) FROM inter) AS interactions, (SELECT count(DISTINCT user_id) FROM inter) AS users,
+       CAST(0 AS BIGINT) AS problem_rows
+"""))
+def q_feature_store(spark, sf_dir):
+    """Stored interactions and user features read through the feature
+    store; the problem table was never written, so it is empty."""
+    root, i = _scratch(spark), _inter(spark, sf_dir)
+    write_parquet(i, f"{root}/interactions.parquet")
+    write_parquet(features.user_features(i, with_tags=False), f"{root}/user_features.parquet")
+    store_ = features.FeatureStore(spark, root)
+    n = lambda d, c: d.agg(F.count(F.lit(1)).alias(c))
+    return n(store_.interactions, "interactions").crossJoin(n(store_.user_features, "users")).crossJoin(
+        n(store_.problem_features, "problem_rows"))
 
 
 # ------------------------------------------------------------------ I
@@ -153,7 +213,7 @@ SELECT "order", slug, title, topic AS tag_topic, difficulty AS tag_difficulty, '
 FROM (SELECT CAST(p_partkey + 1 AS BIGINT) AS "order", 'part-' || CAST(p_partkey AS VARCHAR) AS slug,
              p_name AS title, p_brand AS topic,
              CASE WHEN p_size <= 15 THEN 'Easy' WHEN p_size <= 35 THEN 'Medium' ELSE 'Hard' END AS difficulty
-      FROM part WHERE p_partkey < 150)
+      FROM part WHERE p_size = 25)
 ORDER BY "order" LIMIT 10
 """)
 def q_roadmap_cards(spark, sf_dir):
@@ -176,16 +236,6 @@ def q_user_summary(spark, sf_dir):
 
 
 EXPL_SQL = TIER_SQL + """,
-sadj AS (
-  SELECT DISTINCT src_slug, dst_slug FROM (
-    SELECT 'part-' || CAST(a.p_partkey AS VARCHAR) AS src_slug, 'part-' || CAST(b.p_partkey AS VARCHAR) AS dst_slug
-    FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type
-     AND b.p_size - a.p_size BETWEEN 1 AND 5 WHERE a.p_partkey % 50 <> 0
-    UNION ALL
-    SELECT 'part-' || CAST(b.p_partkey AS VARCHAR), 'part-' || CAST(a.p_partkey AS VARCHAR)
-    FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type
-     AND b.p_size - a.p_size BETWEEN 1 AND 5 WHERE a.p_partkey % 50 <> 0)
-),
 st AS (SELECT DISTINCT user_id, problem_id FROM inter WHERE penalty_count >= 1 OR NOT solved),
 sv AS (SELECT DISTINCT user_id, problem_id FROM inter WHERE solved),
 cards AS (SELECT t.user_id, t.tier, t.pos, t.problem_id, round_even(t.score, 4) AS p_solve, c.tags
@@ -329,7 +379,7 @@ def q_score_by_participation(spark, sf_dir):
 @query("score_by_nth_contest", with_base("""
 SELECT nth, round(avg(score), 6) AS avg_score, count(*) AS n_users FROM (
   SELECT score, row_number() OVER (PARTITION BY user_slug ORDER BY coalesce(finish_time, 0), contest_id, score) AS nth
-  FROM recs WHERE user_slug IS NOT NULL AND score IS NOT NULL) WHERE nth <= 20 GROUP BY nth
+  FROM recs WHERE user_slug IS NOT NULL AND score IS NOT NULL) GROUP BY nth
 """, KREC))
 def q_score_by_nth_contest(spark, sf_dir):
     """K6."""
@@ -383,7 +433,7 @@ def q_difficulty_match(spark, sf_dir):
     i = _inter(spark, sf_dir)
     pt = features.problem_tags(build.problems(spark, sf_dir))
     c = scoring.content_raw_scores(i.select("user_id", "problem_id").distinct(),
-                                   scoring.content_profiles(i, pt), pt)
+                                   scoring.content_profiles(i, pt, build.problems(spark, sf_dir)), pt)
     r = i.groupBy("user_id").agg(F.avg("user_rating").alias("r"))
     px = i.groupBy("problem_id").agg(F.avg("difficulty_proxy").alias("px"))
     j = c.join(r, "user_id").join(px, "problem_id", "left")
@@ -436,7 +486,7 @@ def q_coverage_novelty(spark, sf_dir):
     recs = scoring.top_k(_history_batch(spark, sf_dir), "s", 10).select("user_id", "problem_id")
     pt = features.problem_tags(build.problems(spark, sf_dir))
     c = scoring.content_raw_scores(i.select("user_id", "problem_id").distinct(),
-                                   scoring.content_profiles(i, pt), pt)
+                                   scoring.content_profiles(i, pt, build.problems(spark, sf_dir)), pt)
     return extras.coverage_novelty(recs, build.problems(spark, sf_dir), c)
 
 
@@ -468,7 +518,7 @@ def q_reciprocal_rank_fusion(spark, sf_dir):
     r1 = tiers.score_rank(b.withColumnRenamed("s", "score"))
     pt = features.problem_tags(build.problems(spark, sf_dir))
     c = scoring.content_raw_scores(i.select("user_id", "problem_id").distinct(),
-                                   scoring.content_profiles(i, pt), pt)
+                                   scoring.content_profiles(i, pt, build.problems(spark, sf_dir)), pt)
     # snap to 1e-9 so float noise cannot reorder mathematically equal scores
     r2 = tiers.score_rank(c.withColumn("score", F.floor(F.col("content_raw") * 1e9 + 0.5)))
     return extras.reciprocal_rank_fusion([r1, r2])
@@ -479,19 +529,25 @@ def q_reciprocal_rank_fusion(spark, sf_dir):
 
 def _trained(spark, sf_dir, calibrate=True):
     i = _inter(spark, sf_dir)
-    return recommend.train(i, build.problems(spark, sf_dir), calibrate=calibrate, rank=16, max_iter=8)
+    return recommend.train(i, build.problems(spark, sf_dir), calibrate=calibrate)
 
 
-@query("model_save_load")
+@query("model_save_load", with_base("""
+SELECT (SELECT count(*) FROM (SELECT DISTINCT user_id, problem_id FROM inter)) AS pairs, CAST(0 AS BIGINT) AS differing
+"""))
 def q_model_save_load(spark, sf_dir):
-    """F16: ALS factors and id maps saved with Spark ML writers, loaded back
-    and used for raw scores."""
+    """F16: ALS factors and id maps saved with Spark ML writers and loaded back:
+    scored pairs, and how many of them score differently after loading."""
     i = _inter(spark, sf_dir)
-    fit = models.fit_als(i, rank=16, max_iter=8)
+    fit = models.fit_als(i)
     path = _scratch(spark)
     fit.save(path)
-    loaded = models.ALSFit.load(spark, path)
-    return loaded.raw_scores(i.select("user_id", "problem_id").distinct())
+    pairs = i.select("user_id", "problem_id").distinct()
+    a = fit.raw_scores(pairs)
+    b = models.ALSFit.load(spark, path).raw_scores(pairs).withColumnRenamed("als_raw", "again")
+    return a.join(b, ["user_id", "problem_id"]).agg(
+        F.count(F.lit(1)).alias("pairs"),
+        F.sum((~F.col("als_raw").eqNullSafe(F.col("again"))).cast("long")).alias("differing"))
 
 
 @query("train_job")
@@ -510,8 +566,7 @@ def q_train_job(spark, sf_dir):
 def _recommend_inputs(spark, sf_dir):
     i = _inter(spark, sf_dir)
     cat = _catalog_pos(spark, sf_dir)  # problem_id, title, tags, cat_pos
-    nodes, edges = graph.similar_problem_graph(fixtures.question_list(spark, sf_dir))
-    rel = graph.slug_edges(nodes, edges)
+    rel = _slug_rel(spark, sf_dir)
     pf = features.problem_features(i, build.problems(spark, sf_dir))
     return i, cat, rel, pf
 
@@ -545,16 +600,18 @@ def q_response_cards(spark, sf_dir):
 @query("backtest")
 def q_backtest(spark, sf_dir):
     """Temporal backtest of calibrated ALS (mean P/R/NDCG@10, MRR, Brier)."""
-    return backtest.backtest(_inter(spark, sf_dir))
+    return backtest.backtest(_inter(spark, sf_dir), _catalog_pos(spark, sf_dir), _slug_rel(spark, sf_dir))
 
 
-@query("pool_refresh")
+@query("pool_refresh", with_base("""
+SELECT user_id, problem_id, round(score, 6) AS score FROM ens
+""", ENSEMBLE_SQL))
 def q_pool_refresh(spark, sf_dir):
-    """The capped candidate pool with ensemble scores, written as a
+    """The candidate pool with ensemble scores, written as a
     Parquet table partitioned by user bucket and read back."""
     from edgecraft.plans.queries_scoring import _ensemble
     s = _ensemble(spark, sf_dir).select("user_id", "problem_id", "score") \
         .withColumn("bucket", (F.abs(F.xxhash64("user_id")) % 16).cast("int"))
     path = _scratch(spark)
     write_parquet(s, path, sort_within=["user_id"], partition_by=["bucket"])
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).drop("bucket")

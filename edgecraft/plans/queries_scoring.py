@@ -54,10 +54,14 @@ def _catalog_pos(spark, sf_dir):
     return tiers.dense_positions(cat, "_k").drop("_k")
 
 
+def _slug_rel(spark, sf_dir):
+    return graph.similar_slug_relation(fixtures.question_list(spark, sf_dir))
+
+
 def _pool(spark, sf_dir):
     i = _inter(spark, sf_dir)
     return tiers.candidate_pool(i.select("user_id").distinct(), i, _catalog_pos(spark, sf_dir),
-                                materialize=store.materialize)
+                                _slug_rel(spark, sf_dir), materialize=store.materialize)
 
 
 HB = f"""
@@ -69,22 +73,25 @@ hw AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n, min(s) OVER (PARTITI
 """
 
 POOL = """
-catp AS (SELECT problem_id, tags, row_number() OVER (ORDER BY p_partkey) - 1 AS cat_pos FROM cat),
-pusers AS (SELECT DISTINCT user_id FROM inter),
-psolved AS (SELECT DISTINCT user_id, problem_id FROM inter WHERE solved),
-putags AS (SELECT user_id, list(DISTINCT tag) AS utags FROM it GROUP BY user_id),
-unsolved AS (
-  SELECT u.user_id, c.problem_id, c.tags, c.cat_pos, list_has_any(c.tags, coalesce(t.utags, [])) AS pref
-  FROM pusers u CROSS JOIN catp c LEFT JOIN putags t ON t.user_id = u.user_id
-  WHERE NOT EXISTS (SELECT 1 FROM psolved s WHERE s.user_id = u.user_id AND s.problem_id = c.problem_id)
+catp AS (SELECT problem_id, tags, list_sort(list_distinct(tags)) AS ts,
+                row_number() OVER (ORDER BY p_partkey) - 1 AS cat_pos FROM cat),
+sadj AS (
+  SELECT DISTINCT src_slug, dst_slug FROM (
+    SELECT a.problem_id AS src_slug, b.problem_id AS dst_slug FROM cat a JOIN cat b
+      ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND b.p_size - a.p_size BETWEEN 1 AND 5
+    UNION ALL
+    SELECT b.problem_id, a.problem_id FROM cat a JOIN cat b
+      ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND b.p_size - a.p_size BETWEEN 1 AND 5)
 ),
-ucount AS (SELECT user_id, count(*) AS n_unsolved FROM unsolved GROUP BY user_id),
+-- every catalog problem has at most four tags, so sharing four (or all) is having the same set
+reach AS (SELECT a.problem_id, b.problem_id AS near FROM catp a JOIN catp b ON a.ts = b.ts
+          UNION SELECT src_slug, dst_slug FROM sadj),
+cands AS (SELECT DISTINCT i.user_id, r.near AS problem_id FROM inter i JOIN reach r ON i.problem_id = r.problem_id),
 pool AS (
-  SELECT * FROM (
-    SELECT x.user_id, x.problem_id, x.tags, x.cat_pos,
-           row_number() OVER (PARTITION BY x.user_id ORDER BY
-             CASE WHEN n_unsolved > 500 THEN CAST(NOT pref AS INTEGER) ELSE 0 END, cat_pos) - 1 AS pool_pos
-    FROM unsolved x JOIN ucount USING (user_id)) WHERE pool_pos < 500
+  SELECT u.user_id, u.problem_id, c.tags, c.cat_pos,
+         row_number() OVER (PARTITION BY u.user_id ORDER BY c.cat_pos) - 1 AS pool_pos
+  FROM cands u JOIN catp c USING (problem_id)
+  WHERE NOT EXISTS (SELECT 1 FROM inter s WHERE s.solved AND s.user_id = u.user_id AND s.problem_id = u.problem_id)
 )
 """
 
@@ -152,7 +159,7 @@ def q_unsolved_attempts(spark, sf_dir):
 
 @query("candidate_pool", with_base("SELECT user_id, problem_id, pool_pos FROM pool", POOL))
 def q_candidate_pool(spark, sf_dir):
-    """H7: capped unsolved pool, preferred tags first."""
+    """H7: unsolved problems near an attempted one (graph edge or shared tags)."""
     return _pool(spark, sf_dir).select("user_id", "problem_id", "pool_pos")
 
 
@@ -251,22 +258,30 @@ def q_implicit_weights(spark, sf_dir):
 
 FACTORS_SQL = """
 pairs AS (SELECT DISTINCT user_id, problem_id FROM inter),
-ufac AS (SELECT p.user_id, CAST(e.embedding AS DOUBLE[]) AS uf
-         FROM (SELECT DISTINCT user_id FROM inter) p
-         JOIN embeddings e ON e.vec_id = CAST('0x' || substr(p.user_id, 1, 6) AS BIGINT) % 1000),
-ifac AS (SELECT c.problem_id, CAST(e.embedding AS DOUBLE[]) AS itf
-         FROM cat c JOIN embeddings e ON e.vec_id = c.p_partkey)
+nvec AS (SELECT count(*) AS n FROM embeddings),
+vecs AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+ufac AS (SELECT p.user_id, e.v AS uf
+         FROM (SELECT DISTINCT user_id, CAST('0x' || substr(user_id, 1, 6) AS BIGINT) AS u FROM inter) p, nvec
+         JOIN vecs e ON e.i = p.u % n WHERE p.u % 7 <> 0),
+ifac AS (SELECT c.problem_id, e.v AS itf FROM cat c, nvec JOIN vecs e ON e.i = c.p_partkey % n
+         WHERE c.p_partkey % 11 <> 3)
 """
 
 
 def _factor_tables(spark, sf_dir):
+    """Factor tables over the whole of ``embeddings``: users and problems pick a
+    vector by key modulo its row count; one user in 7 and one problem in 11 stay
+    unknown, for those branches of F3."""
     emb = read_table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    vecs = tiers.dense_positions(emb, "vec_id", "i").select("i", F.col("embedding").alias("features"))
+    n = F.broadcast(emb.agg(F.count(F.lit(1)).alias("n")))
     users = _inter(spark, sf_dir).select("user_id").distinct() \
-        .withColumn("vec_id", F.conv(F.substring("user_id", 1, 6), 16, 10).cast("long") % 1000)
-    uf = users.join(emb, "vec_id").select(F.col("user_id").alias("id"), F.col("embedding").alias("features"))
-    items = fixtures.catalog(spark, sf_dir).select("problem_id", F.col("frontend_id").cast("long").alias("vec_id"))
-    itf = items.join(emb, "vec_id").select(F.col("problem_id").alias("id"), F.col("embedding").alias("features"))
-    return uf, itf
+        .withColumn("k", F.conv(F.substring("user_id", 1, 6), 16, 10).cast("long")).where("k % 7 <> 0")
+    items = fixtures.catalog(spark, sf_dir).select("problem_id", F.col("frontend_id").cast("long").alias("k")) \
+        .where("k % 11 <> 3")
+    pick = lambda d, key: d.crossJoin(n).withColumn("i", F.col("k") % F.col("n")).join(vecs, "i") \
+        .select(F.col(key).alias("id"), "features")
+    return pick(users, "user_id"), pick(items, "problem_id")
 
 
 @query("als_raw_scores", with_base("""
@@ -285,7 +300,7 @@ def q_als_raw_scores(spark, sf_dir):
 
 PROFILE_SQL = """
 csol AS (SELECT user_id, problem_id, normalized_score AS w FROM inter
-         WHERE solved AND problem_id IN (SELECT problem_id FROM cat_tags)),
+         WHERE solved AND problem_id IN (SELECT problem_id FROM cat)),
 ctot AS (SELECT user_id, sum(w) AS wsum FROM csol GROUP BY user_id),
 cper AS (SELECT user_id, tag, sum(w) AS tw FROM csol JOIN cat_tags USING (problem_id) GROUP BY ALL),
 prof AS (SELECT user_id, tag, tw / wsum AS weight FROM cper JOIN ctot USING (user_id) WHERE wsum > 0),
@@ -312,7 +327,7 @@ craw AS (SELECT p.user_id, p.problem_id,
 def q_content_profiles(spark, sf_dir):
     """score-weighted tag profile of solved problems."""
     pt = features.problem_tags(build.problems(spark, sf_dir))
-    return scoring.content_profiles(_inter(spark, sf_dir), pt)
+    return scoring.content_profiles(_inter(spark, sf_dir), pt, build.problems(spark, sf_dir))
 
 
 @query("content_raw_scores", with_base(
@@ -323,7 +338,7 @@ def q_content_raw_scores(spark, sf_dir):
     i = _inter(spark, sf_dir)
     pt = features.problem_tags(build.problems(spark, sf_dir))
     return scoring.content_raw_scores(i.select("user_id", "problem_id").distinct(),
-                                      scoring.content_profiles(i, pt), pt)
+                                      scoring.content_profiles(i, pt, build.problems(spark, sf_dir)), pt)
 
 
 @query("similar_items", """
@@ -345,16 +360,6 @@ def q_similar_items(spark, sf_dir):
 
 
 ENSEMBLE_SQL = POOL + "," + PROFILE_SQL + "," + content_sql("pool") + """,
-sadj AS (
-  SELECT DISTINCT src_slug, dst_slug FROM (
-    SELECT 'part-' || CAST(a.p_partkey AS VARCHAR) AS src_slug, 'part-' || CAST(b.p_partkey AS VARCHAR) AS dst_slug
-    FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type
-     AND b.p_size - a.p_size BETWEEN 1 AND 5 WHERE a.p_partkey % 50 <> 0
-    UNION ALL
-    SELECT 'part-' || CAST(b.p_partkey AS VARCHAR), 'part-' || CAST(a.p_partkey AS VARCHAR)
-    FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type
-     AND b.p_size - a.p_size BETWEEN 1 AND 5 WHERE a.p_partkey % 50 <> 0)
-),
 st AS (SELECT DISTINCT user_id, problem_id FROM inter WHERE penalty_count >= 1 OR NOT solved),
 near AS (SELECT DISTINCT st.user_id, a.dst_slug AS problem_id FROM st JOIN sadj a ON st.problem_id = a.src_slug),
 back AS (SELECT DISTINCT c.user_id, c.problem_id FROM pool c JOIN sadj a ON c.problem_id = a.src_slug
@@ -392,12 +397,11 @@ def _ensemble(spark, sf_dir):
     pool = _pool(spark, sf_dir)
     pt = features.problem_tags(build.problems(spark, sf_dir))
     s = pool.withColumn("ar", fixtures.synthetic_score(F.col("user_id"), F.col("problem_id")))
-    s = scoring.content_raw_scores(s, scoring.content_profiles(i, pt), pt).withColumnRenamed("content_raw", "cr")
-    nodes, edges = graph.similar_problem_graph(fixtures.question_list(spark, sf_dir))
-    s = graph.graph_boost(s, graph.struggle_set(i), graph.slug_edges(nodes, edges))
-    s = scoring.calibrate_or_spread(s, "ar", "pa", ["user_id"], "pool_pos")
-    s = scoring.calibrate_or_spread(s, "cr", "pc", ["user_id"], "pool_pos")
-    return scoring.ensemble_scores(s, "pa", "pc", "boost", ["user_id"], "pool_pos")
+    s = scoring.content_raw_scores(s, scoring.content_profiles(i, pt, build.problems(spark, sf_dir)), pt).withColumnRenamed("content_raw", "cr")
+    s = graph.graph_boost(s, graph.struggle_set(i), _slug_rel(spark, sf_dir), symmetric_rel=True)
+    s = scoring.calibrate_or_spread(s, "ar", "pa", ["user_id"], "pool_pos", dense=True)
+    s = scoring.calibrate_or_spread(s, "cr", "pc", ["user_id"], "pool_pos", dense=True)
+    return scoring.ensemble_scores(s, "pa", "pc", "boost", ["user_id"], "pool_pos", dense=True)
 
 
 @query("ensemble_scores", with_base("""
@@ -588,7 +592,7 @@ def q_isotonic_calibration(spark, sf_dir):
     i = _inter(spark, sf_dir)
     pt = features.problem_tags(build.problems(spark, sf_dir))
     rows = scoring.content_raw_scores(i.select("user_id", "problem_id", "solved"),
-                                      scoring.content_profiles(i, pt), pt)
+                                      scoring.content_profiles(i, pt, build.problems(spark, sf_dir)), pt)
     m = models.fit_isotonic(rows, "content_raw", "solved")
     return models.apply_isotonic(m, rows, "content_raw", "p")
 

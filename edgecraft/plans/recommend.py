@@ -2,7 +2,7 @@
 DataFrame of any size.
 
 After the candidate pool is built, every step is a join or a window keyed by
-``user_id``; per-user lists are bounded by the pool cap (500) and tier size.
+``user_id``; ``slug_rel`` is the symmetric neighbour relation.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ def train(interactions: DataFrame, problems: DataFrame, cfg: Config = DEFAULT,
     train_df, test_df = tiers.temporal_split(interactions, n_test_contests)
     als = models.fit_als(train_df, cfg, rank=rank, max_iter=max_iter)
     pt = features.problem_tags(problems)
-    prof = scoring.content_profiles(train_df, pt)
+    prof = scoring.content_profiles(train_df, pt, problems)
     als_cal = content_cal = None
     if calibrate:
         pairs = test_df.select("user_id", "problem_id", "contest_id", "solved")
@@ -57,11 +57,11 @@ def score_pool(pool: DataFrame, model: Trained, history: DataFrame, slug_rel: Da
     if model.content_cal is not None:
         s = models.apply_isotonic(model.content_cal, s, "content_raw", "content_cal")
         con_cal = "content_cal"
-    s = scoring.calibrate_or_spread(s, "als_raw", "p_als", batch, order, als_cal, cfg)
-    s = scoring.calibrate_or_spread(s, "content_raw", "p_content", batch, order, con_cal, cfg)
+    s = scoring.calibrate_or_spread(s, "als_raw", "p_als", batch, order, als_cal, cfg, dense=True)
+    s = scoring.calibrate_or_spread(s, "content_raw", "p_content", batch, order, con_cal, cfg, dense=True)
     st = graph.struggle_set(history, cfg.struggle_min_penalty)
-    s = graph.graph_boost(s, st, slug_rel, cfg.graph_alpha)
-    return scoring.ensemble_scores(s, "p_als", "p_content", "boost", batch, order, cfg)
+    s = graph.graph_boost(s, st, slug_rel, cfg.graph_alpha, symmetric_rel=True)
+    return scoring.ensemble_scores(s, "p_als", "p_content", "boost", batch, order, cfg, dense=True)
 
 
 def recommend(users: DataFrame, interactions: DataFrame, catalog: DataFrame, model: Trained,
@@ -74,11 +74,10 @@ def recommend(users: DataFrame, interactions: DataFrame, catalog: DataFrame, mod
     """
     mat = materialize or (lambda d: d)
     hist = interactions.join(users.select("user_id").distinct(), "user_id", "left_semi")
-    pool = tiers.candidate_pool(users, hist, catalog, cfg, materialize=materialize)
+    pool = tiers.candidate_pool(users, hist, catalog, slug_rel, cfg, materialize=materialize)
     scored = score_pool(pool, model, hist, slug_rel, cfg)
-    solved = hist.where(F.col("solved")).select("user_id", "problem_id").distinct()
-    scored = mat(tiers.apply_filters(scored, solved, "pool_pos").select(
-        "user_id", "problem_id", "tags", "pool_pos", "score"))
+    # the pool is unsolved and unique per user already (H4-H6 hold by construction)
+    scored = mat(scored.select("user_id", "problem_id", "tags", "pool_pos", "score"))
     rates = features.user_tag_rates(hist)
     # peer rates need every user's rows (peers are drawn from all users)
     peer = peers.peer_tag_scores(interactions, cfg)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import shutil
 
 from pyspark.sql import SparkSession
 
@@ -30,9 +31,10 @@ def get_session(master: str = "local[*]", shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only a local-mode session without that setting (tests) gets a private
-    scratch folder; a cluster session without it is an error, because a
-    machine-local folder is not reachable from other executors.
+    A cluster session without that setting is an error: a folder of one machine
+    is not reachable from other executors.  A local-mode session (tests, bench)
+    without it uses one folder of its application beside the warehouse, removed
+    when the process ends.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -40,8 +42,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf = sc.getConf().get("spark.checkpoint.dir", None)
     if not conf:
-        if not sc.master.startswith("local"):
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        conf = tempfile.mkdtemp(prefix="edgecraft-ckpt-")
+        base = spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:").rstrip("/")
+        conf = f"{base}/_checkpoints/{sc.applicationId}"
+        atexit.register(shutil.rmtree, conf, ignore_errors=True)
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf

@@ -26,8 +26,8 @@ PROBLEM_PREFIX = "part-"
 USER_PREFIX = "u"
 EPOCH_BASE = 1000000000
 SECONDS_PER_CONTEST = 2592000
-LEFT_OUT_EVERY = 50          # every 50th part is missing from the catalog
-ROADMAP_PARTS = 150
+LEFT_OUT_EVERY = 50          # every 50th part is missing from the *reduced* catalog (drop report, stubs)
+ROADMAP_SIZE = 25            # parts of this size are the curated roadmap
 
 
 def contest_num(orderdate: Column) -> Column:
@@ -135,6 +135,20 @@ def contest_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def page_feed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(pages, expected): the ranked users of each contest on pages of 25, with
+    one page in ten lost and one in ten kept as an empty sentinel; and the user
+    count of each contest, taken from the orders."""
+    ranks = contest_ranks(spark, sf_dir).withColumn("_page", F.ceil(F.col("rank") / 25).cast("long"))
+    fate = (F.col("contest_num") * 31 + F.col("_page")) % 10
+    kept = ranks.where(fate != 0).withColumn("_empty", fate == 1)
+    pages = kept.select(contest_id(F.col("contest_num")).alias("contest_id"), "_page", "_empty",
+                        F.when(~F.col("_empty"), user_slug(F.col("o_custkey"))).alias("user_slug"))
+    users = read_table(spark, sf_dir, "orders", "o_custkey", "o_orderdate") \
+        .groupBy(contest_num(F.col("o_orderdate")).alias("cn")).agg(F.count_distinct("o_custkey").alias("user_num"))
+    return pages, users.select(contest_id(F.col("cn")).alias("contest_id"), "user_num")
+
+
 # Fixed extra lines mixed into the text feed: two unparsable lines, a blank
 # line, and two empty-page sentinels without user or contest.
 EXTRA_LINES = [
@@ -153,10 +167,13 @@ def contest_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.unionByName(extra)
 
 
-def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Problem catalog: frontend_id, problem_id (slug), title, tags."""
+def catalog(spark: SparkSession, sf_dir: str, reduced: bool = False) -> DataFrame:
+    """Problem catalog: frontend_id, problem_id (slug), title, tags; ``reduced``
+    leaves every 50th part out, for the operators about missing entries."""
     p = read_table(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand", "p_type")
-    return p.where(F.col("p_partkey") % LEFT_OUT_EVERY != 0).select(
+    if reduced:
+        p = p.where(F.col("p_partkey") % LEFT_OUT_EVERY != 0)
+    return p.select(
         F.col("p_partkey").cast("string").alias("frontend_id"),
         F.concat(F.lit(PROBLEM_PREFIX), F.col("p_partkey").cast("string")).alias("problem_id"),
         F.col("p_name").alias("title"),
@@ -187,7 +204,7 @@ def tag_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return pnodes.unionByName(tnodes), edges
 
 
-def question_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+def question_list(spark: SparkSession, sf_dir: str, reduced: bool = False) -> DataFrame:
     """Problem list with a ``similarQuestions`` JSON string (C1 input).
 
     Similar = same brand and type, size larger by 1..5.  The size band is an
@@ -204,7 +221,7 @@ def question_list(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat(F.lit(PROBLEM_PREFIX), F.col("k2").cast("string")).alias("titleSlug"),
             F.col("t2").alias("title"),
             F.lit("Medium").alias("difficulty"))))).alias("similarQuestions"))
-    q = p.where(F.col("p_partkey") % LEFT_OUT_EVERY != 0)
+    q = p.where(F.col("p_partkey") % LEFT_OUT_EVERY != 0) if reduced else p
     return q.join(sim, q.p_partkey == sim.k1, "left").select(
         F.col("p_partkey").cast("string").alias("frontendQuestionId"),
         F.col("p_name").alias("title"),
@@ -214,9 +231,9 @@ def question_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def roadmap_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Curated roadmap list: the first 150 parts in key order."""
+    """Curated roadmap list: the parts of one size, in key order."""
     p = read_table(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand", "p_size")
-    return p.where(F.col("p_partkey") < ROADMAP_PARTS).select(
+    return p.where(F.col("p_size") == ROADMAP_SIZE).select(
         (F.col("p_partkey") + 1).cast("int").alias("order"),
         F.concat(F.lit(PROBLEM_PREFIX), F.col("p_partkey").cast("string")).alias("slug"),
         F.col("p_name").alias("title"),
@@ -227,11 +244,11 @@ def roadmap_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def roadmap_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The roadmap as one JSON document ``{source, problems: [...]}`` per row
-    (the multi-line file form A10 reads)."""
+    """The roadmap as JSON documents ``{source, problems: [...]}`` (the
+    multi-line file form A10 reads), one for each topic and 10,000 keys."""
     rows = roadmap_rows(spark, sf_dir)
-    doc = rows.agg(F.sort_array(F.collect_list(F.struct("order", "slug", "title", "topic",
-                                                          "difficulty"))).alias("problems"))
+    doc = rows.groupBy("topic", F.floor(F.col("order") / 10000)).agg(F.sort_array(F.collect_list(F.struct("order", "slug", "title", "topic",
+                                                           "difficulty"))).alias("problems"))
     return doc.select(F.to_json(F.struct(F.lit("driver part table").alias("source"),
                                          "problems")).alias("value"))
 

@@ -36,6 +36,10 @@ RECORD_SCHEMA = T.StructType([
 ])
 
 
+#: a text rank that is not a whole number
+ODD_RANK = r'"rank"\s*:\s*"(?!\s*[+-]?\d+\s*")'
+
+
 def parse_contest_lines(text: DataFrame) -> DataFrame:
     """A1: ``value`` lines -> contest records plus ``_corrupt_record``.
 
@@ -47,8 +51,11 @@ def parse_contest_lines(text: DataFrame) -> DataFrame:
     parsed = lines.select(
         *keep,
         F.from_json(F.col("value"), RECORD_SCHEMA,
-                    {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("r"))
-    return parsed.select(*keep, "r.*")
+                    {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("r"),
+        F.col("value").rlike(ODD_RANK).alias("_odd"))
+    # a rank given as text counts only when it is a whole number; as a number it is truncated later
+    r = parsed.select(*keep, "r.*", "_odd")
+    return r.withColumn("rank", F.when(~F.coalesce("_odd", F.lit(False)), F.col("rank"))).drop("_odd")
 
 
 def good_records(records: DataFrame) -> DataFrame:
@@ -56,15 +63,25 @@ def good_records(records: DataFrame) -> DataFrame:
 
 
 def read_contest_dir(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> DataFrame:
-    """A2: every ``*.jsonl`` file in a folder; file name kept from metadata."""
+    """A2: every ``*.jsonl`` file in a folder; file name kept from metadata; a
+    folder without one is an error."""
+    if not any_file(spark, path, pattern):
+        raise FileNotFoundError(f"no {pattern} in {path}")
     text = (spark.read.format("text").option("pathGlobFilter", pattern).load(path)
             .select("value", F.col("_metadata.file_name").alias("file_name")))
     return parse_contest_lines(text)
 
 
-def limit_records(records: DataFrame, n: int) -> DataFrame:
-    """A3: first ``n`` parsed source records (bad lines do not count)."""
-    return good_records(records).limit(n)
+def any_file(spark: SparkSession, path: str, pattern: str = "") -> bool:
+    """Whether a path (or a pattern in it) exists in the store that Spark reads."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{pattern}" if pattern else path)
+    return len(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p) or []) > 0
+
+
+def limit_records(records: DataFrame, n: int, order: tuple[str, ...] = ("_page", "user_slug")) -> DataFrame:
+    """A3: the first ``n`` parsed source records by ``order`` (bad lines do not
+    count), the same ones on every run."""
+    return good_records(records).orderBy(*order).limit(n)
 
 
 def bad_record_audit(records: DataFrame) -> DataFrame:

@@ -17,10 +17,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
     return df.select(*columns) if columns else df
 
 
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
-
-
 def write_parquet(df: DataFrame, path: str, sort_within: list[str] | None = None,
                   partition_by: list[str] | None = None) -> None:
     """Overwrite ``path`` (parents are created by the writer).

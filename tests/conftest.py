@@ -36,13 +36,13 @@ def interactions(spark, sf):
 
 @pytest.fixture
 def sample_interactions(spark):
+    """Three solvers on one small round; ``ivo`` never finishes a task."""
     rows = [
-        ("alice", "weekly-400", "two-sum", True, 5.2, 0, "python3", 1500.0, 0.2, ["Array", "Hash Table"]),
-        ("alice", "weekly-400", "add-two-numbers", False, None, 2, "python3", 1500.0, 0.6, ["Linked List"]),
-        ("bob", "weekly-400", "two-sum", True, 8.1, 1, "python3", 1800.0, 0.2, ["Array", "Hash Table"]),
-        ("bob", "weekly-400", "longest-substring", True, 22.5, 0, "python3", 1800.0, 0.7,
-         ["Sliding Window", "String"]),
-        ("carol", "weekly-400", "two-sum", False, None, 3, "python3", 1200.0, 0.2, ["Array", "Hash Table"]),
+        ("ana", "cup-7", "fold-paper", True, 12.5, 0, "rust", 900.0, 0.3, ["Geometry", "Greedy"]),
+        ("ana", "cup-7", "merge-rivers", False, None, 4, "rust", 900.0, 0.9, ["Union"]),
+        ("mei", "cup-7", "fold-paper", True, 9.0, 1, "go", 2100.0, 0.3, ["Geometry", "Greedy"]),
+        ("mei", "cup-7", "count-kites", True, 31.0, 0, "go", 2100.0, 1.2, ["Counting", "Greedy"]),
+        ("ivo", "cup-7", "fold-paper", False, None, 2, "go", 600.0, 0.3, ["Geometry", "Greedy"]),
     ]
     schema = ("user_id string, contest_id string, problem_id string, solved boolean, "
               "finish_time_min double, penalty_count int, language string, user_rating double, "
@@ -57,9 +57,8 @@ def sample_interactions(spark):
 
 @pytest.fixture
 def sample_problems(spark):
-    rows = [("two-sum", "Two Sum", ["Array", "Hash Table"], "Easy", 0.49),
-            ("add-two-numbers", "Add Two Numbers", ["Linked List"], "Medium", 0.39),
-            ("longest-substring", "Longest Substring Without Repeating Characters",
-             ["Sliding Window", "String"], "Medium", 0.33)]
+    rows = [("fold-paper", "Fold Paper", ["Geometry", "Greedy"], "Easy", 0.7),
+            ("merge-rivers", "Merge Rivers", ["Union"], "Hard", 0.2),
+            ("count-kites", "Count Kites", ["Counting", "Greedy"], "Medium", 0.4)]
     return spark.createDataFrame(rows, "problem_id string, title string, tags array<string>, "
                                        "difficulty_label string, acceptance_rate double")

@@ -43,31 +43,56 @@ def test_calibrate_or_spread_branches(spark):
     assert len(set(ps)) == 3 and all(r["p_spread"] for r in flat.collect())
 
 
-def test_edge_of_competence_band(spark):
-    s = spark.createDataFrame([("u1", p, sc, []) for p, sc in
-                               [("a", .9), ("b", .5), ("c", .4), ("d", .2), ("e", .6)]],
-                              "user_id string, problem_id string, score double, tags array<string>")
-    t = tiers.assign_tiers(s, tier_size=3)
-    edge = {r["problem_id"] for r in t.where("tier = 'edge_of_competence'").collect()}
-    conf = {r["problem_id"] for r in t.where("tier = 'confidence_builders'").collect()}
-    assert edge == {"b", "c", "e"} and "a" in conf
+def _scored(spark, items):
+    return spark.createDataFrame([("solver", p, float(sc), tags) for p, sc, tags in items],
+                                 "user_id string, problem_id string, score double, tags array<string>")
 
 
-def test_edge_fallback_nearest(spark):
-    s = spark.createDataFrame([("u1", p, sc, []) for p, sc in [("a", .9), ("b", .1), ("c", .7), ("d", .2)]],
-                              "user_id string, problem_id string, score double, tags array<string>")
-    edge = [r["problem_id"] for r in tiers.assign_tiers(s, tier_size=2)
-            .where("tier = 'edge_of_competence'").orderBy("pos").collect()]
-    assert edge == ["c", "d"]
+def _tier(df, tier):
+    return [r["problem_id"] for r in df.where(F.col("tier") == tier).orderBy("pos").collect()]
+
+
+def test_tiers_overlap_and_bounds_are_inclusive(spark):
+    t = tiers.assign_tiers(_scored(spark, [("kites", .75, []), ("rivers", .65, []), ("paper", .35, []),
+                                           ("ropes", .349, []), ("tiles", .48, [])]), tier_size=4)
+    assert _tier(t, "edge_of_competence") == ["rivers", "tiles", "paper"]
+    assert _tier(t, "confidence_builders") == ["kites"]
+
+
+def test_edge_falls_back_to_the_band_centre(spark):
+    t = tiers.assign_tiers(_scored(spark, [("kites", .98, []), ("rivers", .05, []), ("paper", .70, []),
+                                           ("ropes", .30, []), ("tiles", .70, [])]), tier_size=3)
+    assert _tier(t, "edge_of_competence") == ["paper", "tiles", "ropes"]
+
+
+def test_slow_problems_build_no_confidence(spark):
+    s = _scored(spark, [("kites", .9, []), ("rivers", .8, []), ("paper", .85, [])])
+    um = spark.createDataFrame([("solver", 10.0)], "user_id string, median_finish_time double")
+    pm = spark.createDataFrame([("kites", 12.5), ("rivers", 12.0)], "problem_id string, median_finish_time double")
+    t = tiers.assign_tiers(s, user_median=um, problem_median=pm)
+    assert _tier(t, "confidence_builders") == ["paper", "rivers"]
 
 
 def test_blind_spot_tier(spark):
-    s = spark.createDataFrame([("u1", "p1", .4, ["DP"]), ("u1", "p2", .4, ["Graph"]), ("u1", "p3", .3, ["DP"])],
-                              "user_id string, problem_id string, score double, tags array<string>")
-    blind = spark.createDataFrame([("u1", "DP")], "user_id string, tag string")
-    b = [r["problem_id"] for r in tiers.assign_tiers(s, blind=blind, tier_size=2)
-         .where("tier = 'blind_spots'").orderBy("pos").collect()]
-    assert b == ["p1", "p3"]
+    s = _scored(spark, [("kites", .4, ["Counting"]), ("rivers", .6, ["Union"]), ("paper", .2, ["Union", "Greedy"])])
+    blind = spark.createDataFrame([("solver", "Union")], "user_id string, tag string")
+    assert _tier(tiers.assign_tiers(s, blind=blind), "blind_spots") == ["rivers", "paper"]
+
+
+def test_profile_counts_untagged_problems(spark):
+    """A solved problem without a tag stays in the divisor."""
+    i = spark.createDataFrame([("u", "tagged", True, 1.0), ("u", "plain", True, 1.0), ("u", "other", True, 1.0)],
+                              "user_id string, problem_id string, solved boolean, normalized_score double")
+    tags = spark.createDataFrame([("tagged", "Union")], "problem_id string, tag string")
+    known = spark.createDataFrame([("tagged",), ("plain",)], "problem_id string")        # "other" is not listed
+    assert [tuple(r) for r in scoring.content_profiles(i, tags, known).collect()] == [("u", "Union", 0.5)]
+
+
+def test_title_from_slug(spark):
+    from edgecraft.functions.exprs import title_from_slug
+    slugs = ["3sum-closest", "two-PATHS", "a1b2c", ""]
+    df = spark.createDataFrame([(s,) for s in slugs], "s string")
+    assert [r[0] for r in df.select(title_from_slug("s")).collect()] == [s.replace("-", " ").title() for s in slugs]
 
 
 def test_diversity_rank_caps_tags(spark):
@@ -79,26 +104,30 @@ def test_diversity_rank_caps_tags(spark):
     assert [r["rank"] for r in out] == [1, 2, 5, 6]
 
 
-def test_candidate_pool_matches_brute_force(spark, interactions):
-    from edgecraft.plans import build
-    cat = build.problems(spark, "/root/testdata/sf0.001").withColumn(
-        "_k", F.substring("problem_id", 6, 20).cast("long"))
-    cat = tiers.dense_positions(cat, "_k").drop("_k")
-    users = interactions.select("user_id").distinct()
-    cfg = Config(top_candidates=40)
-    pool = tiers.candidate_pool(users, interactions, cat, cfg, bucket=16)
-    solved = interactions.where("solved").select("user_id", "problem_id").distinct()
-    ut = interactions.select("user_id", F.explode("tags").alias("t")).groupBy("user_id") \
-        .agg(F.collect_set("t").alias("ut"))
-    allp = users.crossJoin(cat).join(solved, ["user_id", "problem_id"], "left_anti").join(ut, "user_id")
-    from pyspark.sql import Window
-    n = allp.groupBy("user_id").count()
-    w = Window.partitionBy("user_id").orderBy(
-        F.when(F.col("count") > 40, (~F.arrays_overlap("tags", "ut")).cast("int")).otherwise(0), "cat_pos")
-    brute = allp.join(n, "user_id").withColumn("pool_pos", F.row_number().over(w) - 1) \
-        .where("pool_pos < 40").select("user_id", "problem_id", "pool_pos")
-    mine = pool.select("user_id", "problem_id", "pool_pos")
-    assert mine.exceptAll(brute).count() == 0 and brute.exceptAll(mine).count() == 0
+def test_candidate_pool_matches_brute_force(spark):
+    cat = {"p1": ["a", "b", "c"], "p2": ["c", "b", "a"], "p3": ["a", "b", "z"], "p4": ["q"], "p5": ["q", "a"],
+           "p6": [], "p7": ["b", "c", "a", "z"]}
+    edges = [("p6", "p4"), ("p4", "p6")]
+    hist = [("u", "p1", False), ("u", "p3", True), ("u", "p3", False), ("v", "p4", False), ("w", "p6", True),
+            ("x", "gone", True)]
+    catalog = spark.createDataFrame([(p, t, i) for i, (p, t) in enumerate(cat.items())],
+                                    "problem_id string, tags array<string>, cat_pos long")
+    history = spark.createDataFrame(hist, "user_id string, problem_id string, solved boolean")
+    rel = spark.createDataFrame(edges, "src_slug string, dst_slug string")
+    for k in (1, 2, 3, 4):
+        def near(a, b):
+            s, t = set(cat.get(a, [])), set(cat[b])
+            # a combination of k tags, or all of them for a problem with fewer, that both have as theirs
+            same = len(s) >= k and len(t) >= k and len(s & t) >= k or s and s == t
+            return (a, b) in edges or bool(same)
+        want = set()
+        for u in "uvwx":
+            done = {p for x, p, ok in hist if x == u and ok}
+            tried = {p for x, p, _ in hist if x == u}
+            got = [p for p in cat if p not in done and any(near(q, p) for q in tried)]
+            want |= {(u, p, i) for i, p in enumerate(got)}
+        pool = tiers.candidate_pool(history.select("user_id"), history, catalog, rel, Config(min_shared_tags=k))
+        assert {(r.user_id, r.problem_id, r.pool_pos) for r in pool.collect()} == want
 
 
 def test_temporal_split_disjoint(spark, interactions):
@@ -122,10 +151,12 @@ def test_ranking_metrics(spark):
 def test_roadmap_cards(spark, sf):
     from edgecraft.sources import fixtures
     road = coldstart.read_roadmap(fixtures.roadmap_json(spark, sf))
-    assert road.count() == 150
-    cards = coldstart.roadmap_cards(road, 5).orderBy("order").collect()
-    assert len(cards) == 5 and cards[0]["slug"] == "part-0" and cards[0]["signal_count"] == 2
-    assert cards[0]["signals"][0].startswith("NeetCode 150 roadmap — problem #1")
+    keys = [r[0] for r in spark.read.parquet(f"{sf}/part.parquet").where("p_size = 25").orderBy("p_partkey")
+            .select("p_partkey").collect()]
+    assert road.count() == len(keys)
+    cards = coldstart.roadmap_cards(road, 3).orderBy("order").collect()
+    assert [c["slug"] for c in cards] == [f"part-{k}" for k in keys[:3]] and cards[0]["signal_count"] == 2
+    assert f"problem #{keys[0] + 1} in" in cards[0]["signals"][0]
     assert coldstart.count_clamp(0) == 1 and coldstart.count_clamp(99) == 30 and coldstart.count_clamp(None) == 10
 
 
