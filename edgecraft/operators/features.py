@@ -154,6 +154,12 @@ def hex_key(col: str, digits: int = 15) -> F.Column:
     return F.conv(F.substring(col, 1, digits), 16, 10).cast("long")
 
 
+def text_key(col: str, skip: int = 0) -> F.Column:
+    """The seven bytes after ``skip`` characters as a long (order = byte order);
+    longer common starts are told apart by the tie-break of ``id_map``."""
+    return F.conv(F.hex(F.rpad(F.substring(col, skip + 1, 7), 7, " ")), 16, 10).cast("long")
+
+
 def interaction_matrix(interactions: DataFrame, users: DataFrame, items: DataFrame,
                        score_column: str = "normalized_score",
                        include_unsolved: bool = False) -> DataFrame:

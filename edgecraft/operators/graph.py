@@ -95,11 +95,12 @@ def _pairs_within(members: DataFrame, key: str, block_size: int) -> DataFrame:
     m = members.join(sizes, key) \
         .withColumn("_nb", nb).withColumn("_b", (F.abs(F.xxhash64("problem_id")) % F.col("_nb")).cast("int"))
     rest = [c for c in members.columns if c not in (key, "problem_id")]
+    every = F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))
     left = m.select(key, F.col("problem_id").alias("p1"), *[F.col(c).alias(c + "1") for c in rest],
-                    F.col("_b").alias("_bi"), F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("_bj"))
+                    F.col("_b").alias("_bi"), every.alias("_bj"))
     right = m.select(key, F.col("problem_id").alias("p2"), *[F.col(c).alias(c + "2") for c in rest],
-                     F.col("_b").alias("_bj"))
-    return left.join(right, [key, "_bj"]).where(F.col("p1") < F.col("p2")).drop("_bi", "_bj")
+                     every.alias("_bi"), F.col("_b").alias("_bj"))
+    return left.join(right, [key, "_bi", "_bj"]).where(F.col("p1") < F.col("p2")).drop("_bi", "_bj")
 
 
 def shared_tag_graph(problem_tags: DataFrame, min_shared_tags: int = 1,
@@ -210,11 +211,12 @@ def clique_penalty(selected: DataFrame, slug_rel: DataFrame, penalty: float = 0.
     g = list(group)
     a = selected.select(*g, F.col("problem_id").alias("cand"), F.col("pos").alias("cpos"))
     b = selected.select(*g, F.col("problem_id").alias("prev"), F.col("pos").alias("ppos"))
-    earlier = a.join(b, g).where(F.col("ppos") < F.col("cpos"))
-    hit_same = earlier.where(F.col("cand") == F.col("prev")).select(*g, "cand", "cpos")
-    hit_nb = earlier.join(slug_rel, (earlier.cand == slug_rel.src_slug)
-                          & (earlier.prev == slug_rel.dst_slug)).select(*g, "cand", "cpos")
-    hits = hit_same.unionByName(hit_nb).distinct().withColumn("_hit", F.lit(True))
+    # a pick's own slug and its neighbours, met with the earlier picks by key: no pairs within a group
+    near = a.withColumn("prev", F.col("cand")).unionByName(
+        a.join(slug_rel, F.col("cand") == F.col("src_slug")).select(*g, "cand", "cpos", F.col("dst_slug").alias("prev")))
+    first = b.groupBy(*g, "prev").agg(F.min("ppos").alias("ppos"))
+    hits = near.join(first, [*g, "prev"]).where(F.col("ppos") < F.col("cpos")) \
+        .select(*g, "cand", "cpos").distinct().withColumn("_hit", F.lit(True))
     out = selected.join(hits.withColumnRenamed("cand", "problem_id").withColumnRenamed("cpos", "pos"),
                         g + ["problem_id", "pos"], "left")
     return out.withColumn("clique_penalty", F.when(F.col("_hit"), F.lit(penalty)).otherwise(0.0)) \

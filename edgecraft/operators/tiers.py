@@ -85,18 +85,22 @@ def dense_positions(df: DataFrame, key: str, out: str = "cat_pos", width: int =
     """Dense 0-based position of each row in (``key``, *tiebreak) order,
     ``key`` a long.
 
-    Rows are grouped into fixed-width key buckets; bucket sizes are a small
-    aggregate whose prefix sums (one row per occupied bucket) give each
-    bucket's offset, and a window inside each bucket numbers its rows.  No
-    single task orders the whole table and nothing passes through Python.
+    Rows are grouped into fixed-width key buckets; a window inside each bucket
+    numbers its rows.  Bucket sizes become offsets in two levels (buckets inside
+    groups of 1,024, and the groups), so the last ordered pass has one row per
+    1,024 buckets.  No single task orders the whole table and nothing passes
+    through Python.
     """
     d = df.withColumn("_b", F.floor(F.col(key) / width).cast("long"))
-    sizes = d.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    offs = sizes.select("_b", F.coalesce(F.sum("_n").over(
-        Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    upto = lambda by, *part: Window.partitionBy(*part).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = d.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).withColumn("_g", F.floor(F.col("_b") / 1024))
+    groups = sizes.groupBy("_g").agg(F.sum("_n").alias("_gn"))
+    groups = groups.select("_g", F.coalesce(F.sum("_gn").over(upto("_g")), F.lit(0)).alias("_goff"))
+    offs = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(upto("_b", "_g")), F.lit(0))).join(groups, "_g") \
+        .select("_b", (F.col("_off") + F.col("_goff")).alias("_off"))
     local = d.withColumn("_l", F.row_number().over(
         Window.partitionBy("_b").orderBy(key, *tiebreak)) - 1)
-    return local.join(F.broadcast(offs), "_b") \
+    return local.join(offs, "_b") \
         .withColumn(out, (F.col("_off") + F.col("_l")).cast("long")).drop("_b", "_off", "_l")
 
 

@@ -285,8 +285,7 @@ def q_interaction_matrix(spark, sf_dir):
     i = _inter(spark, sf_dir)
     return features.interaction_matrix(
         i, features.id_map(i, "user_id", "user_idx", features.hex_key("user_id")),
-        # one key bucket: the catalog-sized problem list is ordered by id alone
-        features.id_map(i, "problem_id", "problem_idx", F.lit(0).cast("long")))
+        features.id_map(i, "problem_id", "problem_idx", features.text_key("problem_id", len(fixtures.PROBLEM_PREFIX))))
 
 
 @query("matrix_density", with_base("""

@@ -264,5 +264,4 @@ WHERE u.rate < coalesce(p.peer_rate, 0.5) - 0.15
 """, PEER_CTES))
 def q_blind_spot_tags(spark, sf_dir):
     """E5: tags where the user is more than 0.15 below the peers."""
-    i = _inter(spark, sf_dir)
-    return peers.blind_spot_tags(features.user_tag_rates(i), peers.peer_tag_scores(i))
+    return peers.blind_spots(_inter(spark, sf_dir))

@@ -454,7 +454,7 @@ tiered AS (
 def _tiers(spark, sf_dir):
     i = _inter(spark, sf_dir)
     sc = _pool(spark, sf_dir).withColumn("score", fixtures.synthetic_score(F.col("user_id"), F.col("problem_id")))
-    blind = peers.blind_spot_tags(features.user_tag_rates(i), peers.peer_tag_scores(i))
+    blind = peers.blind_spots(i)
     umed = i.groupBy("user_id").agg(F.median("finish_time_min").alias("median_finish_time"))
     pmed = i.groupBy("problem_id").agg(F.median("finish_time_min").alias("median_finish_time"))
     return tiers.assign_tiers(sc, blind=blind, user_median=umed, problem_median=pmed)

@@ -78,11 +78,8 @@ def recommend(users: DataFrame, interactions: DataFrame, catalog: DataFrame, mod
     scored = score_pool(pool, model, hist, slug_rel, cfg)
     # the pool is unsolved and unique per user already (H4-H6 hold by construction)
     scored = mat(scored.select("user_id", "problem_id", "tags", "pool_pos", "score"))
-    rates = features.user_tag_rates(hist)
     # peer rates need every user's rows (peers are drawn from all users)
-    peer = peers.peer_tag_scores(interactions, cfg)
-    peer = peer.join(users.select("user_id").distinct(), "user_id", "left_semi")
-    blind = peers.blind_spot_tags(rates, peer, cfg)
+    blind = peers.blind_spots(interactions, cfg).join(users.select("user_id").distinct(), "user_id", "left_semi")
     umed = hist.groupBy("user_id").agg(F.median("finish_time_min").alias("median_finish_time"))
     t = tiers.assign_tiers(scored, cfg, blind=blind, user_median=umed,
                            problem_median=problem_feats.select("problem_id", "median_finish_time"),
