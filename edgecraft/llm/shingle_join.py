@@ -88,7 +88,7 @@ def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
     w, n = word_hashes(texts)
     s = w.copy()
-    for j in range(1, words):
+    for j in range(1, min(words, len(w))):
         s[:len(w) - j] = mix(s[:len(w) - j] * np.uint64(0x9E3779B97F4A7C15) + w[j:])
     out, end = [], np.cumsum(n).tolist()
     for e, k in zip(end, n.tolist()):

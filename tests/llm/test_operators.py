@@ -243,6 +243,14 @@ def test_shingle_join(spark, docs, rows, none, words, percent):
     assert shingle_join.near_duplicates(none, rule).count() == 0
 
 
+def test_shingle_sets_of_tiny_batches():
+    for n in range(8):
+        text = " ".join(f"w{i}" for i in range(n))
+        for words in (1, 3, 5):
+            got = [len(s) for s in shingle_join.shingle_sets([text, "", text], words)]
+            assert got == [min(n, 1) if n < words else n - words + 1, 0, min(n, 1) if n < words else n - words + 1]
+
+
 def test_shingle_join_keeps_every_link():
     """Prefix keys of linked sets always meet, whatever the token order and the
     share of frequent tokens."""
