@@ -54,8 +54,8 @@ from edgecraft.llm.pretokens import mix
 from edgecraft.llm.shingle_join import word_hashes
 
 K, DELTA = 5, 0.05
-BATCH_BYTES = 12 << 20
-BUCKET_BYTES = 32 << 20
+BATCH_BYTES = 8 << 20
+BUCKET_BYTES = 14 << 20
 END, BEGIN = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
 H_MASK = np.uint64((1 << 48) - 1)
 
@@ -252,12 +252,15 @@ class Bucket:
         w, h, many = np.concatenate(w), np.concatenate(h), np.concatenate(many).astype(np.int64)
         self.doc, train, entry_batch = np.concatenate(doc), np.concatenate(train), np.concatenate(batch)
         entry, pair = pd.factorize(w ^ mix(h))
+        entry = entry.astype(np.int32)
         place = np.empty(len(pair), np.int64)
         place[entry] = np.arange(len(entry))
         self.w, self.h = w[place], h[place]                       # by distinct pair
-        of = np.repeat(entry, many)                               # pair of each event
-        self.r = np.bincount(of, weights=train, minlength=len(pair)).astype(np.int64)
-        self.pair, self.batch = of.astype(np.int32), np.repeat(entry_batch, many)
+        del w, h, place
+        self.pair = np.repeat(entry, many)                        # pair of each event
+        self.r = np.bincount(self.pair[train], minlength=len(pair))
+        self.batch = np.repeat(entry_batch, many)
+        del entry, many, train, pair, entry_batch
         code, word = pd.factorize(self.w)
         count = np.bincount(code, weights=self.r, minlength=len(word)).astype(np.int64)
         if frequent:
