@@ -56,19 +56,31 @@ def sliced(batches: Iterable[pa.RecordBatch], column: str = "text",
             i = j
 
 
+def squeeze(vec: np.ndarray) -> bytes:
+    """A vector of counts, compressed (length first)."""
+    raw = vec.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def expand(blob: bytes, dtype: str = "int64") -> np.ndarray:
+    raw = pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+    return np.frombuffer(raw, dtype)
+
+
 def sum_blobs(df: DataFrame, keys: list[str], dtype: str = "int64") -> DataFrame:
-    """Add up equal-length numpy vectors held in the binary column ``vec`` by
-    ``keys`` (row layout: keys, ``task`` int, ``vec``).  Two levels, 64 tasks
-    at a time, so that no group holds the vectors of every task."""
+    """Add up equal-length numpy vectors held in the binary column ``vec``
+    (:func:`squeeze`) by ``keys`` (row layout: keys, ``task`` int, ``vec``).
+    Two levels, 64 tasks at a time, so that no group holds the vectors of
+    every task."""
     schema = T.StructType([df.schema[k] for k in keys] + [T.StructField("task", T.IntegerType()),
                                                          T.StructField("vec", T.BinaryType())])
 
     def add(pdf):
-        total = np.zeros(len(pdf["vec"].iloc[0]) // np.dtype(dtype).itemsize, dtype)
-        for b in pdf["vec"]:
-            total += np.frombuffer(b, dtype)
+        total = expand(pdf["vec"].iloc[0], dtype).copy()
+        for b in pdf["vec"].iloc[1:]:
+            total += expand(b, dtype)
         out = pdf.iloc[:1].copy()
-        out["vec"] = [total.tobytes()]
+        out["vec"] = [squeeze(total)]
         return out[keys + ["task", "vec"]]
 
     first = (df.select(*keys, F.floor(F.col("task") / 64).cast("int").alias("task"), "vec")

@@ -53,7 +53,7 @@ def fit(train: DataFrame, orders: tuple[int, ...] = (1, 2, 3), bits: int = 16, a
                 for p in range(parts):
                     yield pa.RecordBatch.from_pydict({
                         "lang": [lang], "part": pa.array([p], pa.int32()), "task": pa.array([task], pa.int32()),
-                        "vec": [np.append(v[p * step:(p + 1) * step], n if p == 0 else 0).tobytes()]})
+                        "vec": [common.squeeze(np.append(v[p * step:(p + 1) * step], n if p == 0 else 0))]})
             sums.clear()
 
         for rb in common.sliced(batches):
@@ -79,7 +79,7 @@ def fit(train: DataFrame, orders: tuple[int, ...] = (1, 2, 3), bits: int = 16, a
     counts, n_docs = np.zeros((size, len(langs))), np.zeros(len(langs))
     at, step = {x: i for i, x in enumerate(langs)}, size // parts
     for r in model.collect():     # languages x parts vectors, bounded above
-        v = np.frombuffer(r.vec, np.int64)
+        v = common.expand(r.vec)
         counts[r.part * step:(r.part + 1) * step, at[r.lang]] = v[:-1]
         n_docs[at[r.lang]] += v[-1]
     log_prob = np.log(counts + alpha) - np.log(counts.sum(0) + alpha * size)

@@ -5,8 +5,9 @@ when ``100 * intersection >= percent * union``; the result is the components
 of the links.
 
 1. One pass hashes the sets: size, a 128-bit digest of the set, and the number
-   of documents per *token class* (``CLASSES`` hash classes of shingles, added
-   up over all documents).  Equal sets become one class of copies.
+   of documents per *token class* (``2 ** CLASS_BITS`` hash classes of
+   shingles, added up over all documents), and a parity bitmap of about one bit
+   a shingle.  Equal sets become one class of copies.
 2. The class counts, a table of fixed length, order all shingles, rare classes
    first.  Linked sets share a shingle in their prefixes of
    ``n - ceil(percent * n / 100) + 1`` shingles, and two in prefixes longer by
@@ -18,11 +19,14 @@ of the links.
 3. Within an index key no pairs are listed.  Every set of the key is compared
    with the key's leader (its smallest digest): star pairs, linear in the
    index.  Then components are formed, and only keys that still hold several
-   components go on: sets of different components are paired unless their
-   distances to the leader differ by more than the link distance (the Jaccard
-   distance is a metric, so such a pair cannot link).
-4. Pairs are verified exactly on the sets, grouped by leader in salted blocks
-   of bounded size.
+   components go on.  Sets linked to the leader are its cell; a set outside can
+   only link into the cell if it is within twice the link distance of the
+   leader (the Jaccard distance is a metric).  What is left, near sets against
+   the cell and outsiders among themselves, is paired where components differ.
+4. Pairs first meet the bitmaps: differing bits are at most the size of the
+   symmetric difference, so most pairs that cannot link end there, and the
+   same bound keeps outsiders away from a cell.  The rest are verified exactly
+   on the sets, grouped by leader in salted blocks of bounded size.
 
 Edge cases: null and empty texts, and texts without words, have no shingle and
 link with nothing; a text of fewer words than a shingle is one shingle; rows
@@ -44,7 +48,7 @@ from edgecraft.llm import common
 from edgecraft.llm.components import components
 from edgecraft.llm.pretokens import mix, span_hashes
 
-CLASS_BITS = 18
+CLASS_BITS = 21
 COMBINE = 256
 FREQUENT = 4.0               # times the mean count of a class
 BLOCK_SHINGLES = 1_000_000   # verified at once
@@ -114,13 +118,34 @@ def digests(h: np.ndarray) -> tuple[int, int]:
     return tuple(int(x) for x in mix(np.array([a + np.uint64(len(h)), b], np.uint64)).view(np.int64))
 
 
+def parity_bitmap(h: np.ndarray) -> bytes:
+    """Bit i is the parity of the shingles that hash to i; the length is the
+    power of two next to the set size (64 bits or more)."""
+    bits = max(64, 1 << int(len(h)).bit_length())
+    at = (mix(h ^ np.uint64(0xDA942042E4DD58B5)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """Lower bound of the symmetric difference of two sets from their bitmaps;
+    the longer one is folded onto the length of the shorter."""
+    if len(a) < len(b):
+        a, b = b, a
+    x = int.from_bytes(a, "little")
+    size = len(a)
+    while size > len(b):
+        size //= 2
+        x = (x >> (8 * size)) ^ (x & ((1 << (8 * size)) - 1))
+    return (x ^ int.from_bytes(b, "little")).bit_count()
+
+
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
 def hash_sets(docs: DataFrame, rule: Rule, parts: int = 16) -> DataFrame:
-    """One row a document (``part`` -1: ``doc_id``, ``n``, ``d1``, ``d2``) and the
-    class counts of each task (``part``, ``task``, ``vec``)."""
+    """One row a document (``part`` -1: ``doc_id``, ``n``, ``d1``, ``d2``, bitmap
+    in ``vec``) and the class counts of each task (``part``, ``task``, ``vec``)."""
     schema = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()),
                         ("d2", pa.int64()), ("task", pa.int32()), ("vec", pa.binary())])
 
@@ -133,10 +158,11 @@ def hash_sets(docs: DataFrame, rule: Rule, parts: int = 16) -> DataFrame:
             k = len(sets)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(k, -1, np.int32)), rb.column(0), pa.array([len(h) for h in sets], pa.int64()),
-                 pa.array(d[:, 0]), pa.array(d[:, 1]), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=schema)
+                 pa.array(d[:, 0]), pa.array(d[:, 1]), pa.nulls(k, pa.int32()),
+                 pa.array([parity_bitmap(h) for h in sets], pa.binary())], schema=schema)
         if counts.any():
             for p, vec in enumerate(np.split(counts, parts)):
-                yield pa.RecordBatch.from_pylist([{"part": p, "task": task, "vec": vec.tobytes()}], schema=schema)
+                yield pa.RecordBatch.from_pylist([{"part": p, "task": task, "vec": common.squeeze(vec)}], schema=schema)
 
     return docs.select("doc_id", "text").mapInArrow(
         run, "part int, doc_id long, n long, d1 long, d2 long, task int, vec binary")
@@ -147,11 +173,11 @@ def class_order(hashed: DataFrame) -> tuple[np.ndarray, int]:
     rows = common.sum_blobs(hashed.where("part >= 0").select("part", "task", "vec"), ["part"]).collect()
     counts = np.zeros(1 << CLASS_BITS, np.int64)
     for r in rows:                                   # a table of fixed length
-        v = np.frombuffer(r.vec, np.int64)
+        v = common.expand(r.vec)
         counts[r.part * len(v):(r.part + 1) * len(v)] = v
     order = np.argsort(counts, kind="stable")
-    rank = np.empty(len(counts), np.uint64)
-    rank[order] = np.arange(len(counts), dtype=np.uint64)
+    rank = np.empty(len(counts), np.uint32)
+    rank[order] = np.arange(len(counts), dtype=np.uint32)
     return rank, int(np.searchsorted(counts[order], FREQUENT * max(counts.mean(), 1.0), side="right"))
 
 
@@ -159,7 +185,7 @@ def prefix_keys(h: np.ndarray, rank: np.ndarray, frequent: int, rule: Rule) -> n
     """Index keys of a set."""
     n = len(h)
     short = n - rule.needed(n) + 1
-    g = (rank[(h >> _SHIFT).astype(np.int64)] << _SHIFT) | (h & _LOW)      # global order, one to one
+    g = (rank[(h >> _SHIFT).astype(np.int64)].astype(np.uint64) << _SHIFT) | (h & _LOW)      # global order, one to one
     take = min(short + 1, n)
     g = np.sort(np.partition(g, take - 1)[:take])
     rare = int(np.searchsorted(g, np.uint64(frequent) << _SHIFT)) if frequent < 1 << CLASS_BITS else take
@@ -174,13 +200,13 @@ def prefix_keys(h: np.ndarray, rank: np.ndarray, frequent: int, rule: Rule) -> n
 
 
 def index_entries(docs: DataFrame, rank: np.ndarray, frequent: int, rule: Rule) -> DataFrame:
-    """(``key``, ``d1``, ``n``): the index; copies within a task give one set of entries."""
+    """(``key``, ``d1``): the index; copies within a task give one set of entries."""
     shared = docs.sparkSession.sparkContext.broadcast((rank, frequent))
 
     def run(batches):
         seen: set[int] = set()
         for rb in common.sliced(batches):
-            keys, owner, size = [], [], []
+            keys, owner = [], []
             for h in shingle_sets(common.texts_of(rb), rule.words):
                 d = digests(h)[0]
                 if len(h) < rule.smallest or d in seen:
@@ -189,14 +215,13 @@ def index_entries(docs: DataFrame, rank: np.ndarray, frequent: int, rule: Rule)
                     seen.add(d)
                 keys.append(prefix_keys(h, *shared.value, rule))
                 owner.append(d)
-                size.append(len(h))
             if keys:
                 m = [len(k) for k in keys]
                 yield pa.RecordBatch.from_arrays(
-                    [signed(np.concatenate(keys)), pa.array(np.repeat(np.array(owner, np.int64), m)),
-                     pa.array(np.repeat(np.array(size, np.int32), m))], names=["key", "d1", "n"])
+                    [signed(np.concatenate(keys)), pa.array(np.repeat(np.array(owner, np.int64), m))],
+                    names=["key", "d1"])
 
-    return docs.select("text").mapInArrow(run, "key long, d1 long, n int")
+    return docs.select("text").mapInArrow(run, "key long, d1 long")
 
 
 def sets_of(docs: DataFrame, classes: DataFrame, involved: DataFrame, rule: Rule) -> DataFrame:
@@ -219,14 +244,34 @@ def sets_of(docs: DataFrame, classes: DataFrame, involved: DataFrame, rule: Rule
             .mapInArrow(run, "d1 long, rep long, set binary").dropDuplicates(["d1", "rep"]))
 
 
+def might_link(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+    """(``a``, ``b``, ``nb``, ``least``): distinct pairs of digests with the least
+    distance their bitmaps and sizes allow.  Only bitmaps are shuffled."""
+    side = lambda k: classes.select(F.col("d1").alias(k), F.col("n").alias("n" + k), F.col("bits").alias("x" + k))
+    met = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "xa", "xb")
+
+    def run(batches):
+        for rb in batches:
+            na, nb = (rb.column(i).to_numpy().astype(np.int64) for i in (2, 3))
+            diff = np.array([least_difference(x, y) for x, y in
+                             zip(rb.column(4).to_pylist(), rb.column(5).to_pylist())], np.int64)
+            diff = np.maximum(diff, np.abs(na - nb))
+            inter = (na + nb - diff) // 2                # at most
+            least = 1 - inter / np.maximum(na + nb - inter, 1)
+            yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), rb.column(3), pa.array(least)],
+                                             names=["a", "b", "nb", "least"])
+
+    return met.mapInArrow(run, "a long, b long, nb long, least double")
+
+
 def verify(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """(``a``, ``b`` digests, ``ra``, ``rb`` representatives, ``inter``, ``uni``)
-    for distinct pairs (``a``, ``b``)."""
-    load = pairs.join(sets.select(F.col("d1").alias("b"), F.col("rep").alias("rb"), F.col("set").alias("sb")), "b")
-    blocks = F.ceil(F.sum(F.octet_length("sb") / 8) / BLOCK_SHINGLES).cast("int")
-    hub = load.groupBy("a").agg(F.greatest(F.lit(1), blocks).alias("blocks"))
-    load = (load.join(hub, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
-            .select(F.col("a").alias("hub"), F.col("block").alias("part"), "b", "rb", "sb"))
+    for distinct pairs (``a``, ``b``, ``nb``: size of b)."""
+    blocks = F.ceil(F.sum("nb") / BLOCK_SHINGLES).cast("int")
+    hub = pairs.groupBy("a").agg(F.greatest(F.lit(1), blocks).alias("blocks"))
+    load = (pairs.join(hub, "a").select(F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")
+                                        .alias("part"), "b")
+            .join(sets.select(F.col("d1").alias("b"), F.col("rep").alias("rb"), F.col("set").alias("sb")), "b"))
     left = (hub.join(sets.select(F.col("d1").alias("a"), F.col("rep").alias("ra"), F.col("set").alias("sa")), "a")
             .select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "ra", "sa"))
 
@@ -251,59 +296,54 @@ def verify(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
         run, "a long, b long, ra long, rb long, inter long, uni long")
 
 
-def similar(a: str, b: str, rule: Rule):
-    """Sizes allow a link."""
-    return F.least(a, b) * 100 >= F.greatest(a, b) * rule.percent
+def checked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+    """Exact overlaps of the pairs that the bitmaps leave: (``a``, ``b``, ``ra``,
+    ``rb``, ``inter``, ``uni``)."""
+    ends = pairs.select(F.col("a").alias("d1")).union(pairs.select(F.col("b").alias("d1"))).distinct()
+    return verify(pairs, common.checkpoint(sets_of(docs, classes, ends, rule)), rule)
 
 
 def find_links(docs: DataFrame, hashed: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     """Links between class representatives (``a``, ``b``) that connect every
     pair of linked sets, directly or through other links."""
+    width = 1 - rule.percent / 100 + 1e-9
+    link = F.col("inter") * 100 >= F.col("uni") * rule.percent
     rank, frequent = class_order(hashed)
     entries = index_entries(docs, rank, frequent, rule)
     keys = (entries.groupBy("key").agg(F.min("d1").alias("lead"), F.max("d1").alias("last"))
             .where("lead <> last").select("key", "lead"))
-    held = common.checkpoint(entries.join(keys, "key").groupBy("key", "d1").agg(
-        F.first("n").alias("n"), F.first("lead").alias("lead")))
-    size = held.groupBy("d1").agg(F.first("n").alias("n"))
-    star = (held.where("lead <> d1").select(F.col("lead").alias("a"), F.col("d1").alias("b"), F.col("n").alias("nb"))
-            .distinct())
-    star = star.join(size.select(F.col("d1").alias("a"), F.col("n").alias("na")), "a")
-    # the distance to the leader is needed for every member, also where sizes rule out a link
-    sets = common.checkpoint(sets_of(docs, classes, size.select("d1"), rule))
-    first = common.checkpoint(verify(star.select("a", "b"), sets, rule))
-    link = F.col("inter") * 100 >= F.col("uni") * rule.percent
-    linked = common.checkpoint(first.where(link).select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    held = common.checkpoint(entries.join(keys, "key").groupBy("key", "d1").agg(F.first("lead").alias("lead")))
+    star = held.where("lead <> d1").select(F.col("lead").alias("a"), F.col("d1").alias("b")).distinct()
+    star = common.checkpoint(might_link(star, classes, rule))
+    first = common.checkpoint(checked(star.where(F.col("least") <= width), docs, classes, rule))
+    linked = first.where(link).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     label = components(linked)
-    reps = sets.select("d1", "rep")
-    named = (reps.join(label, reps["rep"] == label["node"], "left")
+    named = (classes.join(label, classes["rep"] == label["node"], "left")
              .groupBy("d1").agg(F.min(F.coalesce("label", "rep")).alias("label")))
-    far = first.groupBy(F.col("a").alias("lead"), F.col("b").alias("d1")).agg(
-        F.min(1 - F.col("inter") / F.col("uni")).alias("dist"))
-    open_keys = (held.join(named, "d1").groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    exact = first.groupBy("a", "b").agg(F.min(1 - F.col("inter") / F.col("uni")).alias("dist"))
+    # zone of a set in its key: 0 the leader's cell, 1 near it, 2 far from it
+    far = F.coalesce("dist", "least")
+    zones = star.join(exact, ["a", "b"], "left").select(
+        F.col("a").alias("lead"), F.col("b").alias("d1"),
+        F.when(F.col("dist") <= width, 0).when(far <= 2 * width, 1).otherwise(2).alias("zone"))
+    marked = held.join(named, "d1")
+    open_keys = (marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
                  .where("lo <> hi").select("key"))
-    width = 1 - rule.percent / 100
-    left = common.checkpoint(
-        held.join(open_keys, "key").join(named, "d1").join(far, ["lead", "d1"], "left")
-        .select("key", "d1", "n", "lead", "label", F.coalesce("dist", F.lit(0.0)).alias("dist"))
-        .withColumn("band", F.floor(F.col("dist") / (width * (1 + 1e-6))).cast("int")))
-    # pair (key, band, component) groups first, members only where components differ
-    group = left.groupBy("key", "band", "label").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    near = group.select("key", F.col("band").alias("band2"), F.col("label").alias("label2"),
-                        F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    met = (group.withColumn("band2", F.explode(F.array(F.col("band"), F.col("band") + 1, F.col("band") - 1)))
-           .join(near, ["key", "band2"]).where("label < label2")
-           .where((F.col("hi") * 100 >= F.col("lo2") * rule.percent) & (F.col("hi2") * 100 >= F.col("lo") * rule.percent))
-           .select("key", "band", "label", "band2", "label2"))
-    one = left.select("key", "band", "label", F.col("d1").alias("a"), F.col("n").alias("na"),
-                      F.col("dist").alias("da"), "lead")
-    two = left.select("key", F.col("band").alias("band2"), F.col("label").alias("label2"), F.col("d1").alias("b"),
-                      F.col("n").alias("nb"), F.col("dist").alias("db"))
-    cross = (met.join(one, ["key", "band", "label"]).join(two, ["key", "band2", "label2"])
-             .where(similar("na", "nb", rule) & (F.abs(F.col("da") - F.col("db")) <= width + 1e-9)
-                    & (F.col("a") != F.col("lead")) & (F.col("b") != F.col("lead")))
+    left = common.checkpoint(marked.join(open_keys, "key").join(zones, ["lead", "d1"], "left").select(
+        "key", "d1", "label", F.coalesce("zone", F.lit(0)).alias("zone"), (F.col("lead") == F.col("d1")).alias("led")))
+    # (key, zone, component) groups meet first, their members only where components differ
+    group = left.groupBy("key", "zone", "label").agg(F.max((~F.col("led")).cast("int")).alias("any")).where("any = 1")
+    two = group.select("key", F.col("zone").alias("zone2"), F.col("label").alias("label2"))
+    met = group.join(two, "key").where("label < label2 and not (zone = 0 and zone2 = 0) and zone + zone2 <> 2 "
+                                       "or label < label2 and zone = 1 and zone2 = 1") \
+        .select("key", "zone", "label", "zone2", "label2")
+    member = left.where("not led")
+    one = member.select("key", "zone", "label", F.col("d1").alias("a"))
+    other = member.select("key", F.col("zone").alias("zone2"), F.col("label").alias("label2"), F.col("d1").alias("b"))
+    cross = (met.join(one, ["key", "zone", "label"]).join(other, ["key", "zone2", "label2"])
              .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    second = verify(cross, sets, rule).where(link).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    again = common.checkpoint(might_link(cross, classes, rule).where(F.col("least") <= width))
+    second = checked(again, docs, classes, rule).where(link).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     return linked.unionByName(second)
 
 
@@ -311,10 +351,11 @@ def near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
     """``doc_id``, ``n`` (set size) and ``component_id`` of every row of ``docs``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     hashed = common.checkpoint(hash_sets(docs, rule))
-    rows = hashed.where("part = -1").select("doc_id", "n", "d1", "d2")
+    rows = hashed.where("part = -1").select("doc_id", "n", "d1", "d2", "vec")
     known = docs.where(F.col("doc_id").isNotNull())
     classes = common.checkpoint(rows.where("n > 0 and doc_id is not null").groupBy("d1", "d2")
-                                .agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")))
+                                .agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("vec").alias("bits")))
+    rows = rows.drop("vec")
     links = find_links(known, hashed, classes.where(F.col("n") >= rule.smallest), rule)
     # copies, and rows of one id, belong together through the class representative
     same_id = (rows.where("n > 0").join(classes.select("d1", "d2", "rep"), ["d1", "d2"])

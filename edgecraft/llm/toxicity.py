@@ -69,12 +69,12 @@ def class_ratio(train: DataFrame, orders=ORDERS, bits=BITS, parts: int = 64) ->
                 cut = sums[:, p * step:(p + 1) * step].ravel()
                 yield pa.RecordBatch.from_pydict({
                     "part": pa.array([p], pa.int32()), "task": pa.array([task], pa.int32()),
-                    "vec": [np.append(cut, rows if p == 0 else [0, 0]).astype(np.int64).tobytes()]})
+                    "vec": [common.squeeze(np.append(cut, rows if p == 0 else [0, 0]).astype(np.int64))]})
 
     vecs = train.select("text", F.col("toxic").cast("int")).mapInArrow(count, "part int, task int, vec binary")
     counts, rows, step = np.zeros((2, size)), np.zeros(2, np.int64), size // parts
     for r in common.sum_blobs(vecs, ["part"]).collect():          # `parts` vectors of fixed length
-        v = np.frombuffer(r.vec, np.int64)
+        v = common.expand(r.vec)
         counts[:, r.part * step:(r.part + 1) * step] = v[:-2].reshape(2, step)
         rows += v[-2:]
     share = rows / max(rows.sum(), 1)
