@@ -40,7 +40,7 @@ def interactions(spark: SparkSession, sf_dir: str, cfg: Config = DEFAULT,
                                         materialize=store.materialize)
     if fresh:
         return make()
-    return store.memo(spark, ("interactions", sf_dir, source, extra, cfg), make)
+    return store.memo(spark, ("interactions", sf_dir, source, extra, cfg), make, folder=sf_dir)
 
 
 def problems(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -593,7 +593,8 @@ def q_response_cards(spark, sf_dir):
         .select(fixtures.user_slug(F.col("c_custkey")).alias("user_slug"))
     road = coldstart.read_roadmap(fixtures.roadmap_json(spark, sf_dir))
     out = recommend.respond(slugs, i, cat, m, rel, pf, road, count=10)
-    return out.select("user_slug", "user_id", "warm_start", "card", "slug", "tier", "p_solve",
+    return out.select("user_slug", "user_id", "warm_start", "contests", "attempted", "solved_count", "message",
+                      "card", "slug", "tier", "p_solve",
                       "signal_count", F.array_join("signals", " | ").alias("signals"))
 
 

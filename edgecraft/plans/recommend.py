@@ -113,7 +113,9 @@ def respond(slugs: DataFrame, interactions: DataFrame, catalog: DataFrame, model
     warm_cards = cards.join(sig.select("user_id", "tier", "pos", "signals", "signal_count"),
                             ["user_id", "tier", "pos"]) \
         .join(warm.select("user_id", "user_slug"), "user_id") \
-        .select("user_slug", "user_id", F.lit(True).alias("warm_start"), "card",
+        .join(coldstart.user_summary(hist), "user_id", "left") \
+        .select("user_slug", "user_id", F.lit(True).alias("warm_start"), "contests", "attempted", "solved_count",
+                F.lit(None).cast("string").alias("message"), "card",
                 F.col("problem_id").alias("slug"), "title", "tags", "tier", "p_solve",
                 "signals", "signal_count")
     cold = routed.where(~F.col("warm"))
@@ -123,6 +125,8 @@ def respond(slugs: DataFrame, interactions: DataFrame, catalog: DataFrame, model
                                                        "signals", "signal_count"))).alias("deck"))
     cold_cards = cold.crossJoin(F.broadcast(deck)).select(
         "user_slug", "user_id", F.posexplode("deck").alias("i", "c")).select(
-        "user_slug", "user_id", F.lit(False).alias("warm_start"), (F.col("i") + 1).alias("card"),
+        "user_slug", "user_id", F.lit(False).alias("warm_start"),
+        *[F.lit(None).cast("long").alias(c) for c in ("contests", "attempted", "solved_count")],
+        coldstart.cold_message().alias("message"), (F.col("i") + 1).alias("card"),
         "c.slug", "c.title", "c.tags", "c.tier", "c.p_solve", "c.signals", "c.signal_count")
     return warm_cards.unionByName(cold_cards)

@@ -21,9 +21,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def memo(spark: SparkSession, key: tuple, build) -> DataFrame:
-    """One materialised DataFrame per (session, key)."""
-    k = (id(spark.sparkContext._jsc), spark.sparkContext.applicationId) + key
+def file_version(spark: SparkSession, folder: str) -> tuple:
+    """Sizes and times of what lies in a folder, so that changed inputs are built anew."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(path)))
+
+
+def memo(spark: SparkSession, key: tuple, build, folder: str | None = None) -> DataFrame:
+    """One materialised DataFrame per (session, key, state of the input folder)."""
+    k = (id(spark.sparkContext._jsc), spark.sparkContext.applicationId) + key \
+        + (file_version(spark, folder) if folder else ())
     if k not in _MEMO:
         _MEMO[k] = materialize(build())
     return _MEMO[k]
