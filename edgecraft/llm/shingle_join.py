@@ -22,7 +22,9 @@ of the links.
    components go on.  Sets linked to the leader are its cell; a set outside can
    only link into the cell if it is within twice the link distance of the
    leader (the Jaccard distance is a metric).  What is left, near sets against
-   the cell and outsiders among themselves, is paired where components differ.
+   the cell and outsiders among themselves, is paired where components differ
+   and where sizes, positions in the global order and a fixed bitmap, all
+   tested inside the join, allow a link.
 4. Pairs first meet the bitmaps: differing bits are at most the size of the
    symmetric difference, so most pairs that cannot link end there, and the
    same bound keeps outsiders away from a cell.  The rest are verified exactly
@@ -52,6 +54,7 @@ CLASS_BITS = 21
 COMBINE = 256
 FREQUENT = 4.0               # times the mean count of a class
 BLOCK_SHINGLES = 1_000_000   # verified at once
+SHORT = 28                   # bytes of the fixed bitmap, four longs of 7 bytes
 _LOW = np.uint64((1 << (64 - CLASS_BITS)) - 1)
 _SHIFT = np.uint64(64 - CLASS_BITS)
 _SPACE = np.zeros(256, bool)
@@ -126,6 +129,12 @@ def parity_bitmap(h: np.ndarray) -> bytes:
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
+def short_bitmap(h: np.ndarray) -> bytes:
+    """The same over a fixed ``SHORT`` bytes, for tests inside a join."""
+    at = (mix(h ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(8 * SHORT)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=8 * SHORT) & 1).astype(np.uint8)).tobytes()
+
+
 def least_difference(a: bytes, b: bytes) -> int:
     """Lower bound of the symmetric difference of two sets from their bitmaps;
     the longer one is folded onto the length of the shorter."""
@@ -159,7 +168,7 @@ def hash_sets(docs: DataFrame, rule: Rule, parts: int = 16) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(k, -1, np.int32)), rb.column(0), pa.array([len(h) for h in sets], pa.int64()),
                  pa.array(d[:, 0]), pa.array(d[:, 1]), pa.nulls(k, pa.int32()),
-                 pa.array([parity_bitmap(h) for h in sets], pa.binary())], schema=schema)
+                 pa.array([short_bitmap(h) + parity_bitmap(h) for h in sets], pa.binary())], schema=schema)
         if counts.any():
             for p, vec in enumerate(np.split(counts, parts)):
                 yield pa.RecordBatch.from_pylist([{"part": p, "task": task, "vec": common.squeeze(vec)}], schema=schema)
@@ -181,47 +190,52 @@ def class_order(hashed: DataFrame) -> tuple[np.ndarray, int]:
     return rank, int(np.searchsorted(counts[order], FREQUENT * max(counts.mean(), 1.0), side="right"))
 
 
-def prefix_keys(h: np.ndarray, rank: np.ndarray, frequent: int, rule: Rule) -> np.ndarray:
-    """Index keys of a set."""
+def prefix_keys(h: np.ndarray, rank: np.ndarray, frequent: int, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """Index keys of a set, and for each the shingles that a partner whose first
+    shared key it is can no longer share."""
     n = len(h)
     short = n - rule.needed(n) + 1
     g = (rank[(h >> _SHIFT).astype(np.int64)].astype(np.uint64) << _SHIFT) | (h & _LOW)      # global order, one to one
     take = min(short + 1, n)
     g = np.sort(np.partition(g, take - 1)[:take])
     rare = int(np.searchsorted(g, np.uint64(frequent) << _SHIFT)) if frequent < 1 << CLASS_BITS else take
-    keys = [mix(g[:min(rare, short)])]
+    keys, skip = [mix(g[:min(rare, short)])], [np.arange(min(rare, short))]
     often = g[rare:]
     if len(often) and n > rule.needed(COMBINE):      # may link to a set that indexes them alone
         keys.append(mix(g[rare:short]))
+        skip.append(np.arange(rare, max(rare, short)))
     if len(often) > 1 and n <= COMBINE:
         i, j = np.triu_indices(len(often), 1)
         keys.append(mix(often[i] * np.uint64(0x9E3779B97F4A7C15) + mix(often[j])))
-    return np.concatenate(keys)
+        skip.append(rare + j - 1)
+    return np.concatenate(keys), np.concatenate(skip).astype(np.int32)
 
 
 def index_entries(docs: DataFrame, rank: np.ndarray, frequent: int, rule: Rule) -> DataFrame:
-    """(``key``, ``d1``): the index; copies within a task give one set of entries."""
+    """(``key``, ``d1``, ``skip``): the index; copies within a task give one set of entries."""
     shared = docs.sparkSession.sparkContext.broadcast((rank, frequent))
 
     def run(batches):
         seen: set[int] = set()
         for rb in common.sliced(batches):
-            keys, owner = [], []
+            keys, skips, owner = [], [], []
             for h in shingle_sets(common.texts_of(rb), rule.words):
                 d = digests(h)[0]
                 if len(h) < rule.smallest or d in seen:
                     continue
                 if len(seen) < 1_000_000:            # copies beyond are dropped by the distinct counts
                     seen.add(d)
-                keys.append(prefix_keys(h, *shared.value, rule))
+                key, skip = prefix_keys(h, *shared.value, rule)
+                keys.append(key)
+                skips.append(skip)
                 owner.append(d)
             if keys:
                 m = [len(k) for k in keys]
                 yield pa.RecordBatch.from_arrays(
-                    [signed(np.concatenate(keys)), pa.array(np.repeat(np.array(owner, np.int64), m))],
-                    names=["key", "d1"])
+                    [signed(np.concatenate(keys)), pa.array(np.repeat(np.array(owner, np.int64), m)),
+                     pa.array(np.concatenate(skips))], names=["key", "d1", "skip"])
 
-    return docs.select("text").mapInArrow(run, "key long, d1 long")
+    return docs.select("text").mapInArrow(run, "key long, d1 long, skip int")
 
 
 def sets_of(docs: DataFrame, classes: DataFrame, involved: DataFrame, rule: Rule) -> DataFrame:
@@ -247,7 +261,8 @@ def sets_of(docs: DataFrame, classes: DataFrame, involved: DataFrame, rule: Rule
 def might_link(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     """(``a``, ``b``, ``nb``, ``least``): distinct pairs of digests with the least
     distance their bitmaps and sizes allow.  Only bitmaps are shuffled."""
-    side = lambda k: classes.select(F.col("d1").alias(k), F.col("n").alias("n" + k), F.col("bits").alias("x" + k))
+    side = lambda k: classes.select(F.col("d1").alias(k), F.col("n").alias("n" + k),
+                                    F.expr(f"substring(bits, {SHORT + 1})").alias("x" + k))
     met = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "xa", "xb")
 
     def run(batches):
@@ -296,6 +311,25 @@ def verify(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
         run, "a long, b long, ra long, rb long, inter long, uni long")
 
 
+def renamed(df: DataFrame, *but: str) -> DataFrame:
+    """The other side of a self-join: columns with a 2, except ``but``."""
+    return df.select(*[F.col(c).alias(c if c in but else c + "2") for c in df.columns])
+
+
+def reachable(lo: str, hi: str, lo2: str, hi2: str, rule: Rule):
+    """Sizes between ``lo`` and ``hi`` and at most ``rest`` shared shingles on
+    either side allow a link."""
+    least = F.least("rest", "rest2")
+    return ((F.col(hi) * 100 >= F.col(lo2) * rule.percent) & (F.col(hi2) * 100 >= F.col(lo) * rule.percent)
+            & (least * 100 >= (F.col(lo) + F.col(lo2) - least) * rule.percent))
+
+
+def bits_allow(n: str, n2: str, words: list[str], rule: Rule):
+    """The fixed bitmaps differ in no more bits than a link allows."""
+    differ = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(w + "2"))) for w in words), F.lit(0))
+    return differ * (100 + rule.percent) <= (F.col(n) + F.col(n2)) * (100 - rule.percent)
+
+
 def checked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     """Exact overlaps of the pairs that the bitmaps leave: (``a``, ``b``, ``ra``,
     ``rb``, ``inter``, ``uni``)."""
@@ -312,7 +346,8 @@ def find_links(docs: DataFrame, hashed: DataFrame, classes: DataFrame, rule: Rul
     entries = index_entries(docs, rank, frequent, rule)
     keys = (entries.groupBy("key").agg(F.min("d1").alias("lead"), F.max("d1").alias("last"))
             .where("lead <> last").select("key", "lead"))
-    held = common.checkpoint(entries.join(keys, "key").groupBy("key", "d1").agg(F.first("lead").alias("lead")))
+    held = common.checkpoint(entries.join(keys, "key").groupBy("key", "d1").agg(F.first("lead").alias("lead"),
+                                                                                   F.min("skip").alias("skip")))
     star = held.where("lead <> d1").select(F.col("lead").alias("a"), F.col("d1").alias("b")).distinct()
     star = common.checkpoint(might_link(star, classes, rule))
     first = common.checkpoint(checked(star.where(F.col("least") <= width), docs, classes, rule))
@@ -329,18 +364,28 @@ def find_links(docs: DataFrame, hashed: DataFrame, classes: DataFrame, rule: Rul
     marked = held.join(named, "d1")
     open_keys = (marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
                  .where("lo <> hi").select("key"))
-    left = common.checkpoint(marked.join(open_keys, "key").join(zones, ["lead", "d1"], "left").select(
-        "key", "d1", "label", F.coalesce("zone", F.lit(0)).alias("zone"), (F.col("lead") == F.col("d1")).alias("led")))
-    # (key, zone, component) groups meet first, their members only where components differ
-    group = left.groupBy("key", "zone", "label").agg(F.max((~F.col("led")).cast("int")).alias("any")).where("any = 1")
-    two = group.select("key", F.col("zone").alias("zone2"), F.col("label").alias("label2"))
-    met = group.join(two, "key").where("label < label2 and not (zone = 0 and zone2 = 0) and zone + zone2 <> 2 "
-                                       "or label < label2 and zone = 1 and zone2 = 1") \
+    words = [f"w{i}" for i in range(4)]
+    sized = classes.groupBy("d1").agg(F.min("n").alias("n"), F.min("bits").alias("bits")).select("d1", "n", *[
+        F.conv(F.hex(F.expr(f"substring(bits, {7 * i + 1}, 7)")), 16, 10).cast("long").alias(w)
+        for i, w in enumerate(words)])
+    left = common.checkpoint(
+        marked.join(open_keys, "key").join(sized, "d1").join(zones, ["lead", "d1"], "left").where("lead <> d1")
+        .select("key", "d1", "label", F.coalesce("zone", F.lit(2)).alias("zone"), "n",
+                (F.col("n") - F.col("skip")).alias("rest"), *words))
+    # (key, zone, component) groups meet first, their members only where components differ and sizes, what
+    # is left after the key (positions in the global order) and, for single sets, the bitmaps allow a link
+    group = left.groupBy("key", "zone", "label").agg(
+        F.count(F.lit(1)).alias("c"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("rest").alias("rest"),
+        *[F.min(w).alias(w) for w in words])
+    met = group.join(renamed(group, "key"), "key").where(
+        "label < label2 and not (zone = 0 and zone2 = 0) and (zone + zone2 <> 2 or zone = 1)").where(
+        reachable("lo", "hi", "lo2", "hi2", rule) & ((F.col("c") > 1) | (F.col("c2") > 1)
+                                                     | bits_allow("hi", "hi2", words, rule))) \
         .select("key", "zone", "label", "zone2", "label2")
-    member = left.where("not led")
-    one = member.select("key", "zone", "label", F.col("d1").alias("a"))
-    other = member.select("key", F.col("zone").alias("zone2"), F.col("label").alias("label2"), F.col("d1").alias("b"))
-    cross = (met.join(one, ["key", "zone", "label"]).join(other, ["key", "zone2", "label2"])
+    member = left.select("key", "zone", "label", F.col("d1").alias("a"), "n", "rest", *words)
+    other = renamed(left.select("key", "zone", "label", F.col("d1").alias("b"), "n", "rest", *words), "key", "b")
+    cross = (met.join(member, ["key", "zone", "label"]).join(other, ["key", "zone2", "label2"])
+             .where(reachable("n", "n", "n2", "n2", rule) & bits_allow("n", "n2", words, rule))
              .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     again = common.checkpoint(might_link(cross, classes, rule).where(F.col("least") <= width))
     second = checked(again, docs, classes, rule).where(link).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
