@@ -54,8 +54,8 @@ from edgecraft.llm.pretokens import mix
 from edgecraft.llm.shingle_join import word_hashes
 
 K, DELTA = 5, 0.05
-BATCH_BYTES = 8 << 20
-BUCKET_BYTES = 14 << 20
+BATCH_BYTES = 6 << 20
+BUCKET_BYTES = 10 << 20
 END, BEGIN = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
 H_MASK = np.uint64((1 << 48) - 1)
 
