@@ -39,7 +39,7 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
 
 
 def sliced(batches: Iterable[pa.RecordBatch], column: str = "text",
-           target: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+           target: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into runs of rows of about ``target`` text bytes, so
     that numpy temporaries stay small however long the texts are."""
     for rb in batches:

@@ -92,21 +92,24 @@ def fit_linear(texts_labels, ratio: np.ndarray, orders=ORDERS, bits=BITS, max_fe
     """Mini-batch logistic regression over scaled features, gradient descent
     with momentum; toxic rows weigh ``toxic_weight`` times as much.
     ``texts_labels`` yields (texts, labels); returns (weight, bias)."""
-    offs, buckets, ys, used = [0], [], [], 0
+    offs, ys, used = [0], [], 0
+    b = np.empty(max_features, np.int32)             # touched as far as it is filled
     for texts, labels in texts_labels:
         doc, bucket, _ = gram_counts(texts, orders, bits)
-        if used + len(bucket) > max_features and used:
-            break
+        if used + len(bucket) > max_features:
+            if used:
+                break
+            b = np.empty(len(bucket), np.int32)
+        b[used:used + len(bucket)] = bucket
         used += len(bucket)
         ends = np.cumsum(np.bincount(doc, minlength=len(texts))) + offs[-1]
         offs.extend(ends.tolist())
-        buckets.append(bucket.astype(np.int32))
         ys.extend(labels)
     y = np.asarray(ys, float)
     n, size = len(y), 1 << bits
     if not n:
         return np.zeros(size), 0.0
-    b, off = np.concatenate(buckets), np.asarray(offs)
+    off = np.asarray(offs)
     share = min(max(y.mean(), 1e-3), 1 - 1e-3)
     w, step, bias, bias_step = np.zeros(size), np.zeros(size), float(np.log(share / (1 - share))), 0.0
     starts = np.arange(0, n, block)
