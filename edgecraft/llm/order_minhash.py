@@ -61,18 +61,27 @@ def edited_hashes(text: str, h: np.ndarray, following: str, g: np.ndarray, k: in
 
 
 def numbered(h: np.ndarray) -> np.ndarray:
-    """Mix the occurrence number of each value into it (32 bits), in place order."""
+    """Mix the occurrence number of each value into it (32 bits), in place order.
+
+    The packed key only sorts: values come from the whole hashes, so that a k-mer
+    has the same one in texts of any length."""
     n = len(h)
     bits = np.uint64(max(int(n - 1).bit_length(), 1))
     low = (np.uint64(1) << bits) - np.uint64(1)
-    key = np.sort((h & ~low) | np.arange(n, dtype=np.uint64))       # by value, then place
-    value, place = key & ~low, (key & low).astype(np.int64)
+    key = np.sort((h & ~low) | np.arange(n, dtype=np.uint64))       # by upper bits, then place
+    place = (key & low).astype(np.int64)
+    value = h[place]
+    changed = value[1:] != value[:-1]
+    if (changed & ((key[1:] ^ key[:-1]) <= low)).any():             # same upper bits, other hash
+        place = np.argsort(h, kind="stable")
+        value = h[place]
+        changed = value[1:] != value[:-1]
     at = np.arange(n)
-    first = np.append(True, value[1:] != value[:-1])
+    first = np.append(True, changed)
     occurrence = at - np.maximum.accumulate(np.where(first, at, 0))
     out = np.empty(n, np.uint32)
     again = np.flatnonzero(occurrence)
-    v = (value >> np.uint64(32)).astype(np.uint32) ^ (value >> bits).astype(np.uint32)
+    v = (value >> np.uint64(32)).astype(np.uint32) ^ value.astype(np.uint32)
     if len(again):
         v[again] = (mix(value[again] + occurrence[again].astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
                     >> np.uint64(32)).astype(np.uint32)
@@ -85,10 +94,11 @@ def minimal(x: np.ndarray, sketches: int, picks: int, below: int):
     rows, places, values = [], [], []
     for t in range(0, len(x), TILE):
         order = x[None, t:t + TILE] * _ODD[:sketches, None]
-        r, c = np.nonzero(order <= np.uint32(below))
+        at = np.flatnonzero(order <= np.uint32(below))
+        r = at // order.shape[1]
         rows.append(r)
-        places.append(c + t)
-        values.append(order[r, c])
+        places.append(at - r * order.shape[1] + t)
+        values.append(order.ravel()[at])
     row, place, value = np.concatenate(rows), np.concatenate(places), np.concatenate(values)
     return row, place, value
 
@@ -104,7 +114,8 @@ def sketch(h: np.ndarray, sketches: int = SKETCHES, picks: int = PICKS) -> np.nd
         row, place, value = minimal(x, sketches, picks, below)
         if np.bincount(row, minlength=sketches).min() >= picks:
             break
-    by = np.lexsort((place, value, row))
+    # places rise within a row, so a stable sort leaves ties by place
+    by = np.argsort(row.astype(np.uint64) << np.uint64(32) | value, kind="stable")
     first = np.searchsorted(row[by], np.arange(sketches))
     chosen = np.sort(place[by][first[:, None] + np.arange(picks)], axis=1)      # text order
     out = np.full(sketches, picks, np.uint64)

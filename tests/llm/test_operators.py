@@ -300,6 +300,54 @@ def test_order_minhash_is_sensitive_to_order():
     assert near > 0.9 and swapped < 0.75
 
 
+def plain_sketch(text: str) -> list[int]:
+    """Order MinHash of a text, k-mer by k-mer, from the hashes of its k-mers alone."""
+    full = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ x >> 33) * 0xFF51AFD7ED558CCD & full
+        x = (x ^ x >> 33) * 0xC4CEB9FE1A85EC53 & full
+        return x ^ x >> 33
+
+    seen, x = Counter(), []
+    for h in order_minhash.kmer_hashes(text).tolist():
+        x.append(mix(h + seen[h] * 0xD1B54A32D192ED03 & full) >> 32 if seen[h] else h >> 32 ^ h & 0xFFFFFFFF)
+        seen[h] += 1
+    out = []
+    for t in range(order_minhash.SKETCHES):
+        odd = mix(t + 1) >> 32 | 1
+        picked = sorted(sorted(range(len(x)), key=lambda i: (x[i] * odd & 0xFFFFFFFF, i))[:order_minhash.PICKS])
+        value = len(picked)
+        for i in picked:
+            value = mix(value * 0x9E3779B97F4A7C15 + x[i] + 1 & full)
+        out.append(value >> 32 | 1 if x else 0)
+    return out
+
+
+@pytest.mark.parametrize("border", [1024, 4096])
+def test_order_minhash_across_powers_of_two(border):
+    rnd = random.Random(border)
+    text = "".join(rnd.choice("abcdefgh ") for _ in range(border + 15))
+    short, long = text[:border - 5], text                 # fewer and more k-mers than the border
+    assert len(order_minhash.kmer_hashes(short)) < border < len(order_minhash.kmer_hashes(long))
+    f, g = order_minhash.fingerprint(short), order_minhash.fingerprint(long)
+    assert order_minhash.likeness(f, g) > 0.8
+    assert f.tolist() == plain_sketch(short) and g.tolist() == plain_sketch(long)
+    repeats = "abcab" * (border // 5 + 3)
+    assert order_minhash.fingerprint(repeats).tolist() == plain_sketch(repeats)
+
+
+def test_order_minhash_numbers_whole_hashes():
+    h = [5 << 40, 5 << 40 | 1, 5 << 40, 7 << 40, 5 << 40 | 1, 5 << 40]   # differ in the lowest bit only
+    got = order_minhash.numbered(np.array(h, np.uint64)).tolist()
+    seen, want = Counter(), []
+    for v in h:
+        k = np.array([v + seen[v] * 0xD1B54A32D192ED03 & (1 << 64) - 1], np.uint64)
+        want.append(int(order_minhash.mix(k)[0]) >> 32 if seen[v] else v >> 32 ^ v & 0xFFFFFFFF)
+        seen[v] += 1
+    assert got == want
+
+
 def test_packing(docs, rows, none):
     items = packing.document_items(docs)
     got = packing.pack(items, ["doc_id"], capacity=64, per_source=2, shard_items=30).collect()
