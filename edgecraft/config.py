@@ -48,7 +48,7 @@ class Config:
     peer_window_points: float = 100.0
     default_peer_rate: float = 0.5
 
-    min_shared_tags: int = 4
+    min_shared_tags: int = 2
     max_per_tag: int = 2
 
     finish_cap_quantile: float = 0.90

@@ -8,6 +8,8 @@ Spark ML fits are registered without an oracle (rows-only check).
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -58,10 +60,15 @@ def _slug_rel(spark, sf_dir):
     return graph.similar_slug_relation(fixtures.question_list(spark, sf_dir))
 
 
+# ``POOL`` states the rule for equal tag sets (every part has four tags), so the
+# queries held against it stay there; the jobs use the default of two shared tags
+SQL_RULE = replace(DEFAULT, min_shared_tags=4)
+
+
 def _pool(spark, sf_dir):
     i = _inter(spark, sf_dir)
     return tiers.candidate_pool(i.select("user_id").distinct(), i, _catalog_pos(spark, sf_dir),
-                                _slug_rel(spark, sf_dir), materialize=store.materialize)
+                                _slug_rel(spark, sf_dir), SQL_RULE, materialize=store.materialize)
 
 
 HB = f"""

@@ -130,6 +130,16 @@ def test_candidate_pool_matches_brute_force(spark):
         assert {(r.user_id, r.problem_id, r.pool_pos) for r in pool.collect()} == want
 
 
+def test_candidate_pool_default_reaches_beyond_equal_tag_sets(spark):
+    cat = {"p1": ["a", "b", "c", "d"], "p2": ["a", "b", "y", "z"], "p3": ["a", "b", "c", "z"], "p4": ["a", "x", "y", "z"]}
+    catalog = spark.createDataFrame([(p, t, i) for i, (p, t) in enumerate(cat.items())],
+                                    "problem_id string, tags array<string>, cat_pos long")
+    history = spark.createDataFrame([("u", "p1", True)], "user_id string, problem_id string, solved boolean")
+    rel = spark.createDataFrame([], "src_slug string, dst_slug string")
+    pool = tiers.candidate_pool(history.select("user_id"), history, catalog, rel)
+    assert {r.problem_id for r in pool.collect()} == {"p2", "p3"}
+
+
 def test_temporal_split_disjoint(spark, interactions):
     train, test = tiers.temporal_split(interactions, 10)
     a = {r[0] for r in train.select("contest_id").distinct().collect()}
