@@ -1,6 +1,6 @@
 """Conflict-constrained best-fit packing.
 
-Documents become items of ``size`` tokens; texts longer than a bin are cut into
+Documents become items of ``size`` tokens (those of the tokenizer of op3); texts longer than a bin are cut into
 full bins and a rest, so every token is packed.  Spark deals the items by a
 salted hash into shards of about ``SHARD_ITEMS`` items (their number follows
 the counted rows), and each shard is packed on its own by best fit, largest
@@ -27,11 +27,15 @@ cluster; an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import bisect
+import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from edgecraft.llm import common, token_cache
+from edgecraft.session import checkpoint_dir
+
 SHARD_ITEMS = 2000
 CAPACITY, PER_SOURCE = 2048, 4
 
@@ -113,7 +117,18 @@ def document_items(docs: DataFrame, size=None) -> DataFrame:
     return docs.select("doc_id", "source", words.alias("size"), F.sha2(flat.cast("binary"), 256).alias("cluster"))
 
 
+def token_items(docs: DataFrame) -> DataFrame:
+    """Items of documents: size in tokens of the 50k byte-level vocabulary, cluster
+    as in ``document_items``.  Rows are counted by digest, so each keeps its own."""
+    import public_tokenizers
+    cache = f"{checkpoint_dir(docs.sparkSession).rstrip('/')}/token-cache-{uuid.uuid4().hex}"
+    keyed = document_items(docs, F.col("text"))                  # the text in place of its size
+    return (token_cache.count_tokens(keyed.withColumnRenamed("size", "text"),
+                                     public_tokenizers.path("byte_bpe_50k.json"), cache, ["doc_id", "source", "cluster"],
+                                     slice_bytes=1 << 21)
+            .select("doc_id", "source", F.col("n_tokens").alias("size"), "cluster"))
+
+
 def op8_best_fit_packing(spark, sf_dir: str) -> DataFrame:
-    from edgecraft.llm import common
     docs = common.documents(spark, sf_dir).select("doc_id", "text", "source")
-    return pack(common.checkpoint(document_items(docs)), ["doc_id"])
+    return pack(common.checkpoint(token_items(docs)), ["doc_id"])

@@ -84,11 +84,13 @@ def read_cache(spark, cache: str, version: str) -> DataFrame:
             .groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")))
 
 
-def count_tokens(docs: DataFrame, tokenizer: str, cache: str, keep: list[str], normalize=None) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer: str, cache: str, keep: list[str], normalize=None,
+                 slice_bytes: int = 1 << 22) -> DataFrame:
     """Add ``n_bytes`` and ``n_tokens`` to the columns ``keep`` of ``docs``.
 
     ``normalize`` maps the text column to what the tokenizer sees (None: the
-    text itself, right for a tokenizer file without a normaliser).
+    text itself, right for a tokenizer file without a normaliser).  Texts are
+    encoded ``slice_bytes`` at a time: fewer take less memory and more time.
     """
     spark = docs.sparkSession
     version = tokenizer_version(tokenizer)
@@ -101,7 +103,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, keep: list[str], n
 
     def encode(batches):
         c = counter(tokenizer)
-        for rb in common.sliced(batches, target=1 << 22):
+        for rb in common.sliced(batches, target=slice_bytes):
             n = c.count(common.texts_of(rb))
             yield pa.RecordBatch.from_arrays(
                 [rb.column(0), pa.array([version] * rb.num_rows), pa.array(n)], names=["digest", "version", "n_tokens"])

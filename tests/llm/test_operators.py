@@ -368,6 +368,22 @@ def test_packing(docs, rows, none):
     assert packing.pack(packing.document_items(none), ["doc_id"]).count() == 0
 
 
+def test_packing_counts_tokens_of_the_tokenizer(docs, rows, none):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    size = Counter()
+    for r in rows:
+        size[r[0]] += len(library.encode(r[1] or "", add_special_tokens=False).ids)
+    assert size[80] > 2048                                # one word, longer than a bin
+    packed, bins = Counter(), Counter()
+    for r in packing.pack(packing.token_items(docs), ["doc_id"]).collect():
+        packed[r.doc_id] += r.tokens
+        bins[r.bin] += r.tokens
+    assert +packed == +size and max(bins.values()) <= 2048
+    assert packing.pack(packing.token_items(none), ["doc_id"]).count() == 0
+
+
 def test_best_fit_takes_the_tightest_compatible_bin():
     # bins after the first two items have residuals 4 and 6; the third is a copy of the first
     assert packing.best_fit([(6, 0, 0), (4, 1, 1), (4, 0, 2)], 10, 1)[:3] == [0, 0, 1]
