@@ -58,7 +58,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row for each packed piece: ``doc_id``, ``piece``, ``tokens``, ``bin``."""
-    return packing.pack(common.checkpoint(packing.token_items(docs)), ["doc_id"])
+    return packing.packed_documents(docs)
 
 
 STAGES = [

@@ -34,10 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgecraft.llm import common, token_cache
+from edgecraft.llm.components import components
+from edgecraft.llm.shingle_join import Rule, near_duplicates
 from edgecraft.session import checkpoint_dir
 
 SHARD_ITEMS = 2000
 CAPACITY, PER_SOURCE = 2048, 4
+NEAR = Rule(words=5, percent=80)
 
 
 def best_fit(items: list[tuple[int, int, int]], capacity: int, per_source: int) -> list[int]:
@@ -129,6 +132,34 @@ def token_items(docs: DataFrame) -> DataFrame:
             .select("doc_id", "source", F.col("n_tokens").alias("size"), "cluster"))
 
 
+def near_clusters(items: DataFrame, docs: DataFrame) -> DataFrame:
+    """``items`` of ``docs`` with near copies in one cluster: components of near
+    duplicates, joined where two of them hold equal texts (empty ones too).  Rows
+    without an id are in the component that has their text, if any."""
+    near = common.checkpoint(near_duplicates(docs, NEAR).where("doc_id is not null")
+                             .groupBy("doc_id").agg(F.min("component_id").alias("component")))
+    rows = items.withColumn("id_", F.col("doc_id").cast("long"))
+    known = rows.where("id_ is not null")
+    held = near.withColumnRenamed("doc_id", "id_")
+    pairs = common.checkpoint(known.join(held, "id_").select("cluster", "component").distinct())
+    first = pairs.groupBy("cluster").agg(F.min("component").alias("b"))
+    label = components(pairs.join(first, "cluster").where("component <> b").select(F.col("component").alias("a"), "b"))
+    label = common.broadcast_if_small(label, label.count(), 16)
+    root = F.concat(F.lit("near-"), F.coalesce("label", "component").cast("string"))
+    of_id = held.join(label, F.col("component") == F.col("node"), "left").select("id_", root.alias("root"))
+    of_text = first.withColumnRenamed("b", "component").join(label, F.col("component") == F.col("node"), "left") \
+        .select("cluster", root.alias("root"))
+    columns = [c for c in items.columns if c != "cluster"]
+    return known.join(of_id, "id_").select(*columns, F.col("root").alias("cluster")).unionByName(
+        rows.where("id_ is null").join(of_text, "cluster", "left")
+        .select(*columns, F.coalesce("root", "cluster").alias("cluster")))
+
+
+def packed_documents(docs: DataFrame) -> DataFrame:
+    """Documents packed by tokens, near copies apart."""
+    items = common.checkpoint(token_items(docs))
+    return pack(common.checkpoint(near_clusters(items, docs)), ["doc_id"])
+
+
 def op8_best_fit_packing(spark, sf_dir: str) -> DataFrame:
-    docs = common.documents(spark, sf_dir).select("doc_id", "text", "source")
-    return pack(common.checkpoint(token_items(docs)), ["doc_id"])
+    return packed_documents(common.documents(spark, sf_dir).select("doc_id", "text", "source"))

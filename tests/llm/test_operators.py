@@ -384,6 +384,22 @@ def test_packing_counts_tokens_of_the_tokenizer(docs, rows, none):
     assert packing.pack(packing.token_items(none), ["doc_id"]).count() == 0
 
 
+def test_packing_keeps_near_copies_apart(docs, rows, none):
+    got = packing.packed_documents(docs).collect()
+    assert {r.doc_id for r in got} == {r[0] for r in rows}
+    bins = defaultdict(list)
+    for r in got:
+        bins[r.bin].append(r)
+    text = {r[0]: " ".join((r[1] or "").lower().split()) for r in rows}
+    for members in bins.values():
+        assert sum(r.tokens for r in members) <= 2048
+        assert sum(60 <= (r.doc_id or 0) <= 73 for r in members) <= 1        # one word changed
+        assert len({text[r.doc_id] for r in members}) == len(members)
+    items = packing.near_clusters(packing.token_items(docs), docs).collect()
+    assert len(items) == len(rows) and len({r.cluster for r in items if 60 <= (r.doc_id or 0) <= 73}) == 1
+    assert packing.packed_documents(none).count() == 0
+
+
 def test_best_fit_takes_the_tightest_compatible_bin():
     # bins after the first two items have residuals 4 and 6; the third is a copy of the first
     assert packing.best_fit([(6, 0, 0), (4, 1, 1), (4, 0, 2)], 10, 1)[:3] == [0, 0, 1]
