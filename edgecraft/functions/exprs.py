@@ -51,12 +51,13 @@ def tags_from_string(s: str | Column) -> Column:
 
 def stable_round(c: str | Column, digits: int = 6) -> Column:
     """Round in plain IEEE steps (first to 9 places, then to ``digits``) so
-    every engine that multiplies, adds 0.5 and floors gets identical bits;
-    values beyond 1e9 in magnitude pass through."""
-    x = col_or(c).cast("double")
+    every engine that multiplies, adds 0.5 and floors gets identical bits.
+    The floor stays a double (x minus its fraction), so it holds at any size."""
+    def floor(y: Column) -> Column:
+        return y - F.pmod(y, F.lit(1.0))
+
     s9, sd = 10.0 ** 9, 10.0 ** digits
-    r9 = F.floor(x * s9 + 0.5) / s9
-    return F.when(F.abs(x) < 1e9, F.floor(r9 * sd + 0.5) / sd).otherwise(x)
+    return floor(floor(col_or(c).cast("double") * s9 + 0.5) / s9 * sd + 0.5) / sd
 
 
 def round_doubles(df, digits: int = 6):

@@ -12,7 +12,7 @@ from edgecraft.operators import coldstart, extras, features, graph, models, peer
 from edgecraft.plans import backtest, build, recommend, store
 from edgecraft.plans.oracle_base import with_base
 from edgecraft.plans.queries_scoring import (ENSEMBLE_SQL, HB, POOL, PROFILE_SQL, TIER_SQL, _catalog_pos, _factor_tables, _slug_rel,
-                                             _history_batch, _pool, _tiers, content_sql, syn, FACTORS_SQL)
+                                             _history_batch, _tiers, content_sql, syn, FACTORS_SQL)
 from edgecraft.plans.registry import query
 from edgecraft.session import checkpoint_dir
 from edgecraft.sources import fixtures, jsonl

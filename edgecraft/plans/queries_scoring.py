@@ -8,13 +8,10 @@ Spark ML fits are registered without an oracle (rows-only check).
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from edgecraft.config import DEFAULT
-from edgecraft.operators import evaluate, features, graph, models, peers, scoring, tiers
+from edgecraft.operators import blocks, evaluate, features, graph, models, peers, scoring, tiers
 from edgecraft.plans import build, store
 from edgecraft.plans.oracle_base import BASE_CTES, with_base
 from edgecraft.plans.registry import query
@@ -60,15 +57,29 @@ def _slug_rel(spark, sf_dir):
     return graph.similar_slug_relation(fixtures.question_list(spark, sf_dir))
 
 
-# ``POOL`` states the rule for equal tag sets (every part has four tags), so the
-# queries held against it stay there; the jobs use the default of two shared tags
-SQL_RULE = replace(DEFAULT, min_shared_tags=4)
+def _synthetic_factors(spark, sf_dir):
+    """The keys that ``fixtures.synthetic_score`` is made of, as factors."""
+    users = _inter(spark, sf_dir).select("user_id").distinct()
+    uf = users.select(F.col("user_id").alias("id"),
+                      F.array(F.conv(F.substring("user_id", 1, 6), 16, 10).cast("double")).alias("features"))
+    itf = build.problems(spark, sf_dir).select(F.col("problem_id").alias("id"),
+                                               F.array(F.substring("problem_id", 6, 20).cast("double")).alias("features"))
+    return uf, itf
+
+
+def synthetic_raw(users, items):
+    """``fixtures.synthetic_score`` of user rows against problem rows."""
+    import numpy as np
+    return np.where(users % 10 == 0, 0.5, (users * 31 + items.T * 17) % 1000 / 1000.0)
 
 
-def _pool(spark, sf_dir):
+def _pool_blocks(spark, sf_dir, **how):
+    """Scores over the pool (H7) with the synthetic raw score."""
     i = _inter(spark, sf_dir)
-    return tiers.candidate_pool(i.select("user_id").distinct(), i, _catalog_pos(spark, sf_dir),
-                                _slug_rel(spark, sf_dir), SQL_RULE, materialize=store.materialize)
+    uf, itf = _synthetic_factors(spark, sf_dir)
+    return blocks.score_pool_blocks(i.select("user_id").distinct(), i, _catalog_pos(spark, sf_dir),
+                                    _slug_rel(spark, sf_dir), uf, itf, raw=synthetic_raw,
+                                    materialize=store.materialize, **how)
 
 
 HB = f"""
@@ -80,8 +91,7 @@ hw AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n, min(s) OVER (PARTITI
 """
 
 POOL = """
-catp AS (SELECT problem_id, tags, list_sort(list_distinct(tags)) AS ts,
-                row_number() OVER (ORDER BY p_partkey) - 1 AS cat_pos FROM cat),
+catp AS (SELECT problem_id, tags, row_number() OVER (ORDER BY p_partkey) - 1 AS cat_pos FROM cat),
 sadj AS (
   SELECT DISTINCT src_slug, dst_slug FROM (
     SELECT a.problem_id AS src_slug, b.problem_id AS dst_slug FROM cat a JOIN cat b
@@ -90,8 +100,9 @@ sadj AS (
     SELECT b.problem_id, a.problem_id FROM cat a JOIN cat b
       ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND b.p_size - a.p_size BETWEEN 1 AND 5)
 ),
--- every catalog problem has at most four tags, so sharing four (or all) is having the same set
-reach AS (SELECT a.problem_id, b.problem_id AS near FROM catp a JOIN catp b ON a.ts = b.ts
+-- two shared tags (every catalog problem has at least two)
+reach AS (SELECT a.problem_id, b.problem_id AS near FROM cat_tags a JOIN cat_tags b USING (tag)
+          GROUP BY ALL HAVING count(*) >= 2
           UNION SELECT src_slug, dst_slug FROM sadj),
 cands AS (SELECT DISTINCT i.user_id, r.near AS problem_id FROM inter i JOIN reach r ON i.problem_id = r.problem_id),
 pool AS (
@@ -167,7 +178,7 @@ def q_unsolved_attempts(spark, sf_dir):
 @query("candidate_pool", with_base("SELECT user_id, problem_id, pool_pos FROM pool", POOL))
 def q_candidate_pool(spark, sf_dir):
     """H7: unsolved problems near an attempted one (graph edge or shared tags)."""
-    return _pool(spark, sf_dir).select("user_id", "problem_id", "pool_pos")
+    return _pool_blocks(spark, sf_dir, keep="all", rules=False).select("user_id", "problem_id", "pool_pos")
 
 
 # ------------------------------------------------------------------ F10-F15
@@ -269,23 +280,20 @@ nvec AS (SELECT count(*) AS n FROM embeddings),
 vecs AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 ufac AS (SELECT p.user_id, e.v AS uf
          FROM (SELECT DISTINCT user_id, CAST('0x' || substr(user_id, 1, 6) AS BIGINT) AS u FROM inter) p, nvec
-         JOIN vecs e ON e.i = p.u % n WHERE p.u % 7 <> 0),
-ifac AS (SELECT c.problem_id, e.v AS itf FROM cat c, nvec JOIN vecs e ON e.i = c.p_partkey % n
-         WHERE c.p_partkey % 11 <> 3)
+         JOIN vecs e ON e.i = p.u % n),
+ifac AS (SELECT c.problem_id, e.v AS itf FROM cat c, nvec JOIN vecs e ON e.i = c.p_partkey % n)
 """
 
 
 def _factor_tables(spark, sf_dir):
     """Factor tables over the whole of ``embeddings``: users and problems pick a
-    vector by key modulo its row count; one user in 7 and one problem in 11 stay
-    unknown, for those branches of F3."""
+    vector by key modulo its row count."""
     emb = read_table(spark, sf_dir, "embeddings", "vec_id", "embedding")
     vecs = tiers.dense_positions(emb, "vec_id", "i").select("i", F.col("embedding").alias("features"))
     n = F.broadcast(emb.agg(F.count(F.lit(1)).alias("n")))
     users = _inter(spark, sf_dir).select("user_id").distinct() \
-        .withColumn("k", F.conv(F.substring("user_id", 1, 6), 16, 10).cast("long")).where("k % 7 <> 0")
-    items = fixtures.catalog(spark, sf_dir).select("problem_id", F.col("frontend_id").cast("long").alias("k")) \
-        .where("k % 11 <> 3")
+        .withColumn("k", F.conv(F.substring("user_id", 1, 6), 16, 10).cast("long"))
+    items = fixtures.catalog(spark, sf_dir).select("problem_id", F.col("frontend_id").cast("long").alias("k"))
     pick = lambda d, key: d.crossJoin(n).withColumn("i", F.col("k") % F.col("n")).join(vecs, "i") \
         .select(F.col(key).alias("id"), "features")
     return pick(users, "user_id"), pick(items, "problem_id")
@@ -400,15 +408,9 @@ ens AS (SELECT user_id, problem_id, pa, pc, boost,
 
 
 def _ensemble(spark, sf_dir):
-    i = _inter(spark, sf_dir)
-    pool = _pool(spark, sf_dir)
-    pt = features.problem_tags(build.problems(spark, sf_dir))
-    s = pool.withColumn("ar", fixtures.synthetic_score(F.col("user_id"), F.col("problem_id")))
-    s = scoring.content_raw_scores(s, scoring.content_profiles(i, pt, build.problems(spark, sf_dir)), pt).withColumnRenamed("content_raw", "cr")
-    s = graph.graph_boost(s, graph.struggle_set(i), _slug_rel(spark, sf_dir), symmetric_rel=True)
-    s = scoring.calibrate_or_spread(s, "ar", "pa", ["user_id"], "pool_pos", dense=True)
-    s = scoring.calibrate_or_spread(s, "cr", "pc", ["user_id"], "pool_pos", dense=True)
-    return scoring.ensemble_scores(s, "pa", "pc", "boost", ["user_id"], "pool_pos", dense=True)
+    cat = build.problems(spark, sf_dir)
+    profiles = scoring.content_profiles(_inter(spark, sf_dir), features.problem_tags(cat), cat)
+    return _pool_blocks(spark, sf_dir, keep="all", profiles=profiles)
 
 
 @query("ensemble_scores", with_base("""
@@ -417,8 +419,7 @@ SELECT user_id, problem_id, round(pa, 6) AS p_als, round(pc, 6) AS p_content, ro
 """, ENSEMBLE_SQL))
 def q_ensemble_scores(spark, sf_dir):
     """F12 + G2 + F13 + F14: component and ensemble scores over the pool."""
-    return _ensemble(spark, sf_dir).select("user_id", "problem_id", F.col("pa").alias("p_als"),
-                                           F.col("pc").alias("p_content"), "boost", "score")
+    return _ensemble(spark, sf_dir).select("user_id", "problem_id", "p_als", "p_content", "boost", "score")
 
 
 TIER_SQL = POOL + """,
@@ -460,11 +461,12 @@ tiered AS (
 
 def _tiers(spark, sf_dir):
     i = _inter(spark, sf_dir)
-    sc = _pool(spark, sf_dir).withColumn("score", fixtures.synthetic_score(F.col("user_id"), F.col("problem_id")))
-    blind = peers.blind_spots(i)
+    blind = store.materialize(peers.blind_spots(i))
     umed = i.groupBy("user_id").agg(F.median("finish_time_min").alias("median_finish_time"))
     pmed = i.groupBy("problem_id").agg(F.median("finish_time_min").alias("median_finish_time"))
-    return tiers.assign_tiers(sc, blind=blind, user_median=umed, problem_median=pmed)
+    sc = _pool_blocks(spark, sf_dir, rules=False, blind=blind, user_median=umed, problem_median=pmed) \
+        .join(build.problems(spark, sf_dir).select("problem_id", "tags"), "problem_id")
+    return tiers.assign_tiers(store.materialize(sc), blind=blind, user_median=umed, problem_median=pmed)
 
 
 @query("tier_assignment", with_base(
@@ -593,7 +595,25 @@ def q_als_fit_scores(spark, sf_dir):
     return fit.raw_scores(i.select("user_id", "problem_id").distinct())
 
 
-@query("isotonic_calibration")
+def isotonic_sql(rows: str) -> str:
+    """F6 by the min-max formula over distinct scores: CTEs ``{rows}_f`` (score x,
+    prediction p) from ``rows`` (s, y)."""
+    return f"""
+{rows}_h AS (SELECT floor(floor(s * 1e9 + 0.5) / 1e9 * 1e9 + 0.5) / 1e9 AS x, count(*) AS n, sum(y) AS y FROM {rows} GROUP BY 1),
+{rows}_c AS (SELECT x, n, y, row_number() OVER w AS k, sum(n) OVER w AS cn, sum(y) OVER w AS cy FROM {rows}_h
+             WINDOW w AS (ORDER BY x)),
+{rows}_m AS (SELECT i.k AS i, j.k AS j, min((j.cy - i.cy + i.y) / (j.cn - i.cn + i.n)) OVER (PARTITION BY i.k ORDER BY j.k DESC) AS lo
+             FROM {rows}_c i JOIN {rows}_c j ON j.k >= i.k),
+{rows}_f AS (SELECT c.x, c.k, max(m.lo) AS p FROM {rows}_m m JOIN {rows}_c c ON c.k = m.j GROUP BY ALL)
+"""
+
+
+@query("isotonic_calibration", with_base("""
+SELECT p.user_id, p.problem_id, p.solved, round(p.content_raw, 6) AS content_raw, round(f.p, 6) AS p
+FROM iso_p p JOIN iso_f f ON f.x = floor(floor(p.content_raw * 1e9 + 0.5) / 1e9 * 1e9 + 0.5) / 1e9
+""", PROFILE_SQL + ", pairs AS (SELECT DISTINCT user_id, problem_id FROM inter)," + content_sql("pairs") + """,
+iso_p AS (SELECT i.user_id, i.problem_id, i.solved, c.content_raw FROM inter i JOIN craw c USING (user_id, problem_id)),
+iso AS (SELECT content_raw AS s, CAST(solved AS DOUBLE) AS y FROM iso_p),""" + isotonic_sql("iso")))
 def q_isotonic_calibration(spark, sf_dir):
     """isotonic fit of solved on the content raw score, applied back."""
     i = _inter(spark, sf_dir)
@@ -604,7 +624,22 @@ def q_isotonic_calibration(spark, sf_dir):
     return models.apply_isotonic(m, rows, "content_raw", "p")
 
 
-@query("platt_calibration")
+@query("platt_calibration", "WITH RECURSIVE " + BASE_CTES.strip() + f""",
+rows AS (SELECT user_id, problem_id, contest_id, solved, {syn()} AS s FROM inter),
+h AS (SELECT s AS x, count(*) AS n, sum(CAST(solved AS DOUBLE)) AS y FROM rows GROUP BY s),
+newton AS (
+  SELECT 0 AS i, {D(0)} AS a, {D(0)} AS b
+  UNION ALL
+  SELECT t.i + 1, t.a - (g.bb * (g.ga + t.a) - g.ab * g.gb) / ((g.aa + 1) * g.bb - g.ab * g.ab),
+         t.b - ((g.aa + 1) * g.gb - g.ab * (g.ga + t.a)) / ((g.aa + 1) * g.bb - g.ab * g.ab)
+  FROM newton t, LATERAL (
+    SELECT sum((n * p - y) * x) AS ga, sum(n * p - y) AS gb, sum(n * p * (1 - p) * x * x) AS aa,
+           sum(n * p * (1 - p) * x) AS ab, sum(n * p * (1 - p)) AS bb
+    FROM (SELECT x, n, y, 1 / (1 + exp(-(t.a * x + t.b))) AS p FROM h)) g
+  WHERE t.i < 20)
+SELECT user_id, problem_id, contest_id, solved, round(s, 6) AS s, round(1 / (1 + exp(-(a * s + b))), 6) AS p
+FROM rows, (SELECT a, b FROM newton WHERE i = 20)
+""")
 def q_platt_calibration(spark, sf_dir):
     """logistic calibration of the synthetic raw score."""
     i = _inter(spark, sf_dir).select("user_id", "problem_id", "contest_id", "solved") \
@@ -613,14 +648,16 @@ def q_platt_calibration(spark, sf_dir):
     return models.apply_platt(m, i, "s", "p")
 
 
-@query("fit_calibrator")
+@query("fit_calibrator", with_base("""
+SELECT DISTINCT round(b, 6) AS boundary, round(p, 6) AS prediction
+FROM (SELECT p, min(x) AS lo, max(x) AS hi FROM cal_f GROUP BY p), LATERAL (SELECT unnest([lo, hi]) AS b)
+""", SPLIT_SQL + f""",
+cal AS (SELECT {syn()} AS s, CAST(solved AS DOUBLE) AS y FROM inter, sp WHERE contest_num >= split_at),""" + isotonic_sql("cal")))
 def q_fit_calibrator(spark, sf_dir):
-    """isotonic fit on a seeded sample of test rows; the fitted
-    boundaries and predictions are returned."""
+    """isotonic fit on a seeded sample of at most 50,000 test rows; the fitted
+    step table is returned.  (The SQL takes all test rows: they are fewer at the
+    size of the correctness check.)"""
     i = _inter(spark, sf_dir)
     _, test = tiers.temporal_split(i)
     rows = test.withColumn("s", fixtures.synthetic_score(F.col("user_id"), F.col("problem_id")))
-    m = models.fit_calibrator(rows, "s", "solved", 50000)
-    # the fitted model is a short step function (one point per distinct score)
-    pts = list(zip(m.boundaries.toArray().tolist(), m.predictions.toArray().tolist()))
-    return spark.createDataFrame(pts, "boundary double, prediction double")
+    return models.fit_calibrator(rows, "s", "solved", 50000).table

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgecraft.config import DEFAULT, Config
-from edgecraft.operators import coldstart, features, graph, models, peers, scoring, tiers
+from edgecraft.operators import blocks, coldstart, features, graph, models, peers, scoring, tiers
 from edgecraft.plans import store
 
 
@@ -69,18 +69,22 @@ def recommend(users: DataFrame, interactions: DataFrame, catalog: DataFrame, mod
               tier_size: int | None = None, materialize=store.materialize) -> DataFrame:
     """(user_id, tier, pos, rank, problem_id, p_solve, title, tags).
 
-    The scored pool is read by four tier branches and the ranked output by
-    the response step, so both are checkpointed (``materialize``).
+    Scores come from :mod:`edgecraft.operators.blocks`, which gives back only the
+    rows that can enter a tier, so no pool is written.  Those rows and the ranked
+    output are read more than once and checkpointed (``materialize``).
     """
     mat = materialize or (lambda d: d)
     hist = interactions.join(users.select("user_id").distinct(), "user_id", "left_semi")
-    pool = tiers.candidate_pool(users, hist, catalog, slug_rel, cfg, materialize=materialize)
-    scored = score_pool(pool, model, hist, slug_rel, cfg)
-    # the pool is unsolved and unique per user already (H4-H6 hold by construction)
-    scored = mat(scored.select("user_id", "problem_id", "tags", "pool_pos", "score"))
     # peer rates need every user's rows (peers are drawn from all users)
-    blind = peers.blind_spots(interactions, cfg).join(users.select("user_id").distinct(), "user_id", "left_semi")
+    blind = mat(peers.blind_spots(interactions, cfg).join(users.select("user_id").distinct(), "user_id", "left_semi"))
     umed = hist.groupBy("user_id").agg(F.median("finish_time_min").alias("median_finish_time"))
+    user_factors, item_factors = model.als.factors()
+    # the pool is unsolved and unique per user already (H4-H6 hold by construction)
+    scored = blocks.score_pool_blocks(
+        users, hist, catalog, slug_rel, user_factors, item_factors, model.content_profiles,
+        als_steps=models.step_table(model.als_cal), content_steps=models.step_table(model.content_cal), blind=blind,
+        user_median=umed, problem_median=problem_feats, size=tier_size, cfg=cfg, materialize=materialize)
+    scored = mat(scored.join(catalog.select("problem_id", "tags"), "problem_id"))
     t = tiers.assign_tiers(scored, cfg, blind=blind, user_median=umed,
                            problem_median=problem_feats.select("problem_id", "median_finish_time"),
                            tier_size=tier_size)

@@ -38,8 +38,7 @@ def _double_round(sql: str, digits: int = 6) -> str:
         if cut > 0 and inner[cut + 1:].strip() == str(digits):
             arg = _double_round(inner[:cut], digits)
             sd = f"1e{digits}"
-            out.append(sql[i:j] + f"(CASE WHEN abs({arg}) < 1e9 THEN floor(floor(({arg}) * 1e9 + 0.5)"
-                       f" / 1e9 * {sd} + 0.5) / {sd} ELSE ({arg}) END)")
+            out.append(sql[i:j] + f"(floor(floor(CAST(({arg}) AS DOUBLE) * 1e9 + 0.5) / 1e9 * {sd} + 0.5) / {sd})")
         else:
             out.append(sql[i:j] + key + _double_round(inner, digits) + ")")
         i = k
