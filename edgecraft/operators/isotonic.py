@@ -94,6 +94,11 @@ def fit(df: DataFrame, score: str, label: str, parts: int | None = None) -> Step
     return Steps(materialize(steps))
 
 
+def predicted(x: np.ndarray, boundary: np.ndarray, prediction: np.ndarray) -> np.ndarray:
+    """Interpolated predictions; scores count to nine decimals, as in the fit."""
+    return np.interp(np.floor(x * 1e9 + 0.5) / 1e9, boundary, prediction)
+
+
 def apply(model: Steps, df: DataFrame, score: str, out: str) -> DataFrame:
     """Predictions of a step table; null scores give null."""
     boundary, prediction = model.arrays()
@@ -102,6 +107,6 @@ def apply(model: Steps, df: DataFrame, score: str, out: str) -> DataFrame:
     def predict(x: pd.Series) -> pd.Series:
         if not len(boundary):
             return pd.Series(np.nan, index=x.index)
-        return pd.Series(np.interp(x, boundary, prediction), index=x.index)
+        return pd.Series(predicted(x.to_numpy(), boundary, prediction), index=x.index)
 
     return df.withColumn(out, F.when(F.col(score).isNotNull(), predict(F.col(score))))
