@@ -21,6 +21,7 @@ every word takes the exact merge; extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 import mmap
@@ -329,7 +330,7 @@ def word_counts(docs: DataFrame, path: str, hold: int = 400_000) -> DataFrame:
                                                  names=["word", "n"])
             held.clear()
 
-        for rb in common.sliced(batches, target=1 << 22):
+        for rb in common.sliced(batches, target=1 << 20):
             distinct, code, _, _ = split.words(common.texts_of(rb))
             for w, n in zip(distinct, np.bincount(code, minlength=len(distinct)).tolist()):
                 held[w] = held.get(w, 0) + n
@@ -401,13 +402,30 @@ def decode(coded: DataFrame, path: str, keep: list[str]) -> DataFrame:
     return src.mapInArrow(run, f"{fields}, decoded string")
 
 
+def round_trip(docs: DataFrame, path: str, automaton: bytes) -> DataFrame:
+    """``doc_id``, ``n_tokens`` and the digests of the ids and of the decoded text.
+    Each slice is encoded and decoded in one worker, so neither ids nor texts
+    leave it, and a core needs one worker with one set of tables."""
+    shared = docs.sparkSession.sparkContext.broadcast(automaton)
+    sha = lambda data: hashlib.sha256(data).hexdigest()
+
+    def run(batches):
+        enc = Encoder(path, shared.value)
+        for rb in common.sliced(batches, target=1 << 20):
+            ids, n = enc.encode(common.texts_of(rb))
+            end = np.cumsum(n).tolist()
+            coded = [sha(",".join(map(str, ids[e - k:e].tolist())).encode()) for e, k in zip(end, n.tolist())]
+            back = [sha(t.encode("utf-8", "surrogatepass")) for t in decode_ids(enc.merges, ids, n)]
+            yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(n), pa.array(coded), pa.array(back)],
+                                             names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(
+        run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
 def op6_bpe_lexicon(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
     path = public_tokenizers.path("byte_bpe_50k.json")
     docs = common.documents(spark, sf_dir).select("doc_id", "text")
-    coded = encode(docs, path, build_lexicon(docs, path), ["doc_id"])
-    back = decode(coded, path, ["doc_id", "ids"])
-    return back.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return round_trip(docs, path, build_lexicon(docs, path))

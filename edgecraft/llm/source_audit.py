@@ -101,24 +101,26 @@ def leading_terms(terms: DataFrame, groups: DataFrame, top: int = TOP) -> DataFr
         .where(F.col("rank") <= top).select(*GROUP, F.col("term").alias("item"), "value", "rank")
 
 
-def _shard_sums(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+def shard_sums(block: int):
     """Sums of |p - q| over the terms of a shard for the source pairs of two
     blocks.  left: roster (source number, p of a missing term); right: terms."""
-    b1, b2 = key[1].as_py(), key[2].as_py()
-    number, zero = left["number"].to_numpy(), left["zero"].to_numpy()
-    by = np.argsort(number)
-    number, zero = number[by], zero[by]
-    _, column = np.unique(right["term"].to_numpy(zero_copy_only=False).astype(object), return_inverse=True) \
-        if right.num_rows else (None, np.zeros(0, np.int64))
-    wide = int(column.max()) + 1 if len(column) else 0
-    p = np.repeat(zero[:, None], wide, axis=1)
-    p[np.searchsorted(number, right["number"].to_numpy()), column] = right["p"].to_numpy()
-    first, second = np.flatnonzero(number // BLOCK == b1), np.flatnonzero(number // BLOCK == b2)
-    out = [np.abs(p[second] - p[i]).sum(axis=1) for i in first]
-    return pa.table({"lang": pa.array([key[0].as_py()] * (len(first) * len(second)), pa.string()),
-                     "a": np.repeat(number[first], len(second)), "b": np.tile(number[second], len(first)),
-                     "part": np.concatenate(out) if out else np.zeros(0, np.int64),
-                     "seen": np.full(len(first) * len(second), wide, np.int64)})
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        b1, b2 = key[1].as_py(), key[2].as_py()
+        number, zero = left["number"].to_numpy(), left["zero"].to_numpy()
+        by = np.argsort(number)
+        number, zero = number[by], zero[by]
+        _, column = np.unique(right["term"].to_numpy(zero_copy_only=False).astype(object), return_inverse=True) \
+            if right.num_rows else (None, np.zeros(0, np.int64))
+        wide = int(column.max()) + 1 if len(column) else 0
+        p = np.repeat(zero[:, None], wide, axis=1)
+        p[np.searchsorted(number, right["number"].to_numpy()), column] = right["p"].to_numpy()
+        first, second = np.flatnonzero(number // block == b1), np.flatnonzero(number // block == b2)
+        out = [np.abs(p[second] - p[i]).sum(axis=1) for i in first]
+        return pa.table({"lang": pa.array([key[0].as_py()] * (len(first) * len(second)), pa.string()),
+                         "a": np.repeat(number[first], len(second)), "b": np.tile(number[second], len(first)),
+                         "part": np.concatenate(out) if out else np.zeros(0, np.int64),
+                         "seen": np.full(len(first) * len(second), wide, np.int64)})
+    return run
 
 
 def source_distances(terms: DataFrame, groups: DataFrame) -> DataFrame:
@@ -151,7 +153,7 @@ def source_distances(terms: DataFrame, groups: DataFrame) -> DataFrame:
         .select("lang", "b1", "b2", "shard", "number", "term", "p")
     keys = ["lang", "b1", "b2", "shard"]
     parts = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
-        _shard_sums, "lang string, a long, b long, part long, seen long")
+        shard_sums(BLOCK), "lang string, a long, b long, part long, seen long")
     half = parts.where("a < b").groupBy("lang", "a", "b").agg(F.sum("part").alias("part"), F.sum("seen").alias("seen"))
     both = half.select("lang", F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
                        .alias("s"), "part", "seen").select("lang", "s.a", "s.b", "part", "seen")
