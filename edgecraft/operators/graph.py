@@ -103,42 +103,71 @@ def _pairs_within(members: DataFrame, key: str, block_size: int) -> DataFrame:
     return left.join(right, [key, "_bi", "_bj"]).where(F.col("p1") < F.col("p2")).drop("_bi", "_bj")
 
 
+def tag_classes(problem_tags: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Problems of equal tag sets as one class: (membership ``problem_id, class_id``,
+    classes ``class_id, tags, members``).  The class id is the MD5 of the sorted
+    tags, so membership needs no join."""
+    ts = problem_tags.groupBy("problem_id").agg(F.sort_array(F.collect_set("tag")).alias("tags")) \
+        .select("problem_id", F.md5(F.array_join("tags", "\x01").cast("binary")).alias("class_id"), "tags")
+    classes = ts.groupBy("class_id").agg(F.any_value("tags").alias("tags"), F.count(F.lit(1)).alias("members"))
+    return ts.select("problem_id", "class_id"), classes
+
+
+def class_graph(classes: DataFrame, min_shared_tags: int = 1, block_size: int = 4096) -> DataFrame:
+    """C3 / D7 between classes: (c1, c2, weight, similarity) with c1 <= c2, for
+    classes that share at least ``min_shared_tags`` tags (a class with itself if it
+    has two problems or more)."""
+    own = classes.select(F.col("class_id").alias("problem_id"), "tags")
+    if min_shared_tags <= 1:
+        pairs = _pairs_within(own.select("problem_id", F.explode("tags").alias("tag")), "tag", block_size) \
+            .groupBy("p1", "p2").agg(F.count(F.lit(1)).alias("weight"))
+    else:
+        # a pair is made once, in the group of the first two tags that it shares
+        n = F.size("tags")
+        two = F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), lambda i: F.transform(
+            F.slice("tags", i + 2, F.greatest(n - i - 1, F.lit(0))), lambda t: F.array(F.col("tags")[i], t))))
+        members = own.where(n >= 2).select("problem_id", F.col("tags").alias("ts"), F.explode(two).alias("tp"))
+        inter = F.array_intersect("ts1", "ts2")
+        pairs = _pairs_within(members, "tp", block_size).where(F.col("tp") == F.slice(inter, 1, 2)) \
+            .select("p1", "p2", F.size(inter).cast("long").alias("weight"))
+    size = classes.select("class_id", F.size("tags").cast("long").alias("n"))
+    across = pairs.where(F.col("weight") >= min_shared_tags) \
+        .join(size.select(F.col("class_id").alias("p1"), F.col("n").alias("n1")), "p1") \
+        .join(size.select(F.col("class_id").alias("p2"), F.col("n").alias("n2")), "p2") \
+        .select(F.col("p1").alias("c1"), F.col("p2").alias("c2"), "weight",
+                (F.col("weight") / F.sqrt(F.col("n1") * F.col("n2"))).alias("similarity"))
+    alike = classes.where((F.col("members") > 1) & (F.size("tags") >= min_shared_tags)).select(
+        F.col("class_id").alias("c1"), F.col("class_id").alias("c2"), F.size("tags").cast("long").alias("weight"),
+        F.lit(1.0).alias("similarity"))
+    return across.unionByName(alike)
+
+
+def expand_classes(pairs: DataFrame, membership: DataFrame, block_size: int = 4096) -> DataFrame:
+    """Problem pairs ``p1 < p2`` of class pairs, other columns kept."""
+    rest = [c for c in pairs.columns if c not in ("c1", "c2")]
+    side = lambda c, p: membership.select(F.col("class_id").alias(c), F.col("problem_id").alias(p))
+    across = pairs.where("c1 < c2").join(side("c1", "a"), "c1").join(side("c2", "b"), "c2") \
+        .select(F.least("a", "b").alias("p1"), F.greatest("a", "b").alias("p2"), *rest)
+    inside = _pairs_within(membership, "class_id", block_size).select("class_id", "p1", "p2") \
+        .join(pairs.where("c1 = c2").select(F.col("c1").alias("class_id"), *rest), "class_id").select("p1", "p2", *rest)
+    return across.unionByName(inside)
+
+
 def shared_tag_graph(problem_tags: DataFrame, min_shared_tags: int = 1,
                      block_size: int = 4096) -> DataFrame:
     """(p1, p2, weight) with p1 < p2 and weight = number of shared tags,
-    kept when weight >= min_shared_tags.
+    kept when weight >= min_shared_tags: :func:`class_graph` expanded to
+    problems (output-bound; take the classes where they are enough)."""
+    membership, classes = tag_classes(problem_tags)
+    return expand_classes(class_graph(classes, min_shared_tags, block_size).drop("similarity"), membership, block_size)
 
-    The output is the pair set itself, so the work is output-bound, and hot
-    keys are split into blocks (``_pairs_within``).  With a minimum of two or
-    more, pairs are formed inside (tag, tag) groups — any qualifying pair
-    shares a tag pair — and each pair is emitted once, from its smallest
-    shared tag pair, so no de-duplication shuffle is needed.
-    """
-    if min_shared_tags <= 1:
-        pairs = _pairs_within(problem_tags.select("tag", "problem_id"), "tag", block_size)
-        out = pairs.groupBy("p1", "p2").agg(F.count(F.lit(1)).alias("weight"))
-        return out.where(F.col("weight") >= min_shared_tags)
-    ts = problem_tags.groupBy("problem_id").agg(F.sort_array(F.collect_set("tag")).alias("ts"))
-    n = F.size("ts")
-    two = F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), lambda i: F.transform(
-        F.slice("ts", i + 2, F.greatest(n - i - 1, F.lit(0))), lambda t: F.array(F.col("ts")[i], t))))
-    members = ts.where(n >= 2).select("problem_id", "ts", F.explode(two).alias("tp"))
-    pairs = _pairs_within(members, "tp", block_size)
-    inter = F.array_intersect("ts1", "ts2")
-    first_two = F.slice(inter, 1, 2)
-    return pairs.where(F.col("tp") == first_two).select(
-        "p1", "p2", F.size(inter).cast("long").alias("weight")).where(F.col("weight") >= min_shared_tags)
-
-
-def tag_cosine(problem_tags: DataFrame, shared: DataFrame) -> DataFrame:
+
+def tag_cosine(problem_tags: DataFrame, block_size: int = 4096) -> DataFrame:
     """D7 (non-zero part): binary cosine = shared / sqrt(n1 * n2) for every
-    pair that shares a tag; pairs sharing nothing have cosine 0 and are not
-    materialised (that part is a cross product)."""
-    n = problem_tags.groupBy("problem_id").agg(F.count(F.lit(1)).alias("nt"))
-    n1 = n.select(F.col("problem_id").alias("p1"), F.col("nt").alias("n1"))
-    n2 = n.select(F.col("problem_id").alias("p2"), F.col("nt").alias("n2"))
-    return shared.join(n1, "p1").join(n2, "p2").select(
-        "p1", "p2", (F.col("weight") / F.sqrt(F.col("n1") * F.col("n2"))).alias("similarity"))
+    pair that shares a tag, worked out once a class pair; pairs sharing nothing
+    have cosine 0 and are not materialised (that part is a cross product)."""
+    membership, classes = tag_classes(problem_tags)
+    return expand_classes(class_graph(classes, 1, block_size).drop("weight"), membership, block_size)
 
 
 def symmetric(edges: DataFrame) -> DataFrame:

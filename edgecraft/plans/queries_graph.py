@@ -112,7 +112,39 @@ JOIN (SELECT problem_id AS p2, count(*) AS n2 FROM cat_tags GROUP BY 1) y USING
 def q_tag_cosine(spark, sf_dir):
     """Tag cosine of every pair sharing a tag (C3 with weight >= 1)."""
     pt = features.problem_tags(build.problems(spark, sf_dir))
-    return graph.tag_cosine(pt, graph.shared_tag_graph(pt, 1))
+    return graph.tag_cosine(pt)
+
+
+CLASS_CTES = """
+ptags AS (SELECT problem_id, list_sort(list(tag)) AS ts FROM cat_tags GROUP BY 1),
+member AS (SELECT problem_id, md5(array_to_string(ts, chr(1))) AS class_id, ts FROM ptags),
+class AS (SELECT class_id, any_value(ts) AS ts, count(*) AS members FROM member GROUP BY 1)
+"""
+
+
+@query("tag_classes", with_base("""
+SELECT class_id, members, array_to_string(ts, ',') AS tags,
+       (SELECT string_agg(problem_id, ',' ORDER BY problem_id) FROM member m WHERE m.class_id = c.class_id) AS problems
+FROM class c
+""", CLASS_CTES))
+def q_tag_classes(spark, sf_dir):
+    """C3 / D7 in classes: problems of equal tag sets (membership listed as text)."""
+    member, classes = graph.tag_classes(features.problem_tags(build.problems(spark, sf_dir)))
+    listed = member.groupBy("class_id").agg(F.array_join(F.sort_array(F.collect_list("problem_id")), ",").alias("problems"))
+    return classes.join(listed, "class_id").select("class_id", "members", F.array_join("tags", ",").alias("tags"), "problems")
+
+
+@query("tag_class_graph", with_base("""
+SELECT a.class_id AS c1, b.class_id AS c2, len(list_intersect(a.ts, b.ts)) AS weight,
+       round(len(list_intersect(a.ts, b.ts)) / sqrt(len(a.ts) * len(b.ts)), 6) AS similarity
+FROM class a JOIN class b ON a.class_id < b.class_id OR (a.class_id = b.class_id AND a.members > 1)
+WHERE len(list_intersect(a.ts, b.ts)) >= 2
+""", CLASS_CTES))
+def q_tag_class_graph(spark, sf_dir):
+    """C3 + D7 between classes of equal tag sets (weight >= 2): linear in
+    problems and class pairs."""
+    _, classes = graph.tag_classes(features.problem_tags(build.problems(spark, sf_dir)))
+    return graph.class_graph(classes, 2)
 
 
 @query("slug_adjacency", with_base("""
