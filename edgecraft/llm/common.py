@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -98,3 +99,16 @@ def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int, limit_mb: int =
     """Broadcast hint behind a size check: ``rows`` is the counted number of
     rows.  Beyond the limit the join is left to Spark (sort-merge)."""
     return F.broadcast(df) if rows * row_bytes <= limit_mb << 20 else df
+
+
+@contextmanager
+def sorted_joins(spark: SparkSession):
+    """Inside, joins without a hint of their own are not turned into broadcasts:
+    a job of many small steps would build a relation on the driver for each."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

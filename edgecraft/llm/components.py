@@ -28,8 +28,7 @@ def components(links: DataFrame) -> DataFrame:
         up = label.select(F.col("node").alias("u_"), F.col("label").alias("up"))
         new = common.checkpoint(
             low.join(up, F.col("mid") == F.col("u_"), "left")
-            .select("node", F.least("mid", F.coalesce("up", "mid")).alias("label"),
-                    (F.least("mid", F.coalesce("up", "mid")) != F.col("old")).alias("changed")))
+            .select("node", F.least("mid", F.coalesce("up", "mid")).alias("label"), "old"))
         label = new.select("node", "label")
-        if new.where("changed").isEmpty():
+        if new.where("label <> old").isEmpty():
             return label

@@ -184,10 +184,10 @@ def class_order(hashed: DataFrame) -> tuple[np.ndarray, int]:
     for r in rows:                                   # a table of fixed length
         v = common.expand(r.vec)
         counts[r.part * len(v):(r.part + 1) * len(v)] = v
-    order = np.argsort(counts, kind="stable")
+    order = np.argsort(counts, kind="stable").astype(np.uint32)
     rank = np.empty(len(counts), np.uint32)
     rank[order] = np.arange(len(counts), dtype=np.uint32)
-    return rank, int(np.searchsorted(counts[order], FREQUENT * max(counts.mean(), 1.0), side="right"))
+    return rank, int(np.count_nonzero(counts <= FREQUENT * max(counts.mean(), 1.0)))
 
 
 def prefix_keys(h: np.ndarray, rank: np.ndarray, frequent: int, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
@@ -211,9 +211,9 @@ def prefix_keys(h: np.ndarray, rank: np.ndarray, frequent: int, rule: Rule) -> t
     return np.concatenate(keys), np.concatenate(skip).astype(np.int32)
 
 
-def index_entries(docs: DataFrame, rank: np.ndarray, frequent: int, rule: Rule) -> DataFrame:
-    """(``key``, ``d1``, ``skip``): the index; copies within a task give one set of entries."""
-    shared = docs.sparkSession.sparkContext.broadcast((rank, frequent))
+def index_entries(docs: DataFrame, shared, rule: Rule) -> DataFrame:
+    """(``key``, ``d1``, ``skip``): the index; copies within a task give one set of
+    entries.  ``shared`` is the broadcast class order."""
 
     def run(batches):
         seen: set[int] = set()
@@ -342,12 +342,13 @@ def find_links(docs: DataFrame, hashed: DataFrame, classes: DataFrame, rule: Rul
     pair of linked sets, directly or through other links."""
     width = 1 - rule.percent / 100 + 1e-9
     link = F.col("inter") * 100 >= F.col("uni") * rule.percent
-    rank, frequent = class_order(hashed)
-    entries = index_entries(docs, rank, frequent, rule)
+    shared = docs.sparkSession.sparkContext.broadcast(class_order(hashed))
+    entries = index_entries(docs, shared, rule)
     keys = (entries.groupBy("key").agg(F.min("d1").alias("lead"), F.max("d1").alias("last"))
             .where("lead <> last").select("key", "lead"))
     held = common.checkpoint(entries.join(keys, "key").groupBy("key", "d1").agg(F.first("lead").alias("lead"),
                                                                                    F.min("skip").alias("skip")))
+    shared.unpersist()                               # still there for a task that must run again
     star = held.where("lead <> d1").select(F.col("lead").alias("a"), F.col("d1").alias("b")).distinct()
     star = common.checkpoint(might_link(star, classes, rule))
     first = common.checkpoint(checked(star.where(F.col("least") <= width), docs, classes, rule))
@@ -394,6 +395,17 @@ def find_links(docs: DataFrame, hashed: DataFrame, classes: DataFrame, rule: Rul
 
 def near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
     """``doc_id``, ``n`` (set size) and ``component_id`` of every row of ``docs``."""
+    with common.sorted_joins(docs.sparkSession):
+        rows, label, classes = grouped(docs, rule)
+    named = (classes.select("d1", "d2", "rep").join(label, classes["rep"] == label["node"], "left")
+             .select("d1", "d2", F.coalesce("label", "rep").alias("component")))
+    return (rows.join(named, ["d1", "d2"], "left")
+            .select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+                    .alias("component_id")))
+
+
+def grouped(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with their digests, labels of linked representatives, and classes."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     hashed = common.checkpoint(hash_sets(docs, rule))
     rows = hashed.where("part = -1").select("doc_id", "n", "d1", "d2", "vec")
@@ -406,12 +418,7 @@ def near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
     same_id = (rows.where("n > 0").join(classes.select("d1", "d2", "rep"), ["d1", "d2"])
                .where("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
                .where("a <> b").select("a", "b"))
-    label = components(links.unionByName(same_id))
-    named = (classes.select("d1", "d2", "rep").join(label, classes["rep"] == label["node"], "left")
-             .select("d1", "d2", F.coalesce("label", "rep").alias("component")))
-    return (rows.join(named, ["d1", "d2"], "left")
-            .select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-                    .alias("component_id")))
+    return rows, components(links.unionByName(same_id)), classes
 
 
 def op5_shingle_join(spark, sf_dir: str) -> DataFrame:
