@@ -71,8 +71,9 @@ def counted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     language), and all groups ``lang, source, n, nl, v`` (totals over kept
     terms and their number; ``n`` is the group's)."""
     all_terms = common.checkpoint(term_counts(docs))
-    kept = all_terms.groupBy("lang", "term").agg(F.sum("c").alias("cl"), F.sum("d").alias("d")) \
-        .where(F.col("d") >= MIN_DOCS).drop("d")
+    kept = common.checkpoint(all_terms.groupBy("lang", "term").agg(F.sum("c").alias("cl"), F.sum("d").alias("d"))
+                             .where(F.col("d") >= MIN_DOCS).drop("d"))
+    kept = common.broadcast_if_small(kept, kept.count(), 64)
     terms = common.checkpoint(all_terms.join(kept, ["lang", "term"]))
     occur = docs.select(*GROUP).distinct()
     sums = terms.groupBy(*GROUP).agg(F.sum("c").alias("n"))
