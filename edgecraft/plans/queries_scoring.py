@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from edgecraft.operators import blocks, evaluate, features, graph, models, peers, scoring, tiers
+from edgecraft.operators import als_step, blocks, evaluate, features, graph, models, peers, scoring, tiers
 from edgecraft.plans import build, store
 from edgecraft.plans.oracle_base import BASE_CTES, with_base
 from edgecraft.plans.registry import query
@@ -608,6 +608,27 @@ def isotonic_sql(rows: str) -> str:
 """
 
 
+@query("als_half_step", with_base("""
+SELECT user_id, round((a22 * b1 - a12 * b2) / (a11 * a22 - a12 * a12), 6) AS f1,
+       round((a11 * b2 - a12 * b1) / (a11 * a22 - a12 * a12), 6) AS f2
+FROM (SELECT w.user_id, g11 + sum(weight * y1 * y1) + 0.1 * count(*) AS a11, g12 + sum(weight * y1 * y2) AS a12,
+             g22 + sum(weight * y2 * y2) + 0.1 * count(*) AS a22, sum((1 + weight) * y1) AS b1, sum((1 + weight) * y2) AS b2
+      FROM hw_ w JOIN y USING (problem_id), gram GROUP BY w.user_id, g11, g12, g22)
+""", FACTORS_SQL + """,
+y AS (SELECT problem_id, itf[1] AS y1, itf[2] AS y2 FROM ifac),
+gram AS (SELECT sum(y1 * y1) AS g11, sum(y1 * y2) AS g12, sum(y2 * y2) AS g22 FROM y),
+hw_ AS (SELECT user_id, problem_id, CASE WHEN max(CAST(solved AS INTEGER)) = 1 THEN CAST(1.0 AS DOUBLE) / (1 + sum(penalty_count))
+               ELSE CAST(0.1 AS DOUBLE) END AS weight FROM inter GROUP BY user_id, problem_id)
+"""))
+def q_als_half_step(spark, sf_dir):
+    """user factors by one implicit ALS half-step over all interactions, from
+    problem factors of rank 2 (the first components of ``embeddings``)."""
+    _, items = _factor_tables(spark, sf_dir)
+    out = als_step.user_factors(models.implicit_weights(_inter(spark, sf_dir)),
+                                items.select("id", F.slice("features", 1, 2).alias("features")))
+    return out.select(F.col("id").alias("user_id"), F.col("features")[0].alias("f1"), F.col("features")[1].alias("f2"))
+
+
 @query("isotonic_calibration", with_base("""
 SELECT p.user_id, p.problem_id, p.solved, round(p.content_raw, 6) AS content_raw, round(f.p, 6) AS p
 FROM iso_p p JOIN iso_f f ON f.x = floor(floor(p.content_raw * 1e9 + 0.5) / 1e9 * 1e9 + 0.5) / 1e9
