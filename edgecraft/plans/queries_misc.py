@@ -8,11 +8,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from edgecraft.config import DEFAULT
 from edgecraft.operators import coldstart, extras, features, graph, models, peers, profile, scoring, tiers
-from edgecraft.plans import backtest, build, recommend, store
+from edgecraft.plans import backtest, build, bundle, recommend, refresh, store
 from edgecraft.plans.oracle_base import with_base
-from edgecraft.plans.queries_scoring import (ENSEMBLE_SQL, HB, POOL, PROFILE_SQL, TIER_SQL, _catalog_pos, _factor_tables, _slug_rel,
-                                             _history_batch, _tiers, content_sql, syn, FACTORS_SQL)
+from edgecraft.plans.queries_scoring import (ENSEMBLE_SQL, HB, POOL, PROFILE_SQL, SPLIT_SQL, TIER_SQL, _catalog_pos, _ensemble,
+                                             _factor_tables, _history_batch, _slug_rel, _tiers, content_sql, syn, FACTORS_SQL)
 from edgecraft.plans.registry import query
 from edgecraft.session import checkpoint_dir
 from edgecraft.sources import fixtures, jsonl
@@ -550,6 +551,40 @@ def q_model_save_load(spark, sf_dir):
         F.sum((~F.col("als_raw").eqNullSafe(F.col("again"))).cast("long")).alias("differing"))
 
 
+@query("model_bundle", with_base("""
+SELECT * FROM (VALUES ('als_cal', CAST(0 AS BIGINT)), ('content_cal', 0)) v(part, n_rows)
+UNION ALL SELECT 'als_users', count(DISTINCT user_id) FROM tr
+UNION ALL SELECT 'als_items', count(DISTINCT problem_id) FROM tr
+UNION ALL SELECT 'problem_tags', count(*) FROM cat_tags
+UNION ALL SELECT 'content_profiles', count(*) FROM (
+  SELECT DISTINCT user_id, tag FROM sol JOIN cat_tags USING (problem_id)
+  WHERE user_id IN (SELECT user_id FROM sol GROUP BY 1 HAVING sum(normalized_score) > 0))
+""", SPLIT_SQL + """,
+tr AS (SELECT inter.* FROM inter, sp WHERE contest_num < split_at),
+sol AS (SELECT * FROM tr WHERE solved)
+"""))
+def q_model_bundle(spark, sf_dir):
+    """F16 + F17: a trained bundle saved, committed and loaded; the rows of each
+    part that are in both the trained and the loaded one (calibrators: rows of the
+    step tables that differ)."""
+    m = _trained(spark, sf_dir)
+    root = _scratch(spark)
+    bundle.save(spark, m, root)
+    back = bundle.load(spark, root, DEFAULT)
+    both = lambda a, b: a.intersect(b.select(*a.columns))
+    out = None
+    for part, a, b in (("als_users", m.als.users, back.als.users), ("als_items", m.als.items, back.als.items),
+                       ("problem_tags", m.problem_tags, back.problem_tags),
+                       ("content_profiles", m.content_profiles, back.content_profiles)):
+        one = both(a, b).agg(F.lit(part).alias("part"), F.count(F.lit(1)).alias("n_rows"))
+        out = one if out is None else out.unionByName(one)
+    for part in bundle.CALIBRATORS:
+        a, b = getattr(m, part).table, getattr(back, part).table
+        left = a.exceptAll(b).unionByName(b.exceptAll(a)).agg(F.lit(part).alias("part"), F.count(F.lit(1)).alias("n"))
+        out = out.unionByName(left.select("part", F.col("n").alias("n_rows")))
+    return out
+
+
 @query("train_job")
 def q_train_job(spark, sf_dir):
     """split -> ALS -> isotonic -> content -> isotonic; calibrated ALS
@@ -608,11 +643,13 @@ def q_backtest(spark, sf_dir):
 SELECT user_id, problem_id, round(score, 6) AS score FROM ens
 """, ENSEMBLE_SQL))
 def q_pool_refresh(spark, sf_dir):
-    """The candidate pool with ensemble scores, written as a
-    Parquet table partitioned by user bucket and read back."""
-    from edgecraft.plans.queries_scoring import _ensemble
-    s = _ensemble(spark, sf_dir).select("user_id", "problem_id", "score") \
-        .withColumn("bucket", (F.abs(F.xxhash64("user_id")) % 16).cast("int"))
-    path = _scratch(spark)
-    write_parquet(s, path, sort_within=["user_id"], partition_by=["bucket"])
-    return spark.read.parquet(path).drop("bucket")
+    """The candidate pool with ensemble scores as a stored table: a first
+    refresh writes all user buckets, a second one without changes none."""
+    i = _inter(spark, sf_dir)
+    root = _scratch(spark)
+    columns = ["problem_id", "contest_id", "solved", "penalty_count", "normalized_score"]
+    score = lambda users: _ensemble(spark, sf_dir, users).select("user_id", "problem_id", "score")
+    refresh.refresh(spark, i, score, root, columns)
+    if refresh.refresh(spark, i, score, root, columns):
+        raise AssertionError("a refresh without changes has written")
+    return refresh.read_pool(spark, root)

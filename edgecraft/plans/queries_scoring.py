@@ -73,11 +73,11 @@ def synthetic_raw(users, items):
     return np.where(users % 10 == 0, 0.5, (users * 31 + items.T * 17) % 1000 / 1000.0)
 
 
-def _pool_blocks(spark, sf_dir, **how):
+def _pool_blocks(spark, sf_dir, users=None, **how):
     """Scores over the pool (H7) with the synthetic raw score."""
     i = _inter(spark, sf_dir)
     uf, itf = _synthetic_factors(spark, sf_dir)
-    return blocks.score_pool_blocks(i.select("user_id").distinct(), i, _catalog_pos(spark, sf_dir),
+    return blocks.score_pool_blocks(i.select("user_id").distinct() if users is None else users, i, _catalog_pos(spark, sf_dir),
                                     _slug_rel(spark, sf_dir), uf, itf, raw=synthetic_raw,
                                     materialize=store.materialize, **how)
 
@@ -407,10 +407,10 @@ ens AS (SELECT user_id, problem_id, pa, pc, boost,
 """
 
 
-def _ensemble(spark, sf_dir):
+def _ensemble(spark, sf_dir, users=None):
     cat = build.problems(spark, sf_dir)
     profiles = scoring.content_profiles(_inter(spark, sf_dir), features.problem_tags(cat), cat)
-    return _pool_blocks(spark, sf_dir, keep="all", profiles=profiles)
+    return _pool_blocks(spark, sf_dir, users, keep="all", profiles=profiles)
 
 
 @query("ensemble_scores", with_base("""

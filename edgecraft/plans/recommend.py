@@ -13,37 +13,58 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgecraft.config import DEFAULT, Config
-from edgecraft.operators import blocks, coldstart, features, graph, models, peers, scoring, tiers
+from edgecraft.operators import blocks, coldstart, features, graph, isotonic, models, peers, scoring, tiers
 from edgecraft.plans import store
 
 
 @dataclass
 class Trained:
-    als: models.ALSFit
-    als_cal: object | None
-    content_profiles: DataFrame
-    content_cal: object | None
-    problem_tags: DataFrame
+    als: models.ALSFit | None
+    als_cal: isotonic.Steps | None
+    content_profiles: DataFrame | None
+    content_cal: isotonic.Steps | None
+    problem_tags: DataFrame | None
+
+
+CHOICES = ("als", "content", "ensemble", "all")
 
 
 def train(interactions: DataFrame, problems: DataFrame, cfg: Config = DEFAULT,
           n_test_contests: int = 10, calibrate: bool = True, rank: int | None = None,
-          max_iter: int | None = None) -> Trained:
+          max_iter: int | None = None, choice: str = "all") -> Trained:
     """temporal split -> ALS on train -> isotonic on test rows ->
-    content profiles on train -> isotonic on test rows."""
+    content profiles on train -> isotonic on test rows.  ``choice``: "als" or
+    "content" for one of them, "ensemble" or "all" for both."""
+    if choice not in CHOICES:
+        raise ValueError(f"choice must be one of {CHOICES}")
     train_df, test_df = tiers.temporal_split(interactions, n_test_contests)
-    als = models.fit_als(train_df, cfg, rank=rank, max_iter=max_iter)
-    pt = features.problem_tags(problems)
-    prof = scoring.content_profiles(train_df, pt, problems)
-    als_cal = content_cal = None
-    if calibrate:
-        pairs = test_df.select("user_id", "problem_id", "contest_id", "solved")
-        als_cal = models.fit_calibrator(als.raw_scores(pairs), "als_raw", "solved", 50000, cfg.seed)
-        c = scoring.content_raw_scores(pairs, prof, pt)
-        content_cal = models.fit_calibrator(c, "content_raw", "solved", 20000, cfg.seed)
+    pairs = test_df.select("user_id", "problem_id", "contest_id", "solved")
+    als = als_cal = prof = content_cal = pt = None
+    if choice != "content":
+        als = models.fit_als(train_df, cfg, rank=rank, max_iter=max_iter)
+        if calibrate:
+            als_cal = models.fit_calibrator(als.raw_scores(pairs), "als_raw", "solved", 50000, cfg.seed)
+    if choice != "als":
+        pt = features.problem_tags(problems)
+        prof = store.materialize(scoring.content_profiles(train_df, pt, problems))
+        if calibrate:
+            c = scoring.content_raw_scores(pairs, prof, pt)
+            content_cal = models.fit_calibrator(c, "content_raw", "solved", 20000, cfg.seed)
     return Trained(als, als_cal, prof, content_cal, pt)
 
 
+def refit(model: Trained, interactions: DataFrame, problems: DataFrame, cfg: Config = DEFAULT,
+          rank: int | None = None, max_iter: int | None = None) -> Trained:
+    """The models that a training gave, fitted again on all given interactions;
+    calibrators stay, since no rows are held out for them."""
+    als = models.fit_als(interactions, cfg, rank=rank, max_iter=max_iter) if model.als is not None else None
+    pt = prof = None
+    if model.content_profiles is not None:
+        pt = features.problem_tags(problems)
+        prof = scoring.content_profiles(interactions, pt, problems)
+    return Trained(als, model.als_cal, prof, model.content_cal, pt)
+
+
 def score_pool(pool: DataFrame, model: Trained, history: DataFrame, slug_rel: DataFrame,
                cfg: Config = DEFAULT) -> DataFrame:
     """F3/F5 -> F6 -> F12 (each model) -> G2 -> F13 on the candidate pool."""
@@ -73,6 +94,8 @@ def recommend(users: DataFrame, interactions: DataFrame, catalog: DataFrame, mod
     rows that can enter a tier, so no pool is written.  Those rows and the ranked
     output are read more than once and checkpointed (``materialize``).
     """
+    if model.als is None or model.content_profiles is None:
+        raise ValueError("recommendations need both models (train with choice 'ensemble' or 'all')")
     mat = materialize or (lambda d: d)
     hist = interactions.join(users.select("user_id").distinct(), "user_id", "left_semi")
     # peer rates need every user's rows (peers are drawn from all users)
