@@ -190,7 +190,7 @@ def sketched_items(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         counter = token_cache.counter(path)
-        for rb in common.sliced(batches):
+        for rb in common.sliced(batches, target=1 << 21):
             texts = common.texts_of(rb)
             sets = shingle_sets(texts, NEAR.words)
             yield pa.RecordBatch.from_arrays(
