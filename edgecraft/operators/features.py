@@ -118,6 +118,17 @@ def tag_vectors(problems: DataFrame) -> DataFrame:
         .otherwise(0.0)).alias("tag_vector"))
 
 
+def tag_index_lists(problems: DataFrame) -> DataFrame:
+    """D6, sparse: per problem the sorted places of its tags in the vocabulary (at
+    most one a tag), with the vocabulary size; the 0/1 vector has ones there."""
+    vocab = tag_vocabulary(problems)
+    size = vocab.agg(F.count(F.lit(1)).alias("size"))
+    at = problems.select("problem_id", F.explode(F.array_distinct("tags")).alias("tag")).join(vocab, "tag") \
+        .groupBy("problem_id").agg(F.sort_array(F.collect_set("tag_idx")).alias("indices"))
+    return problems.select("problem_id").join(at, "problem_id", "left").crossJoin(F.broadcast(size)) \
+        .select("problem_id", "size", F.coalesce("indices", F.array().cast("array<int>")).alias("indices"))
+
+
 def problem_tags(problems: DataFrame) -> DataFrame:
     """Exploded (problem_id, tag) relation, distinct — the sparse form of D6."""
     return problems.select("problem_id", F.explode(F.array_distinct("tags")).alias("tag")).distinct()
@@ -210,6 +221,31 @@ def adjacency_lists(interactions: DataFrame):
     return u, p
 
 
+def adjacency_chunks(interactions: DataFrame, width: int = 1024) -> tuple[DataFrame, DataFrame]:
+    """C6 in bounded rows: (user_id, chunk, problems) and (problem_id, chunk, users).
+
+    The neighbours of an id get dense places (bucket counts and prefix sums), and a chunk holds at most ``width`` of them, sorted; chunks
+    in order are the sorted list of :func:`adjacency_lists`, duplicates kept.  No
+    list or task holds all users of a hot problem."""
+    def chunks(key: str, other: str, out: str) -> DataFrame:
+        rank = id_map(interactions, other, "_place", text_key(other))
+        rows = interactions.select(key, other).join(rank, other)
+        counts = rows.groupBy(key, other, "_place").agg(F.count(F.lit(1)).alias("_n"))
+        # places before a bucket of neighbours come from bucket sums, inside it from a window over the bucket
+        bucketed = counts.withColumn("_b", F.floor(F.col("_place") / width))
+        upto = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        before = bucketed.groupBy(key, "_b").agg(F.sum("_n").alias("_s")) \
+            .select(key, "_b", F.coalesce(F.sum("_s").over(upto), F.lit(0)).alias("_before"))
+        inside = Window.partitionBy(key, "_b").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+        placed = bucketed.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(before, [key, "_b"]) \
+            .select(key, other, (F.col("_before") + F.col("_in")).alias("_at"), "_n")
+        each = placed.select(key, other, F.explode(F.sequence(F.col("_at"), F.col("_at") + F.col("_n") - 1)).alias("_at"))
+        return each.groupBy(key, F.floor(F.col("_at") / width).cast("long").alias("chunk")) \
+            .agg(F.sort_array(F.collect_list(other)).alias(out))
+
+    return chunks("user_id", "problem_id", "problems"), chunks("problem_id", "user_id", "users")
+
+
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
            T.DecimalType)
 

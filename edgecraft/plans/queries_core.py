@@ -257,6 +257,18 @@ def q_tag_vectors(spark, sf_dir):
         .where(F.col("value") > 0)
 
 
+@query("tag_index_lists", with_base("""
+SELECT p.problem_id, (SELECT count(DISTINCT tag) FROM cat_tags) AS size, coalesce(t.ix, '') AS indices
+FROM cat p LEFT JOIN (SELECT problem_id, string_agg(CAST(tag_idx AS VARCHAR), ',' ORDER BY tag_idx) AS ix
+  FROM cat_tags JOIN (SELECT tag, row_number() OVER (ORDER BY tag) - 1 AS tag_idx
+                      FROM (SELECT DISTINCT tag FROM cat_tags)) v USING (tag) GROUP BY 1) t USING (problem_id)
+"""))
+def q_tag_index_lists(spark, sf_dir):
+    """D6, sparse: places of each problem's ones in the multi-hot vector."""
+    v = features.tag_index_lists(_problems(spark, sf_dir))
+    return v.select("problem_id", "size", F.array_join(F.col("indices").cast("array<string>"), ",").alias("indices"))
+
+
 @query("user_tag_preferences", with_base("""
 SELECT user_id, tag, round(count(*) / any_value(ns), 6) AS preference
 FROM it JOIN (SELECT user_id, count(*) AS ns FROM inter WHERE solved GROUP BY user_id) s USING (user_id)
@@ -375,3 +387,16 @@ def q_problem_adjacency(spark, sf_dir):
     _, p = features.adjacency_lists(_inter(spark, sf_dir))
     return p.select("problem_id", F.size("users").cast("long").alias("n"),
                     F.array_join("users", ",").alias("users"))
+
+
+@query("problem_adjacency_chunks", with_base("""
+SELECT problem_id, chunk, count(*) AS n, string_agg(user_id, ',' ORDER BY user_id) AS users
+FROM (SELECT problem_id, user_id,
+             (row_number() OVER (PARTITION BY problem_id ORDER BY user_id) - 1) // 64 AS chunk FROM inter)
+GROUP BY ALL
+"""))
+def q_problem_adjacency_chunks(spark, sf_dir):
+    """C6 in bounded rows: the users of a problem in sorted chunks of 64."""
+    _, p = features.adjacency_chunks(_inter(spark, sf_dir), 64)
+    return p.select("problem_id", "chunk", F.size("users").cast("long").alias("n"),
+                    F.array_join("users", ",").alias("users"))
