@@ -221,9 +221,8 @@ def similar_items(vectors: DataFrame, id_col: str, vec_col: str, n: int = 5,
     import numpy as np
     import pandas as pd
 
-    spark = vectors.sparkSession
-    if n_blocks is None:
-        n_blocks = 8
+    if n_blocks is None:                                 # a block is at most about 4,096 vectors
+        n_blocks = max(8, -(-vectors.count() // 4096))
     v = vectors.select(F.col(id_col).cast("long").alias("id"),
                        F.col(vec_col).cast("array<double>").alias("v")) \
         .withColumn("blk", (F.abs(F.xxhash64("id")) % n_blocks).cast("int"))
