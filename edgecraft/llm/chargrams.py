@@ -43,8 +43,3 @@ def gram_counts(texts: list[str], orders: tuple[int, ...], bits: int):
     count = np.diff(np.append(first, len(key)))
     key = key[first]
     return (key >> wide(bits)).astype(np.int64), (key & wide((1 << bits) - 1)).astype(np.int64), count
-
-
-def per_text(doc: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Sum ``values`` by document index."""
-    return np.bincount(doc, weights=values, minlength=n)

@@ -129,7 +129,8 @@ def redact(docs: DataFrame, columns: list[str], mark: str = "[SECRET]", scope: i
     ``mark`` (overlapping spans together); ``n_chars`` follows the new text.
     Texts without a span stay as they are.  Documents are keyed by a digest of
     id and text: equal rows have equal spans."""
-    key = F.md5(F.concat_ws("\x1f", F.col("doc_id").cast("string"), F.col("text")).cast("binary"))
+    key = F.md5(F.concat_ws("\x1f", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit("")))
+                .cast("binary"))
     scanned = scan(docs.select("doc_id", "text", key.alias("key_")), ["key_"])
     linked = common.checkpoint(
         link_weak(scanned, scope).join(scanned.select("row", "key_"), "row").groupBy("key_")

@@ -138,3 +138,10 @@ def test_op10(spark, table, rows):  # noqa: F811
     for r in got:
         bare = not any(any(ch.isalpha() for ch in t) for t in text[r.doc_id])
         assert (r.lang_pred == "und") == bare and (bare or r.lang_pred in learned) and 0 <= r.score <= 1
+
+
+def test_redaction_tells_missing_ids_apart(spark):
+    from edgecraft.llm import secrets
+    docs = spark.createDataFrame([(None, "5\x1ftoken = abcdefgh1"), (5, "token = abcdefgh1"), (5, None)], "doc_id long, text string")
+    got = {(r.doc_id, r.text) for r in secrets.redact(docs, ["doc_id", "text"]).collect()}
+    assert got == {(None, "5\x1f[SECRET]"), (5, "[SECRET]"), (5, None)}
