@@ -54,6 +54,7 @@ CLASS_BITS = 21
 COMBINE = 256
 FREQUENT = 4.0               # times the mean count of a class
 BLOCK_SHINGLES = 1_000_000   # verified at once
+SUBGROUPS = 256              # parts of a group of one key and component
 SHORT = 28                   # bytes of the fixed bitmap, four longs of 7 bytes
 _LOW = np.uint64((1 << (64 - CLASS_BITS)) - 1)
 _SHIFT = np.uint64(64 - CLASS_BITS)
@@ -330,6 +331,16 @@ def bits_allow(n: str, n2: str, words: list[str], rule: Rule):
     return differ * (100 + rule.percent) <= (F.col(n) + F.col(n2)) * (100 - rule.percent)
 
 
+def groups_allow(words: list[str], rule: Rule):
+    """The same for any two members of two groups, from the bits that are equal in
+    all members of each (``w``: AND of a group's words, ``o``: OR)."""
+    def differ(w):
+        open_ = F.col(w).bitwiseXOR(F.col("o" + w)).bitwiseOR(F.col(w + "2").bitwiseXOR(F.col("o" + w + "2")))
+        return F.bit_count(F.col(w).bitwiseXOR(F.col(w + "2")).bitwiseAND(F.bitwise_not(open_)))
+
+    return sum((differ(w) for w in words), F.lit(0)) * (100 + rule.percent) <= (F.col("hi") + F.col("hi2")) * (100 - rule.percent)
+
+
 def checked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     """Exact overlaps of the pairs that the bitmaps leave: (``a``, ``b``, ``ra``,
     ``rb``, ``inter``, ``uni``)."""
@@ -373,19 +384,20 @@ def find_links(docs: DataFrame, hashed: DataFrame, classes: DataFrame, rule: Rul
         marked.join(open_keys, "key").join(sized, "d1").join(zones, ["lead", "d1"], "left").where("lead <> d1")
         .select("key", "d1", "label", F.coalesce("zone", F.lit(2)).alias("zone"), "n",
                 (F.col("n") - F.col("skip")).alias("rest"), *words))
-    # (key, zone, component) groups meet first, their members only where components differ and sizes, what
-    # is left after the key (positions in the global order) and, for single sets, the bitmaps allow a link
-    group = left.groupBy("key", "zone", "label").agg(
-        F.count(F.lit(1)).alias("c"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("rest").alias("rest"),
-        *[F.min(w).alias(w) for w in words])
+    # groups of (key, zone, component), a large one in ``SUBGROUPS`` parts, meet first, their members only where
+    # components differ and sizes, what is left after the key (positions in the global order) and the bitmaps
+    # allow a link
+    left = left.withColumn("sub", F.pmod(F.xxhash64("d1"), F.lit(SUBGROUPS)).cast("int"))
+    by = ["key", "zone", "label", "sub"]
+    group = left.groupBy(*by).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("rest").alias("rest"),
+                                  *[F.bit_and(w).alias(w) for w in words], *[F.bit_or(w).alias("o" + w) for w in words])
     met = group.join(renamed(group, "key"), "key").where(
         "label < label2 and not (zone = 0 and zone2 = 0) and (zone + zone2 <> 2 or zone = 1)").where(
-        reachable("lo", "hi", "lo2", "hi2", rule) & ((F.col("c") > 1) | (F.col("c2") > 1)
-                                                     | bits_allow("hi", "hi2", words, rule))) \
-        .select("key", "zone", "label", "zone2", "label2")
-    member = left.select("key", "zone", "label", F.col("d1").alias("a"), "n", "rest", *words)
-    other = renamed(left.select("key", "zone", "label", F.col("d1").alias("b"), "n", "rest", *words), "key", "b")
-    cross = (met.join(member, ["key", "zone", "label"]).join(other, ["key", "zone2", "label2"])
+        reachable("lo", "hi", "lo2", "hi2", rule) & groups_allow(words, rule)) \
+        .select("key", "zone", "label", "sub", "zone2", "label2", "sub2")
+    member = left.select(*by, F.col("d1").alias("a"), "n", "rest", *words)
+    other = renamed(left.select(*by, F.col("d1").alias("b"), "n", "rest", *words), "key", "b")
+    cross = (met.join(member, by).join(other, ["key", "zone2", "label2", "sub2"])
              .where(reachable("n", "n", "n2", "n2", rule) & bits_allow("n", "n2", words, rule))
              .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     again = common.checkpoint(might_link(cross, classes, rule).where(F.col("least") <= width))
