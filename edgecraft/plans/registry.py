@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from edgecraft.functions.exprs import round_doubles
+from edgecraft.session import reach_workers
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -47,6 +48,7 @@ def _double_round(sql: str, digits: int = 6) -> str:
 def query(name: str, sql: str | None = None, digits: int = 6):
     def deco(fn: QueryFn) -> QueryFn:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            reach_workers(spark)
             return round_doubles(fn(spark, sf_dir), digits)
         run.__name__ = fn.__name__
         run.__doc__ = fn.__doc__
