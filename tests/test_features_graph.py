@@ -101,3 +101,29 @@ def test_feature_store(spark, tmp_path):
     assert store.problem_features.columns == ["problem_id"] and store.user_features.count() == 0
     with pytest.raises(FileNotFoundError):
         store.interactions
+
+
+def test_adjacency_chunks_are_the_sorted_lists(spark):
+    rows = [(f"u{u:02d}", f"p{p}") for p in range(4) for u in range(3 + 9 * p)] + [("u01", "p3")] * 5
+    df = spark.createDataFrame(rows, "user_id string, problem_id string")
+    for one, many, key, out in zip(features.adjacency_lists(df), features.adjacency_chunks(df, 4),
+                                   ("user_id", "problem_id"), ("problems", "users")):
+        want = {r[key]: r[out] for r in one.collect()}
+        got = {}
+        for r in many.orderBy(key, "chunk").collect():
+            assert len(r[out]) <= 4 and r.chunk == len(got.get(r[key], [])) // 4
+            got.setdefault(r[key], []).extend(r[out])
+        assert got == want
+
+
+def test_tag_index_lists_are_the_ones_of_the_vectors(spark, sample_problems):
+    dense = {r.problem_id: [i for i, v in enumerate(r.tag_vector) if v] for r in features.tag_vectors(sample_problems).collect()}
+    sparse = features.tag_index_lists(sample_problems).collect()
+    assert {r.problem_id: r.indices for r in sparse} == dense and {r["size"] for r in sparse} == {4}
+
+
+def test_rounding_at_any_size(spark):
+    from edgecraft.functions.exprs import stable_round
+    x = [0.1234565, -0.1234564, 1e9 + 0.25, -3.5e12, 9e18, 0.0]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").select(stable_round("x")).collect()]
+    assert all(abs(a - b) <= max(6e-7, abs(b) * 1e-15) for a, b in zip(got, x))
