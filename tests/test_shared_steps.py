@@ -28,3 +28,39 @@ def test_tables_in_the_checkpoint_folder_are_pruned(spark):
     t = store.table(spark.range(5).selectExpr("id", "array(cast(id as string)) as tags"))
     assert "FileScan parquet" in t.select("id")._jdf.queryExecution().toString()
     assert [r.id for r in t.select("id").orderBy("id").collect()] == [0, 1, 2, 3, 4]
+
+
+def _lists(spark):
+    """Problems 0..39 in lists that several of them share; with an entry without a slug."""
+    import json
+    entries = {f"l{i}": [{"titleSlug": f"p{(i * 7 + j) % 44}", "title": f"T{(i * 7 + j) % 44}"} for j in range(5)] for i in range(6)}
+    entries["l2"].append({"title": "no slug"})
+    lists = spark.createDataFrame([(k, json.dumps(v)) for k, v in entries.items()], "list_id string, similarQuestions string")
+    q = spark.createDataFrame([(str(i), f"T{i}", f"p{i}", None if i % 9 == 8 else f"l{i % 7}") for i in range(40)],
+                              "frontendQuestionId string, title string, titleSlug string, list_id string")
+    return q, lists, q.join(lists, "list_id", "left").withColumn("similarQuestions", F.coalesce("similarQuestions", F.lit("[]")))
+
+
+def test_shared_lists_give_the_edges_of_listed_pairs(spark):
+    q, lists, flat = _lists(spark)
+    for got, want in zip(graph.similar_problem_graph(q, lists), graph.similar_problem_graph(flat)):
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_boost_and_penalty_without_listing_neighbours(spark):
+    q, lists, flat = _lists(spark)
+    cand = spark.range(400).selectExpr("concat('u', id % 10) as user_id", "concat('p', (id * 13) div 10 % 44) as problem_id").distinct()
+    hard = cand.where(F.xxhash64("user_id", "problem_id") % 4 == 0)
+    whole = graph.slug_edges(*graph.similar_problem_graph(flat))
+    one_way = graph.similar_slug_relation(flat, symmetric_=False)
+    for rel, undirected in ((whole, True), (one_way, False)):
+        by_list = graph.similar_slug_lists(q, lists, undirected)
+        want = graph.graph_boost(cand, hard, rel, symmetric_rel=undirected)
+        got = graph.graph_boost(cand, hard, by_list, symmetric_rel=undirected)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        assert got.select("boost").distinct().count() == (2 if undirected else 3)
+    sel = cand.withColumn("tier", F.lit("t")).withColumn("pos", F.xxhash64("problem_id") % 50)
+    want = graph.clique_penalty(sel, whole)
+    got = graph.clique_penalty(sel, graph.similar_slug_lists(q, lists, True))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert got.select("clique_penalty").distinct().count() == 2
