@@ -64,3 +64,20 @@ def test_boost_and_penalty_without_listing_neighbours(spark):
     got = graph.clique_penalty(sel, graph.similar_slug_lists(q, lists, True))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert got.select("clique_penalty").distinct().count() == 2
+
+
+def test_peer_rates_equal_a_band_join(spark):
+    from edgecraft.operators import peers
+    rows = spark.range(900).selectExpr(
+        "concat('u', id % 150) as user_id", "id % 3 = 0 as solved",
+        "array(concat('t', id % 7), concat('t', (id * 5) % 11), cast(null as string)) as tags",
+        "cast(case when id % 150 < 140 then ((id % 150) * 37 % 100) * 30 + 0.003 * (id % 150) else null end as double) as user_rating")
+    ut = peers.user_tag_counts(rows).where("tag is not null").join(peers.user_ratings(rows), "user_id").where("r is not null")
+    a, b = ut.alias("a"), ut.alias("b")
+    near = (F.col("a.tag") == F.col("b.tag")) & (F.abs(F.col("a.r") - F.col("b.r")) <= 100000)
+    want = a.join(b, near).groupBy("a.user_id", "a.tag").agg(F.sum("b.s").alias("s"), F.sum("b.c").alias("c"))
+    want = {(r.user_id, r.tag): r.s / r.c for r in want.collect()}
+    out = peers.user_tag_peers(rows)
+    text = out._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.user_id, r.tag): r.peer_rate for r in out.collect()} == want
+    assert "FlatMapGroupsInArrow" in text and "Window" not in text       # users as rows of arrays, no row for each tag
