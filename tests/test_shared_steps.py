@@ -81,3 +81,22 @@ def test_peer_rates_equal_a_band_join(spark):
     text = out._jdf.queryExecution().optimizedPlan().toString()
     assert {(r.user_id, r.tag): r.peer_rate for r in out.collect()} == want
     assert "FlatMapGroupsInArrow" in text and "Window" not in text       # users as rows of arrays, no row for each tag
+
+
+def test_contest_peer_rates_equal_a_band_join(spark):
+    from edgecraft.operators import peers
+    rows = spark.range(600).selectExpr(
+        "concat('u', id % 60) as user_id", "concat('c', id % 4) as contest_id", "id % 3 = 0 as solved",
+        "case when id % 17 = 0 then null else array(concat('t', id % 7), concat('t', (id * 5) % 11), cast(null as string)) end as tags",
+        "cast(case when id % 60 < 55 then ((id * 37) % 100) / 50.0 - 0.4 else null end as double) as rank_percentile")
+    r = rows.select("user_id", "contest_id", "solved", "tags", peers.to_micro(F.col("rank_percentile")).alias("r"))
+    agg = r.select("contest_id", "r", "solved", F.explode("tags").alias("tag")).where("tag is not null") \
+        .groupBy("contest_id", "tag", "r").agg(F.sum(F.col("solved").cast("long")).alias("S"), F.count(F.lit(1)).alias("C")).alias("a")
+    users = r.groupBy("contest_id", "user_id", "r").agg(F.count(F.lit(1)).alias("n")).alias("u")
+    near = (F.col("a.contest_id") == F.col("u.contest_id")) & (F.abs(F.col("a.r") - F.col("u.r")) <= 100000)
+    per = users.join(agg, near).groupBy("u.contest_id", "u.user_id", "u.r", "n", "tag").agg(F.sum("S").alias("S"), F.sum("C").alias("C"))
+    want = {(x.user_id, x.tag): round(x.score, 9) for x in per.groupBy("user_id", "tag").agg(
+        (F.sum(F.col("n") * F.col("S") / F.col("C")) / F.sum("n")).alias("score")).collect()}
+    out = peers.contest_peer_tag_performance(rows)
+    assert "FlatMapGroupsInArrow" in plan(out)
+    assert {(x.user_id, x.tag): round(x.score, 9) for x in out.collect()} == want
