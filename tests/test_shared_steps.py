@@ -1,9 +1,12 @@
 """Steps that many queries share: ingest, build, similar lists, peer bands."""
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from edgecraft.operators import clean, graph
 from edgecraft.plans import build, store
+from edgecraft.sources import fixtures
 
 
 def plan(df) -> str:
@@ -100,3 +103,27 @@ def test_contest_peer_rates_equal_a_band_join(spark):
     out = peers.contest_peer_tag_performance(rows)
     assert "FlatMapGroupsInArrow" in plan(out)
     assert {(x.user_id, x.tag): round(x.score, 9) for x in out.collect()} == want
+
+
+def test_ranks_and_homes_meet_orders_not_lines(spark, tmp_path):
+    def put(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    day = lambda d: datetime.datetime(1995, 2, d)
+    put("orders", [(1, 7, 10.0, day(3)), (2, 7, 30.0, day(9)), (3, 8, 20.0, day(5)), (4, None, 5.0, day(5))],
+        "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate timestamp_ntz")
+    put("lineitem", [(o, p, n, 3.0, 1.0, 0.03, "N") for o in (1, 2, 3, 4) for n, p in enumerate((5, 6, 6), 1)],
+        "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_returnflag string")
+    put("customer", [(7, 1), (7, 2), (8, 9)], "c_custkey long, c_nationkey int")
+    put("nation", [(1, "A", 0), (2, "B", 0)], "n_nationkey int, n_name string, n_regionkey int")
+    put("region", [(0, "R")], "r_regionkey int, r_name string")
+    lines = fixtures.submission_rows(spark, str(tmp_path))
+    text = plan(lines)
+    assert text.index("Aggregate") < text.index("Join")
+    assert sorted((r.user_slug or "", r.frontend_id, r["rank"]) for r in lines.collect()) == sorted(
+        [("u7", p, 1) for p in "5566"] + [("u8", p, 2) for p in "56"] + [("", p, None) for p in "56"])
+    recs = fixtures.contest_records(spark, str(tmp_path))
+    text = plan(recs)
+    assert "o_orderkey" in text[text.index("Join"):].splitlines()[0]
+    assert sorted((r["_page"], r["rank"], r.country_name, r.data_region, len(r.submissions)) for r in recs.where("_page < 3").collect()) == [
+        (1, 1, "A", "R", 2), (1, 1, "B", "R", 2), (2, 1, "A", "R", 2), (2, 1, "B", "R", 2)]
+    assert [(r["_page"], r["rank"], r.country_name) for r in recs.where("_page > 2").orderBy("_page").collect()] == [(3, 2, None), (4, None, None)]
