@@ -127,3 +127,18 @@ def test_ranks_and_homes_meet_orders_not_lines(spark, tmp_path):
     assert sorted((r["_page"], r["rank"], r.country_name, r.data_region, len(r.submissions)) for r in recs.where("_page < 3").collect()) == [
         (1, 1, "A", "R", 2), (1, 1, "B", "R", 2), (2, 1, "A", "R", 2), (2, 1, "B", "R", 2)]
     assert [(r["_page"], r["rank"], r.country_name) for r in recs.where("_page > 2").orderBy("_page").collect()] == [(3, 2, None), (4, None, None)]
+
+
+def test_records_of_the_scaled_score_are_parsed_once(spark, sf):
+    from edgecraft.plans import queries_misc
+    assert "from_json" not in plan(queries_misc.q_contest_score_scaled(spark, sf))
+
+
+def test_the_feed_of_the_ingest_is_compressed(spark, sf, tmp_path, monkeypatch):
+    from edgecraft.plans import queries_misc
+    monkeypatch.setattr(queries_misc, "_scratch", lambda s: str(tmp_path))
+    got = queries_misc.q_incremental_ingest(spark, sf)
+    want = queries_misc._records(spark, sf).where("user_slug is not null").select(*got.columns).distinct()
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    files = [f.name for f in (tmp_path / "src").glob("part-*")]
+    assert files and all(f.endswith(".txt.gz") for f in files)
