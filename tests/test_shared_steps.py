@@ -142,3 +142,21 @@ def test_the_feed_of_the_ingest_is_compressed(spark, sf, tmp_path, monkeypatch):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
     files = [f.name for f in (tmp_path / "src").glob("part-*")]
     assert files and all(f.endswith(".txt.gz") for f in files)
+
+
+def test_novelty_scores_the_listed_pairs_only(spark, sf, monkeypatch):
+    from edgecraft.operators import extras, features, scoring
+    from edgecraft.plans import queries_misc
+    whole, seen = scoring.content_raw_scores, []
+
+    def spy(pairs, *rest):
+        seen.append(pairs)
+        return whole(pairs, *rest)
+    monkeypatch.setattr(scoring, "content_raw_scores", spy)
+    got = queries_misc.q_coverage_novelty(spark, sf).collect()
+    assert seen[0].groupBy("user_id").count().agg(F.max("count")).first()[0] <= 10
+    i, problems = build.interactions(spark, sf), build.problems(spark, sf)
+    pt = features.problem_tags(problems)
+    every = whole(i.select("user_id", "problem_id").distinct(), scoring.content_profiles(i, pt, problems), pt)
+    want = extras.coverage_novelty(seen[0], problems, every).collect()
+    assert [tuple(round(x, 9) for x in r) for r in got] == [tuple(round(x, 9) for x in r) for r in want]
