@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Text bytes whose n-grams are made at once: about 150 bytes of memory each.
+SLICE = 1 << 18
+
 
 def folded_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all texts end to end (A-Z and the Latin-1 capitals in

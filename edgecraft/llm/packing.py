@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import bisect
 import uuid
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -40,9 +41,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgecraft.llm import common, token_cache
+from edgecraft.llm import bpe_lexicon, common, token_cache
 from edgecraft.llm.components import components
-from edgecraft.llm.pretokens import mix
+from edgecraft.llm.pretokens import distinct_spans, mix
 from edgecraft.llm.shingle_join import Rule, digests, near_duplicates, shingle_sets
 from edgecraft.session import checkpoint_dir
 
@@ -51,7 +52,11 @@ CAPACITY, PER_SOURCE = 2048, 4
 NEAR = Rule(words=5, percent=80)
 #: Minimal hash values of a shingle set: sets of likeness s share a band with
 #: probability 1 - (1 - s ** ROWS) ** BANDS (0.8: 0.97, 0.9: 1.00, 0.5: 0.08).
-BANDS, ROWS, TILE = 20, 8, 1 << 13
+BANDS, ROWS, TILE, STRIP = 20, 8, 1 << 11, 16
+#: Slots of the table of known word sizes of a Python process (12 bytes each).
+KNOWN = 1 << 20
+#: Text bytes whose sizes are counted, and whose sketches are made, at once.
+SLICE = 1 << 19
 _ODD = (mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
@@ -167,15 +172,50 @@ def near_clusters(items: DataFrame, docs: DataFrame) -> DataFrame:
         .select(*columns, F.coalesce("root", "cluster").alias("cluster")))
 
 
+class TokenSizes:
+    """Token counts of texts, equal to the tokenizer's: pre-tokens are looked up by
+    their hash in a table of fixed size, the others merged exactly, all at once."""
+
+    def __init__(self, path: str):
+        self.splitter, self.merges = bpe_lexicon.splitter_of(path), bpe_lexicon.merges_of(path)
+        self.key = np.arange(KNOWN, dtype=np.uint64) ^ np.uint64(1)      # belongs to no slot: nothing is known yet
+        self.size = np.zeros(KNOWN, np.int32)
+
+    def count(self, texts: list[str]) -> np.ndarray:
+        whole, starts, ends, hashes, owner, special = self.splitter.spans(texts)
+        slot = (hashes & np.uint64(KNOWN - 1)).astype(np.int64)
+        size = self.size[slot]
+        new = np.flatnonzero(self.key[slot] != hashes)
+        if len(new):
+            code, words = distinct_spans(whole, starts[new], ends[new], hashes[new])
+            size[new] = self.merges.merge([w.encode("utf-8", "surrogatepass") for w in words])[1][code]
+            self.key[slot[new]], self.size[slot[new]] = hashes[new], size[new]
+        return (np.bincount(owner, weights=size, minlength=len(texts)).astype(np.int64)
+                + np.bincount(special[0], minlength=len(texts)))
+
+
+@lru_cache(maxsize=2)
+def sizes_of(path: str) -> TokenSizes:
+    return TokenSizes(path)
+
+
 def _row_minima(h: np.ndarray) -> np.ndarray:
-    """Band keys of a shingle set: of ``BANDS`` x ``ROWS`` minimal hash values, each
-    band's mixed into one 64-bit key."""
+    """The ``BANDS`` x ``ROWS`` minimal hash values of a shingle set."""
     low = np.full(BANDS * ROWS, 2 ** 32 - 1, np.uint32)
     x = (h >> np.uint64(32)).astype(np.uint32)
+    held = np.empty((STRIP, min(len(x), TILE)), np.uint32)
     for t in range(0, len(x), TILE):
-        np.minimum(low, (x[None, t:t + TILE] * _ODD[:, None]).min(axis=1), out=low)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for column in low.reshape(BANDS, ROWS).T.astype(np.uint64):
+        tile = x[None, t:t + TILE]
+        for i in range(0, BANDS * ROWS, STRIP):
+            product = np.multiply(tile, _ODD[i:i + STRIP, None], out=held[:, :tile.shape[1]])
+            np.minimum(low[i:i + STRIP], product.min(axis=1), out=low[i:i + STRIP])
+    return low
+
+
+def _band_keys(low: np.ndarray) -> np.ndarray:
+    """Band keys of rows of minimal hash values: each band's mixed into one 64-bit key."""
+    key = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(low), 1))
+    for column in np.moveaxis(low.reshape(-1, BANDS, ROWS), 2, 0).astype(np.uint64):
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + column)
     return key.view(np.int64)
 
@@ -189,14 +229,17 @@ def sketched_items(docs: DataFrame) -> DataFrame:
     src = docs.select("doc_id", "source", "text")
 
     def run(batches):
-        counter = token_cache.counter(path)
-        for rb in common.sliced(batches):
+        sizes = sizes_of(path)
+        for rb in common.sliced(batches, target=SLICE):
             texts = common.texts_of(rb)
             sets = shingle_sets(texts, NEAR.words)
+            some = [h for h in sets if len(h)]
+            bands = _band_keys(np.array([_row_minima(h) for h in some], np.uint32).reshape(-1, BANDS * ROWS))
+            each = iter(bands)
             yield pa.RecordBatch.from_arrays(
-                [rb.column(0), rb.column(1), pa.array(counter.count(texts)),
+                [rb.column(0), rb.column(1), pa.array(sizes.count(texts)),
                  pa.array([digests(h)[0] for h in sets], pa.int64()),
-                 pa.array([_row_minima(h) if len(h) else None for h in sets], pa.list_(pa.int64()))],
+                 pa.array([next(each) if len(h) else None for h in sets], pa.list_(pa.int64()))],
                 names=["doc_id", "source", "size", "d1", "bands"])
 
     kind = src.schema["doc_id"].dataType.simpleString()

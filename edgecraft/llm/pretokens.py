@@ -121,6 +121,14 @@ def span_hashes(units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
+def distinct_spans(whole: str, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, list[str]]:
+    """Index of each span among the distinct ones, and these."""
+    code, _ = pd.factorize(hashes)
+    seen = np.zeros(code.max() + 1 if len(code) else 0, np.int64)
+    seen[code[::-1]] = np.arange(len(code))[::-1]             # first place of each
+    return code, [whole[s:e] for s, e in zip(starts[seen].tolist(), ends[seen].tolist())]
+
+
 class Splitter:
     """Pre-tokens of a batch of texts, with added tokens cut out first."""
 
@@ -152,9 +160,10 @@ class Splitter:
         return (pieces, np.arange(n) if owner is None else np.asarray(owner, np.int64),
                 np.full(n, -1) if after is None else np.asarray(after, np.int64))
 
-    def words(self, texts: list[str]):
-        """(distinct pre-tokens, index of each pre-token in them, text index of
-        each, added ids by text: (text index, position among pre-tokens, id))"""
+    def spans(self, texts: list[str]):
+        """(all texts end to end, start and end of each pre-token, hash of each,
+        text index of each, added ids by text: (text index, position among
+        pre-tokens, id))"""
         pieces, owner, after = self.pieces(texts)
         whole = "".join(pieces)
         codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -162,11 +171,14 @@ class Splitter:
         np.cumsum([len(p) for p in pieces], out=off[1:])
         starts = token_starts(codes, off, self.classes.of(codes))
         ends = np.append(starts[1:], len(codes)) if len(starts) else starts
-        code, _ = pd.factorize(span_hashes(codes, starts, ends))
-        seen = np.zeros(code.max() + 1 if len(code) else 0, np.int64)
-        seen[code[::-1]] = np.arange(len(code))[::-1]         # first place of each
-        distinct = [whole[s:e] for s, e in zip(starts[seen].tolist(), ends[seen].tolist())]
         piece_of = np.searchsorted(off, starts, side="right") - 1
         special = np.flatnonzero(after >= 0)
         place = np.searchsorted(starts, off[special + 1], side="left")
-        return distinct, code, owner[piece_of], (owner[special], place, after[special])
+        return whole, starts, ends, span_hashes(codes, starts, ends), owner[piece_of], (owner[special], place, after[special])
+
+    def words(self, texts: list[str]):
+        """(distinct pre-tokens, index of each pre-token in them, text index of
+        each, added ids by text: (text index, position among pre-tokens, id))"""
+        whole, starts, ends, hashes, owner, special = self.spans(texts)
+        code, distinct = distinct_spans(whole, starts, ends, hashes)
+        return distinct, code, owner, special
