@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgecraft.llm import common
-from edgecraft.llm.chargrams import gram_counts
+from edgecraft.llm.chargrams import SLICE, gram_counts
 
 MAX_MATRIX_MB = 512
 
@@ -56,7 +56,7 @@ def fit(train: DataFrame, orders: tuple[int, ...] = (1, 2, 3), bits: int = 16, a
                         "vec": [common.squeeze(np.append(v[p * step:(p + 1) * step], n if p == 0 else 0))]})
             sums.clear()
 
-        for rb in common.sliced(batches):
+        for rb in common.sliced(batches, target=SLICE):
             texts, langs = common.texts_of(rb), rb.column(1).to_pylist()
             doc, bucket, cnt = gram_counts(texts, orders, bits)
             names, code = np.unique(np.array(langs, dtype=object), return_inverse=True)
@@ -109,7 +109,7 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame
     src = docs.select(*cols)
 
     def run(batches):
-        for rb in common.sliced(batches):
+        for rb in common.sliced(batches, target=SLICE):
             lang, score = score_texts(shared.value, common.texts_of(rb))
             out = rb.select(keep)
             yield pa.RecordBatch.from_arrays(

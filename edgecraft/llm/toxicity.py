@@ -33,11 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgecraft.llm import common
-from edgecraft.llm.chargrams import gram_counts
+from edgecraft.llm.chargrams import SLICE, gram_counts
 
 ORDERS, BITS = (4, 5, 6), 19
 FIT_ROWS, FIT_FEATURES = 8000, 24_000_000
 SMOOTH, POWER = 10.0, 2.0
+PIECE = 1 << 18              # features of the fit that are worked on at once
 
 
 @dataclass
@@ -56,7 +57,7 @@ def class_ratio(train: DataFrame, orders=ORDERS, bits=BITS, parts: int = 64) ->
 
     def count(batches):
         task, sums, rows = common.task_id(), np.zeros((2, size), np.int64), np.zeros(2, np.int64)
-        for rb in common.sliced(batches):
+        for rb in common.sliced(batches, target=SLICE):
             y = rb.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             doc, bucket, _ = gram_counts(common.texts_of(rb), orders, bits)
             toxic = y[doc] == 1
@@ -86,6 +87,18 @@ def class_ratio(train: DataFrame, orders=ORDERS, bits=BITS, parts: int = 64) ->
     return np.sign(r) * np.abs(r) ** POWER, rows
 
 
+def _runs(sizes, most: int):
+    """(first, number) of runs of rows of at most ``most`` in all, or of one row."""
+    first, total, i = 0, 0, -1
+    for i, k in enumerate(sizes):
+        if i > first and total + k > most:
+            yield first, i - first
+            first, total = i, 0
+        total += k
+    if i >= 0:
+        yield first, i + 1 - first
+
+
 def fit_linear(texts_labels, ratio: np.ndarray, orders=ORDERS, bits=BITS, max_features=FIT_FEATURES,
                epochs: int = 16, block: int = 512, rate: float = 2.0, decay: float = 5e-6,
                toxic_weight: float = 3.0):
@@ -95,15 +108,19 @@ def fit_linear(texts_labels, ratio: np.ndarray, orders=ORDERS, bits=BITS, max_fe
     offs, ys, used = [0], [], 0
     b = np.empty(max_features, np.int32)             # touched as far as it is filled
     for texts, labels in texts_labels:
-        doc, bucket, _ = gram_counts(texts, orders, bits)
-        if used + len(bucket) > max_features:
+        found = []
+        for i, k in _runs(map(len, texts), SLICE):
+            doc, bucket, _ = gram_counts(texts[i:i + k], orders, bits)
+            found.append((np.bincount(doc, minlength=k), bucket.astype(np.int32)))
+        made = sum(len(bucket) for _, bucket in found)
+        if used + made > max_features:
             if used:
                 break
-            b = np.empty(len(bucket), np.int32)
-        b[used:used + len(bucket)] = bucket
-        used += len(bucket)
-        ends = np.cumsum(np.bincount(doc, minlength=len(texts))) + offs[-1]
-        offs.extend(ends.tolist())
+            b = np.empty(made, np.int32)
+        for count, bucket in found:
+            b[used:used + len(bucket)] = bucket
+            used += len(bucket)
+            offs.extend((np.cumsum(count) + offs[-1]).tolist())
         ys.extend(labels)
     y = np.asarray(ys, float)
     n, size = len(y), 1 << bits
@@ -114,17 +131,27 @@ def fit_linear(texts_labels, ratio: np.ndarray, orders=ORDERS, bits=BITS, max_fe
     w, step, bias, bias_step = np.zeros(size), np.zeros(size), float(np.log(share / (1 - share))), 0.0
     starts = np.arange(0, n, block)
     order = np.random.default_rng(7)
+
+    def pieces(s, e):
+        """Rows s to e, ``PIECE`` features or a row at a time."""
+        for i, k in _runs(np.diff(off[s:e + 1]), PIECE):
+            i += s
+            yield i, i + k, b[off[i]:off[i + k]], np.repeat(np.arange(k), np.diff(off[i:i + k + 1]))
+
+    norm = np.empty(n)
+    for i, j, idx, doc in pieces(0, n):
+        norm[i:j] = np.sqrt(np.bincount(doc, weights=ratio[idx] ** 2, minlength=j - i) + 1e-9)
     for _ in range(max(epochs, 640 * block // n // 8)):
         for s in order.permutation(starts):
             e = min(s + block, n)
-            idx = b[off[s]:off[e]]
-            doc = np.repeat(np.arange(e - s), np.diff(off[s:e + 1]))
-            x = ratio[idx]
-            x = x / np.sqrt(np.bincount(doc, weights=x * x, minlength=e - s) + 1e-9)[doc]
-            z = np.bincount(doc, weights=x * w[idx], minlength=e - s) + bias
+            z = np.concatenate([np.bincount(doc, weights=ratio[idx] / norm[i:j][doc] * w[idx], minlength=j - i)
+                                for i, j, idx, doc in pieces(s, e)]) + bias
             err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[s:e]) / ((e - s) * share)
             err *= np.where(y[s:e] == 1, toxic_weight, 1.0)
-            g = np.bincount(idx, weights=x * err[doc], minlength=size) + decay * w
+            g = np.zeros(size)
+            for i, j, idx, doc in pieces(s, e):
+                np.add.at(g, idx, ratio[idx] / norm[i:j][doc] * err[i - s:j - s][doc])
+            g += decay * w
             step = 0.9 * step - rate * g
             w += step
             bias_step = 0.9 * bias_step - 0.1 * rate * err.sum()
@@ -173,7 +200,7 @@ def score(docs: DataFrame, model: ToxicityModel, keep: list[str]) -> DataFrame:
     src = docs.select(*dict.fromkeys([*keep, "text"]))
 
     def run(batches):
-        for rb in common.sliced(batches):
+        for rb in common.sliced(batches, target=SLICE):
             s = score_texts(shared.value, common.texts_of(rb))
             yield pa.RecordBatch.from_arrays([*rb.select(keep).columns, pa.array(s, pa.float64())],
                                              names=[*keep, "score"])

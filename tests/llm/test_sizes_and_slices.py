@@ -80,3 +80,17 @@ def test_scores_of_a_task_take_little_memory_and_do_not_depend_on_slices():
     tracemalloc.stop()
     assert peak < 64 << 20                                    # 1 MB of text at once took more than 120 MB
     assert (got == scores(1 << 20)).all()
+
+
+def test_fit_takes_little_memory_beside_its_features():
+    texts = [t for t in some_texts(6000, 9) if t]
+    labels = [i % 7 == 0 for i in range(len(texts))]
+    ratio = np.random.default_rng(2).normal(size=1 << toxicity.BITS)
+    tracemalloc.start()
+    w, bias = toxicity.fit_linear([(texts, labels)], ratio, max_features=4_000_000, epochs=1, block=4096)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.isfinite(w).all() and np.isfinite(bias) and w.any()
+    assert peak < 80 << 20                                    # features 16 MB; 188 MB before
+    assert list(toxicity._runs([3, 3, 3, 9, 0, 1], 6)) == [(0, 2), (2, 1), (3, 1), (4, 2)]
+    assert list(toxicity._runs([], 6)) == []
