@@ -185,3 +185,17 @@ def test_similar_items_exact(spark, sf):
     want = [ids[j] for j in np.argsort(-S[0], kind="stable")[:3]]
     have = [r["similar_vec_id"] for r in got.where(F.col("vec_id") == first).orderBy("rank").collect()]
     assert have == want
+
+
+def test_calibrate_or_spread_sorts_a_batch_once(spark):
+    rows = [(f"u{i % 5}", f"p{i:03d}", (i * 37 % 100) / 100, (i * 13 % 90) / 100) for i in range(60)]
+    df = spark.createDataFrame(rows, "user_id string, problem_id string, s double, c double")
+    one = scoring.calibrate_or_spread(df, "s", "p1", ["user_id"], "problem_id")
+    two = scoring.calibrate_or_spread(one.withColumn("r2", F.col("s") * 2 - 1), "r2", "p2", ["user_id"], "problem_id", "c")
+    plan = two._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [") > 3 and plan.count("Sort [") == 1
+    got = {(r.user_id, r.problem_id): r for r in two.collect()}
+    for u, p, s, c in rows:
+        mine = [x[2] for x in rows if x[0] == u]
+        assert abs(got[u, p].p1 - (0.25 + 0.6 * (s - min(mine)) / (max(mine) - min(mine)))) < 1e-9
+        assert abs(got[u, p].p2 - c) < 1e-12 and not got[u, p].p2_spread and got[u, p].p1_spread
