@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
@@ -29,6 +30,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def table(df: DataFrame) -> DataFrame:
+    """The same as a Parquet table in that folder, whose size is that of its files.
+    A checkpoint keeps the size estimate of its plan, and joins multiply those: in
+    a loop of joins they grow to numbers that take longer to work out than the job."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 5 (null ids: null)."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5))

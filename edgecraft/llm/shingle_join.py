@@ -16,19 +16,19 @@ of the links.
    separates sets that share only some common passage.  Sets of more than
    ``COMBINE`` shingles index them alone instead, and sets that could link to
    such a set index both, so no link is lost at the border.
-3. Within an index key no pairs are listed.  Every set of the key is compared
-   with the key's leader (its smallest digest): star pairs, linear in the
-   index.  Then components are formed, and only keys that still hold several
-   components go on.  Sets linked to the leader are its cell; a set outside can
-   only link into the cell if it is within twice the link distance of the
-   leader (the Jaccard distance is a metric).  What is left, near sets against
-   the cell and outsiders among themselves, is paired where components differ
-   and where sizes, positions in the global order and a fixed bitmap, all
-   tested inside the join, allow a link.
-4. Pairs first meet the bitmaps: differing bits are at most the size of the
-   symmetric difference, so most pairs that cannot link end there, and the
-   same bound keeps outsiders away from a cell.  The rest are verified exactly
-   on the sets, grouped by leader in salted blocks of bounded size.
+3. Within an index key no pairs are listed.  Every set of a key meets the
+   key's leader (its smallest digest), by bitmaps, and the likeliest leader of
+   each set is verified: linear in the index.  Components are formed, and only
+   keys that still hold several go on.
+4. Keys of one leader form a group.  Its sets are compared by bitmaps in
+   blocks of bounded size, block against block, in numpy: differing bits are at
+   most the size of the symmetric difference.  Pairs of one component, and pairs
+   that sizes, positions in the global order or bitmaps rule out, leave no row.
+   In rounds each set gives its likeliest partners only, few at first, which are
+   verified exactly on the sets and merge components; a set with no more
+   candidates than it gave is finished, and pairs of a finished set need no
+   later round.  So rows grow with the sets, and with the pairs that the bitmaps
+   allow between different components, but not with the square of a group.
 
 Edge cases: null and empty texts, and texts without words, have no shingle and
 link with nothing; a text of fewer words than a shingle is one shingle; rows
@@ -43,7 +43,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgecraft.llm import common
@@ -54,8 +54,9 @@ CLASS_BITS = 21
 COMBINE = 256
 FREQUENT = 4.0               # times the mean count of a class
 BLOCK_SHINGLES = 1_000_000   # verified at once
-SUBGROUPS = 256              # parts of a group of one key and component
-SHORT = 28                   # bytes of the fixed bitmap, four longs of 7 bytes
+GROUP_BLOCK = 2048           # sets of a group in a block
+FOLDED = 128                 # bytes of a bitmap inside a group, at most
+PARTNERS = (1, 8, 64, 512)   # candidates of a set in each round; after that all
 _LOW = np.uint64((1 << (64 - CLASS_BITS)) - 1)
 _SHIFT = np.uint64(64 - CLASS_BITS)
 _SPACE = np.zeros(256, bool)
@@ -130,10 +131,10 @@ def parity_bitmap(h: np.ndarray) -> bytes:
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
-def short_bitmap(h: np.ndarray) -> bytes:
-    """The same over a fixed ``SHORT`` bytes, for tests inside a join."""
-    at = (mix(h ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(8 * SHORT)).astype(np.int64)
-    return np.packbits((np.bincount(at, minlength=8 * SHORT) & 1).astype(np.uint8)).tobytes()
+def fold(bits: bytes, size: int) -> bytes:
+    """A parity bitmap over at most ``size`` bytes (a power of two)."""
+    x = np.frombuffer(bits, np.uint8)
+    return np.bitwise_xor.reduce(x.reshape(-1, min(size, len(x))), axis=0).tobytes()
 
 
 def least_difference(a: bytes, b: bytes) -> int:
@@ -169,7 +170,7 @@ def hash_sets(docs: DataFrame, rule: Rule, parts: int = 16) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(k, -1, np.int32)), rb.column(0), pa.array([len(h) for h in sets], pa.int64()),
                  pa.array(d[:, 0]), pa.array(d[:, 1]), pa.nulls(k, pa.int32()),
-                 pa.array([short_bitmap(h) + parity_bitmap(h) for h in sets], pa.binary())], schema=schema)
+                 pa.array([parity_bitmap(h) for h in sets], pa.binary())], schema=schema)
         if counts.any():
             for p, vec in enumerate(np.split(counts, parts)):
                 yield pa.RecordBatch.from_pylist([{"part": p, "task": task, "vec": common.squeeze(vec)}], schema=schema)
@@ -263,7 +264,7 @@ def might_link(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     """(``a``, ``b``, ``nb``, ``least``): distinct pairs of digests with the least
     distance their bitmaps and sizes allow.  Only bitmaps are shuffled."""
     side = lambda k: classes.select(F.col("d1").alias(k), F.col("n").alias("n" + k),
-                                    F.expr(f"substring(bits, {SHORT + 1})").alias("x" + k))
+                                    F.col("bits").alias("x" + k))
     met = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "xa", "xb")
 
     def run(batches):
@@ -312,33 +313,82 @@ def verify(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
         run, "a long, b long, ra long, rb long, inter long, uni long")
 
 
-def renamed(df: DataFrame, *but: str) -> DataFrame:
-    """The other side of a self-join: columns with a 2, except ``but``."""
-    return df.select(*[F.col(c).alias(c if c in but else c + "2") for c in df.columns])
-
-
-def reachable(lo: str, hi: str, lo2: str, hi2: str, rule: Rule):
-    """Sizes between ``lo`` and ``hi`` and at most ``rest`` shared shingles on
-    either side allow a link."""
-    least = F.least("rest", "rest2")
-    return ((F.col(hi) * 100 >= F.col(lo2) * rule.percent) & (F.col(hi2) * 100 >= F.col(lo) * rule.percent)
-            & (least * 100 >= (F.col(lo) + F.col(lo2) - least) * rule.percent))
-
-
-def bits_allow(n: str, n2: str, words: list[str], rule: Rule):
-    """The fixed bitmaps differ in no more bits than a link allows."""
-    differ = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(w + "2"))) for w in words), F.lit(0))
-    return differ * (100 + rule.percent) <= (F.col(n) + F.col(n2)) * (100 - rule.percent)
-
-
-def groups_allow(words: list[str], rule: Rule):
-    """The same for any two members of two groups, from the bits that are equal in
-    all members of each (``w``: AND of a group's words, ``o``: OR)."""
-    def differ(w):
-        open_ = F.col(w).bitwiseXOR(F.col("o" + w)).bitwiseOR(F.col(w + "2").bitwiseXOR(F.col("o" + w + "2")))
-        return F.bit_count(F.col(w).bitwiseXOR(F.col(w + "2")).bitwiseAND(F.bitwise_not(open_)))
+def near_pairs(x: dict, y: dict, rule: Rule, most: int, width: float) -> list[tuple]:
+    """For each set of ``x`` its ``most`` likeliest partners in ``y`` of another
+    label that sizes, positions and bitmaps allow: (``x``, ``y``, ``nb``, ``least``)."""
+    out = []
+    for i in sorted(x["words"]):
+        for j in sorted(y["words"]):
+            (at, left), (to, right), w = x["words"][i], y["words"][j], min(i, j)
+            a, b = x["n"][at], y["n"][to]
+            if a.max() * 100 < b.min() * rule.percent or b.max() * 100 < a.min() * rule.percent:
+                continue
+            left, right = (np.bitwise_xor.reduce(m.reshape(len(m), -1, w), axis=1) for m in (left, right))
+            step = max(1, (1 << 21) // max(1, right.size))
+            for k in range(0, len(at), step):
+                rows = at[k:k + step]
+                n, m = x["n"][rows][:, None], y["n"][to][None, :]
+                diff = np.zeros((len(rows), len(to)), np.int64)
+                for c in range(w):
+                    diff += np.bitwise_count(left[k:k + step, c][:, None] ^ right[:, c][None, :])
+                inter = (n + m - np.maximum(diff, np.abs(n - m))) // 2
+                inter = np.minimum(inter, np.minimum(x["rest"][rows][:, None], y["rest"][to][None, :]))
+                least = 1 - inter / np.maximum(n + m - inter, 1)
+                ok = (least <= width) & (x["label"][rows][:, None] != y["label"][to][None, :])
+                r, c = np.nonzero(ok)
+                out.append((rows[r], to[c], least[r, c]))
+    if not out:
+        return []
+    r, c, least = (np.concatenate(v) for v in zip(*out))
+    order = np.lexsort((y["d1"][c], least, r))
+    r, c, least = r[order], c[order], least[order]
+    rank = np.arange(len(r)) - np.searchsorted(r, r)
+    keep = rank < most
+    return [(x["d1"][r[keep]], y["d1"][c[keep]], y["n"][c[keep]], x["label"][r[keep]], y["label"][c[keep]], least[keep])]
+
+
+def candidates(left: DataFrame, rule: Rule, most: int) -> DataFrame:
+    """(``x``, ``y``, ``ny``, ``lx``, ``ly``, ``least``): the ``most`` likeliest
+    partners of each set, and one more where it has more, in each block of each
+    group of ``left`` (``lead``, ``d1``, ``label``, ``n``, ``rest``, ``bits``)."""
+    width = 1 - rule.percent / 100 + 1e-9
+    size = left.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / GROUP_BLOCK).cast("int").alias("blocks"),
+                                    F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    bins = left.count() // GROUP_BLOCK + 1
+    # small groups share a bin, a large one is dealt as pairs of blocks
+    dealt = (left.join(size.select("lead", "blocks"), "lead")
+             .withColumn("own", F.pmod(F.xxhash64("d1"), F.col("blocks")).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select("lead", "d1", "label", "n", "rest", "bits", "own", F.least("own", "other").alias("i"),
+                     F.greatest("own", "other").alias("j"),
+                     F.when(F.col("blocks") > 1, F.xxhash64("lead")).otherwise(F.pmod(F.xxhash64("lead"), F.lit(bins)))
+                     .alias("bin")))
+
+    def side(d: pd.DataFrame) -> dict:
+        words: dict = {}
+        length = d["bits"].map(len).to_numpy()
+        for size_ in np.unique(length):
+            at = np.flatnonzero(length == size_)
+            words[int(size_) // 8] = (at, np.frombuffer(b"".join(d["bits"].iloc[at]), np.uint64).reshape(len(at), -1))
+        return {"words": words, **{c: d[c].to_numpy(np.int64) for c in ("d1", "label", "n", "rest")}}
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+        for _, d in pdf.groupby("lead", sort=False):
+            if d["label"].nunique() < 2:
+                continue
+            if i == j:
+                s = side(d)
+                found += near_pairs(s, s, rule, most + 1, width)
+            else:
+                s, o = side(d[d["own"] == i]), side(d[d["own"] == j])
+                found += near_pairs(s, o, rule, most + 1, width) + near_pairs(o, s, rule, most + 1, width)
+        return pd.DataFrame({c: np.concatenate([f[k] for f in found]) if found else np.zeros(0, t)
+                             for k, (c, t) in enumerate(zip(("x", "y", "ny", "lx", "ly", "least"), ["i8"] * 5 + ["f8"]))})
 
-    return sum((differ(w) for w in words), F.lit(0)) * (100 + rule.percent) <= (F.col("hi") + F.col("hi2")) * (100 - rule.percent)
+    return dealt.groupBy("bin", "i", "j").applyInPandas(
+        run, "x long, y long, ny long, lx long, ly long, least double")
 
 
 def checked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
@@ -361,48 +411,59 @@ def find_links(docs: DataFrame, hashed: DataFrame, classes: DataFrame, rule: Rul
                                                                                    F.min("skip").alias("skip")))
     shared.unpersist()                               # still there for a task that must run again
     star = held.where("lead <> d1").select(F.col("lead").alias("a"), F.col("d1").alias("b")).distinct()
-    star = common.checkpoint(might_link(star, classes, rule))
-    first = common.checkpoint(checked(star.where(F.col("least") <= width), docs, classes, rule))
-    linked = first.where(link).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    star = might_link(star, classes, rule).where(F.col("least") <= width)
+    star = star.groupBy("b").agg(F.min(F.struct("least", "a", "nb")).alias("best"))      # the likeliest leader
+    first = checked(common.checkpoint(star.select("best.a", "b", "best.nb")), docs, classes, rule)
+    linked = common.table(first.where(link).select(F.col("ra").alias("a"), F.col("rb").alias("b")))
     label = components(linked)
+
+    def folded(batches):
+        for rb in batches:
+            yield pa.RecordBatch.from_arrays(
+                [rb.column(0), rb.column(1), rb.column(2),
+                 pa.array([fold(x, FOLDED) for x in rb.column(3).to_pylist()], pa.binary())],
+                names=["d1", "label", "n", "bits"])
+
     named = (classes.join(label, classes["rep"] == label["node"], "left")
-             .groupBy("d1").agg(F.min(F.coalesce("label", "rep")).alias("label")))
-    exact = first.groupBy("a", "b").agg(F.min(1 - F.col("inter") / F.col("uni")).alias("dist"))
-    # zone of a set in its key: 0 the leader's cell, 1 near it, 2 far from it
-    far = F.coalesce("dist", "least")
-    zones = star.join(exact, ["a", "b"], "left").select(
-        F.col("a").alias("lead"), F.col("b").alias("d1"),
-        F.when(F.col("dist") <= width, 0).when(far <= 2 * width, 1).otherwise(2).alias("zone"))
-    marked = held.join(named, "d1")
+             .groupBy("d1").agg(F.min(F.coalesce("label", "rep")).alias("label"), F.min("n").alias("n"),
+                                F.min("bits").alias("bits")))
+    marked = held.join(named.select("d1", "label", "n"), "d1")
     open_keys = (marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
                  .where("lo <> hi").select("key"))
-    words = [f"w{i}" for i in range(4)]
-    sized = classes.groupBy("d1").agg(F.min("n").alias("n"), F.min("bits").alias("bits")).select("d1", "n", *[
-        F.conv(F.hex(F.expr(f"substring(bits, {7 * i + 1}, 7)")), 16, 10).cast("long").alias(w)
-        for i, w in enumerate(words)])
-    left = common.checkpoint(
-        marked.join(open_keys, "key").join(sized, "d1").join(zones, ["lead", "d1"], "left").where("lead <> d1")
-        .select("key", "d1", "label", F.coalesce("zone", F.lit(2)).alias("zone"), "n",
-                (F.col("n") - F.col("skip")).alias("rest"), *words))
-    # groups of (key, zone, component), a large one in ``SUBGROUPS`` parts, meet first, their members only where
-    # components differ and sizes, what is left after the key (positions in the global order) and the bitmaps
-    # allow a link
-    left = left.withColumn("sub", F.pmod(F.xxhash64("d1"), F.lit(SUBGROUPS)).cast("int"))
-    by = ["key", "zone", "label", "sub"]
-    group = left.groupBy(*by).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("rest").alias("rest"),
-                                  *[F.bit_and(w).alias(w) for w in words], *[F.bit_or(w).alias("o" + w) for w in words])
-    met = group.join(renamed(group, "key"), "key").where(
-        "label < label2 and not (zone = 0 and zone2 = 0) and (zone + zone2 <> 2 or zone = 1)").where(
-        reachable("lo", "hi", "lo2", "hi2", rule) & groups_allow(words, rule)) \
-        .select("key", "zone", "label", "sub", "zone2", "label2", "sub2")
-    member = left.select(*by, F.col("d1").alias("a"), "n", "rest", *words)
-    other = renamed(left.select(*by, F.col("d1").alias("b"), "n", "rest", *words), "key", "b")
-    cross = (met.join(member, by).join(other, ["key", "zone2", "label2", "sub2"])
-             .where(reachable("n", "n", "n2", "n2", rule) & bits_allow("n", "n2", words, rule))
-             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    again = common.checkpoint(might_link(cross, classes, rule).where(F.col("least") <= width))
-    second = checked(again, docs, classes, rule).where(link).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    return linked.unionByName(second)
+    # sets of the keys of one leader; a pair of a key shares at most ``rest`` shingles
+    met = (marked.join(open_keys, "key").groupBy("lead", "d1").agg(F.max(F.col("n") - F.col("skip")).alias("rest")))
+    bits = named.select("d1", "label", "n", "bits").mapInArrow(folded, "d1 long, label long, n long, bits binary")
+    left = common.table(met.join(bits, "d1").select("lead", "d1", "label", "n", "rest", "bits"))
+    found = linked
+    for most in (*PARTNERS, 1 << 30):
+        # of each set the likeliest partners over all its groups
+        order = Window.partitionBy("x").orderBy("least", "y")
+        ranked = common.table(
+            candidates(left, rule, most).groupBy("x", "y").agg(F.first("ny").alias("ny"), F.first("lx").alias("lx"),
+                                                                F.first("ly").alias("ly"), F.min("least").alias("least"))
+            .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most + 1))
+        pairs = (ranked.where(F.col("rank") <= most)
+                 .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        maybe = common.table(might_link(pairs, classes, rule).where(F.col("least") <= width))
+        if not maybe.isEmpty():
+            new = common.table(checked(maybe, docs, classes, rule).where(link)
+                                    .select("a", "b", F.col("ra"), F.col("rb")))
+            found = found.unionByName(new.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+        else:
+            new = None
+        more = ranked.where(F.col("rank") > most).select(F.col("x").alias("d1"))
+        if more.isEmpty():
+            break
+        # both sets of a pair still to be compared have more candidates than they gave
+        left = left.join(more, "d1")
+        if new is not None:
+            ends = ranked.select(F.col("x").alias("a"), F.col("y").alias("b"), F.col("lx").alias("la"), F.col("ly").alias("lb"))
+            merged = components(new.join(ends.union(ends.select("b", "a", "lb", "la")).distinct(), ["a", "b"])
+                                .select(F.col("la").alias("a"), F.col("lb").alias("b")))
+            left = (left.join(merged, left["label"] == merged["node"], "left")
+                    .select("lead", "d1", F.coalesce(merged["label"], left["label"]).alias("label"), "n", "rest", "bits"))
+        left = common.table(left.select("lead", "d1", "label", "n", "rest", "bits"))
+    return found
 
 
 def near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:

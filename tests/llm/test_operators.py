@@ -243,6 +243,39 @@ def test_shingle_join(spark, docs, rows, none, words, percent):
     assert shingle_join.near_duplicates(none, rule).count() == 0
 
 
+def test_shingle_join_of_near_copies_compares_few_pairs(spark, monkeypatch):
+    """Copies of one text with more and fewer changes: the components of all links,
+    and verified pairs in proportion to the sets, not to their pairs."""
+    rnd = np.random.default_rng(8)
+    base, size = [f"w{i}" for i in range(200)], 400
+    made = []
+    for i in range(size):
+        words = list(base)
+        for at in rnd.choice(200, int(rnd.integers(1, 13)), replace=False):
+            words[at] = f"x{i}y{at}"
+        made.append((i, " ".join(words)))
+    pairs, verify = [], shingle_join.verify
+
+    def counted(p, *more):
+        pairs.append(p.count())
+        return verify(p, *more)
+
+    monkeypatch.setattr(shingle_join, "verify", counted)
+    monkeypatch.setattr(shingle_join, "GROUP_BLOCK", 64, raising=False)
+    got = shingle_join.near_duplicates(spark.createDataFrame(made, "doc_id long, text string"),
+                                       shingle_join.Rule(3, 90)).collect()
+    sets = [set(zip(w, w[1:], w[2:])) for w in (t.split() for _, t in made)]
+    label = list(range(size))
+    for i in range(size):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 90 * (len(sets[i]) + len(sets[j]) - both) and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(label))
+    assert 1 < len(set(label)) < size and sum(pairs) < 8 * size
+
+
 def test_shingle_sets_of_tiny_batches():
     for n in range(8):
         text = " ".join(f"w{i}" for i in range(n))
