@@ -136,6 +136,13 @@ def test_isotonic_by_ranges(spark, parts):
     assert abs(ends[0].p - want[0]) < 1e-9 and abs(ends[1].p - want[-1]) < 1e-9
 
 
+def test_calibrator_reads_every_row(spark):
+    # one solved row among 60,000 of one score: any sample of them gives another rate
+    rows = spark.range(60000).select(F.col("id").cast("string").alias("user_id"), F.lit("p").alias("problem_id"),
+                                     F.lit(0.5).alias("s"), (F.col("id") == 7).alias("solved"))
+    assert [r.prediction for r in models.fit_calibrator(rows, "s", "solved").table.collect()] == [1 / 60000]
+
+
 def test_isotonic_falling_labels_are_one_block(spark):
     df = spark.createDataFrame([(i / 10, float(i < 5)) for i in range(10)], "x double, y double")
     m = isotonic.fit(df, "x", "y", 4)
