@@ -209,3 +209,37 @@ def test_tag_classes_expand_to_all_pairs(spark):
         assert {tuple(r) for r in graph.shared_tag_graph(pt, least, block_size=2).collect()} == want
     cosine = {(r.p1, r.p2): r.similarity for r in graph.tag_cosine(pt).collect()}
     assert cosine["a", "b"] == 1.0 and abs(cosine["c", "d"] - 1 / math.sqrt(3)) < 1e-12
+
+
+def test_factor_cells_are_a_left_join(spark, monkeypatch):
+    """Pairs and factors with repeated and null keys, null and odd factors, in many cells."""
+    from edgecraft.functions.exprs import dot
+    from edgecraft.operators import extras, factor_dots
+    rnd = random.Random(5)
+    vec = lambda n=4: [rnd.uniform(-1, 1) for _ in range(n)]
+    users = [(f"u{k}", vec()) for k in range(40)] + [("u1", vec()), ("hole", [1.0, None, 0.5, 1.0]), ("empty", None), ("short", vec(2)), (None, vec())]
+    items = [(f"p{k}", vec()) for k in range(30)] + [("p2", vec()), ("p2", vec()), ("pnull", None), ("pshort", vec(2)), (None, vec())]
+    names = [u for u, _ in users] + ["new"], [p for p, _ in items] + ["none"]
+    rows = [(rnd.choice(names[0]), rnd.choice(names[1]), rnd.choice([None, k])) for k in range(900)] + [("short", "pshort", 1), ("u1", "p2", 2)] * 2
+    pairs = spark.createDataFrame(rows, "user_id string, problem_id string, mark int")
+    uf = spark.createDataFrame(users, "id string, features array<float>")
+    itf = spark.createDataFrame(items, "id string, features array<double>")
+    j = pairs.join(itf.select(F.col("id").alias("problem_id"), F.col("features").alias("p")), "problem_id", "left") \
+        .join(uf.select(F.col("id").alias("user_id"), F.col("features").alias("u")), "user_id", "left")
+    key = lambda r: str(r)
+    fixed = lambda d, c: sorted(((r.user_id, r.problem_id, r.mark, None if r[c] is None else round(r[c], 9)) for r in d.collect()), key=key)
+    raw = F.when(F.col("u").isNull(), 0.25).when(F.col("p").isNull(), 0.0).otherwise(dot("u", "p"))
+    monkeypatch.setattr(factor_dots, "BLOCK_BYTES", 300)
+    monkeypatch.setattr(factor_dots, "PAIRS", 16)
+    got = scoring.als_raw_scores(pairs, uf, itf)
+    assert got.columns == ["user_id", "problem_id", "mark", "als_raw"]
+    assert fixed(got, "als_raw") == fixed(j.withColumn("als_raw", raw), "als_raw")
+    # no pair carries a factor through a join with the items: only users are joined
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    mu = spark.createDataFrame([(0.5,)], "global_mean double")
+    ub, ib = (spark.createDataFrame([(k, 0.1)], f"{c} string, bias double") for k, c in (("u1", "user_id"), ("p2", "problem_id")))
+    bias = F.when(F.col("user_id") == "u1", 0.1).otherwise(0.0) + F.when(F.col("problem_id") == "p2", 0.1).otherwise(0.0)
+    want = j.withColumn("prediction", 0.5 + bias + F.coalesce(dot("u", "p"), F.lit(0.0)))
+    assert fixed(extras.bias_prediction(pairs, mu, ub, ib, uf, itf), "prediction") == fixed(want, "prediction")
+    assert scoring.als_raw_scores(pairs.limit(0), uf, itf).count() == 0
+    assert scoring.als_raw_scores(pairs, uf.limit(0), itf.limit(0)).where("als_raw = 0.25").count() == len(rows)
