@@ -243,3 +243,20 @@ def test_factor_cells_are_a_left_join(spark, monkeypatch):
     assert fixed(extras.bias_prediction(pairs, mu, ub, ib, uf, itf), "prediction") == fixed(want, "prediction")
     assert scoring.als_raw_scores(pairs.limit(0), uf, itf).count() == 0
     assert scoring.als_raw_scores(pairs, uf.limit(0), itf.limit(0)).where("als_raw = 0.25").count() == len(rows)
+
+
+def test_fit_cuts_its_lineage_each_iteration(spark, monkeypatch):
+    import time
+
+    from edgecraft import session
+    seen, real = {}, models.ALS
+    monkeypatch.setattr(models, "ALS", lambda **kw: seen.update(kw) or real(**kw))
+    i = spark.createDataFrame([("a", "p", True, 0), ("b", "p", False, 1), ("a", "q", True, 1)],
+                              "user_id string, problem_id string, solved boolean, penalty_count int")
+    assert models.fit_als(i, rank=2, max_iter=2).factors()[0].count() == 2 and seen["checkpointInterval"] == 1
+    runs = lambda: sum(b.getCollectionCount() for b in
+                       spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans())
+    before = runs()
+    with session.garbage_collected(spark, .05):
+        time.sleep(1)
+    assert runs() > before
