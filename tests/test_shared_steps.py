@@ -160,3 +160,48 @@ def test_novelty_scores_the_listed_pairs_only(spark, sf, monkeypatch):
     every = whole(i.select("user_id", "problem_id").distinct(), scoring.content_profiles(i, pt, problems), pt)
     want = extras.coverage_novelty(seen[0], problems, every).collect()
     assert [tuple(round(x, 9) for x in r) for r in got] == [tuple(round(x, 9) for x in r) for r in want]
+
+
+def _rows(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def test_adjacency_of_classes_is_that_of_pairs(spark):
+    q, lists, flat = _lists(spark)
+    whole = graph.slug_edges(*graph.similar_problem_graph(flat))
+    by_list = graph.slug_adjacency(graph.similar_slug_lists(q, lists, undirected=True))
+    want = graph.slug_adjacency(whole)
+    assert _rows(by_list) == _rows(want) and want.count() > 30
+
+
+def test_explanations_without_listing_neighbours(spark):
+    from edgecraft.operators import coldstart
+    q, lists, flat = _lists(spark)
+    pairs = spark.range(300).selectExpr("concat('u', id % 10) as user_id", "concat('p', (id * 13) div 10 % 44) as problem_id").distinct()
+    solved, hard, cards = (pairs.where(F.xxhash64("user_id", "problem_id") % 4 == k) for k in (0, 1, 2))
+    cards = cards.select("user_id", F.lit("blind_spots").alias("tier"), F.xxhash64("problem_id").alias("pos"), "problem_id",
+                         F.lit(0.5).alias("p_solve"), F.array(F.lit("t")).alias("tags"))
+    rates = spark.createDataFrame([("u1", "t", 0.1)], "user_id string, tag string, rate double")
+    peer = spark.createDataFrame([("u1", "t", 0.9)], "user_id string, tag string, peer_rate double")
+    titles = q.select(F.col("titleSlug").alias("problem_id"), "title")
+    for undirected in (True, False):
+        rel = graph.slug_edges(*graph.similar_problem_graph(flat)) if undirected else graph.similar_slug_relation(flat)
+        got, want = (_rows(coldstart.explanation_signals(cards, rates, peer, r, solved, hard, titles))
+                     for r in (graph.similar_slug_lists(q, lists, undirected), rel))
+        assert got == want and len({str(r[-2]) for r in got}) > 5
+
+
+def test_pool_blocks_take_lists(spark):
+    from edgecraft.config import Config
+    from edgecraft.operators import blocks
+    q, lists, flat = _lists(spark)
+    history = spark.range(120).selectExpr("concat('u', id % 12) as user_id", "concat('p', id * 17 % 44) as problem_id",
+                                          "id % 3 = 0 as solved", "cast(id % 2 as int) as penalty_count")
+    catalog = spark.range(44).selectExpr("concat('p', id) as problem_id", "array(concat('t', id % 30), 'x') as tags", "id as cat_pos")
+    factors = lambda d, c: d.select(F.col(c).alias("id"), F.array(F.lit(1.0)).alias("features")).distinct()
+    pools = [_rows(blocks.score_pool_blocks(
+        history.select("user_id"), history, catalog, rel, factors(history, "user_id"), factors(catalog, "problem_id"), keep="all",
+        cfg=Config(min_shared_tags=2), item_block=b)) for b in (1 << 15, 10)
+        for rel in (graph.similar_slug_lists(q, lists), graph.similar_slug_relation(flat))]
+    assert pools[0] == pools[1] == pools[2] == pools[3]
+    assert {r[5] for r in pools[0]} == {0.0, 0.05} and 20 < len(pools[0]) < 12 * 40
